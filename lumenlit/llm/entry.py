@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import lookalike, neighbours, ranking
+from lumenlit.llm import blocks, lookalike, neighbours, ranking, tokens
 from lumenlit.llm.sql import SQL
 from lumenlit.session import load
 
@@ -29,6 +29,18 @@ def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.median_rank(load(spark, sf_dir, "search_hits"), load(spark, sf_dir, "scorers"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.found_markup(load(spark, sf_dir, "documents"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.clean_fields(load(spark, sf_dir, "documents"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(load(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look(load(spark, sf_dir, "documents"))
 
