@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenlit.llm import blocks, lookalike, neighbours, ranking, tokens
+from lumenlit.llm import blocks, linkage, lookalike, mixing, neighbours, ranking, splitting, tokens
 from lumenlit.llm.sql import SQL
 from lumenlit.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.boundaries(load(spark, sf_dir, "chunks"))
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_chunks(load(spark, sf_dir, "chunks"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.same_paper(load(spark, sf_dir, "documents"))
+
+
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link(load(spark, sf_dir, "documents")).where("confidence > 0").select("doc_id_a", "doc_id_b", "confidence")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.close_pairs(load(spark, sf_dir, "chunks"))
 
@@ -41,6 +57,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look(load(spark, sf_dir, "documents"))
 
