@@ -4,29 +4,207 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlit.operators import incremental, quantities
+from lumenlit.functions import text as tx
+from lumenlit.operators import claims as cl
+from lumenlit.operators import graph, incremental, quantities, search, tables, vectors
+from lumenlit.operators.search import Range, Tag
 from lumenlit.session import load
+from lumenlit.sources import parsers
+from lumenlit.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
+KEYS = ("journal", "venue", "year", "published", "keywords")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.wrong_or_missing(quantities.canonicalize(load(spark, sf_dir, "claims"), load(spark, sf_dir, "measures")))
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return search.newest_documents(load(spark, d, "documents"))
 
 
-def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantities.canonicalize(load(spark, sf_dir, "claims"), load(spark, sf_dir, "measures"))
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return search.index(search.with_tags(_docs(spark, d), KEYS))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.due_records(load(spark, sf_dir, "raw_records"), load(spark, sf_dir, "processed_ids"), load(spark, sf_dir, "record_failures"))
+def _match(query: str | None, *filters: Tag | Range) -> Query:
+    return lambda s, d: search.match_ids(_index(s, d), query, list(filters))
+
+
+def _rank(query: str, limit: int = 20) -> Query:
+    return lambda s, d: search.rank(_index(s, d), query, limit).withColumn("score", F.round("score", 9))
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    docs = _index(s, d)
+    return graph.jaccard_edges(graph.record_tags(docs, ("journal", "keywords")), docs.where(F.col("doc_id") % 100 == 0), 10)
+
+
+def _query_vector(s: SparkSession, d: str) -> list[float]:
+    """Vector of the usable chunk with the smallest id and 64 components."""
+    rows = load(s, d, "chunks").where((F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0))
+    return list(rows.orderBy("chunk_id").select("vector").first()[0])
+
+
+def _lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lexical = search.rank(_index(s, d), "mass OR density OR spectroscopy", 200)
+    semantic = vectors.best_chunk(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 1000))
+    return lexical, semantic
+
+
+def _scored(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _html(s: SparkSession, d: str) -> DataFrame:
+    docs = load(s, d, "documents")
+    return docs.select("doc_id", parsers.parsed(F.encode("body", "UTF-8"), "html").alias("r")).select("doc_id", "r.text", "r.error")
+
+
+def _inverted(s: SparkSession, d: str) -> DataFrame:
+    words = tx.split_words(F.col("abstract"))
+    entries = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.get(words, i) == w).alias("value")))
+    docs = load(s, d, "documents").where(F.size(words) > 0)
+    return docs.select("doc_id", tx.abstract_from_positions(F.map_from_entries(entries)).alias("abstract"))
+
+
+def _components(s: SparkSession, d: str) -> DataFrame:
+    return graph.components(graph.choose_edges(_edges(s, d)))
+
+
+def _communities(s: SparkSession, d: str) -> DataFrame:
+    """Communities of one bounded graph: the asked records' lists."""
+    edges = graph.choose_edges(_edges(s, d)).withColumn("graph", F.lit("asked"))
+    nodes = edges.select("graph", F.explode(F.array("source", "target")).alias("record_id")).distinct()
+    return graph.communities(edges, nodes)
+
+
+def _dedup(s: SparkSession, d: str) -> DataFrame:
+    part = load(s, d, "part").select(tx.key_of(F.col("p_brand")).alias("_norm_key"), F.col("p_partkey").alias("_ord"), "p_type", F.when(F.col("p_size") > 10, F.col("p_size")).alias("p_size"))
+    return tables.deduplicated(source="p_type")(part)
+
+
+def _complete(s: SparkSession, d: str) -> DataFrame:
+    rows = load(s, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_acctbal") > 5000, F.col("c_acctbal")).alias("big"), "c_nationkey")
+    steps = tables.chain(tables.completeness(["c_name", "big", "c_nationkey", "absent"], "filled"), tables.quality_flag(50, "filled"))
+    return steps(rows).select("c_custkey", "filled", "quality_flag")
+
+
+def _dbscan(s: SparkSession, d: str) -> DataFrame:
+    points = load(s, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal").cast("double") / 100, F.col("c_nationkey").cast("double")).alias("features"))
+    return tables.dbscan(points, eps=0.5, min_samples=4)
+
+
+def _validated(s: SparkSession, d: str) -> DataFrame:
+    rows = tables.validated([tables.range_rule("p_size", 1, 40)])(load(s, d, "part"))
+    return rows.select("p_partkey", F.size("violations").alias("n_violations"), "valid")
+
+
+def _keywords(s: SparkSession, d: str) -> DataFrame:
+    rows = tables.validated([tables.keyword_rule("title", ["plasma", "gas reservoir", "erratum"])])(load(s, d, "documents"))
+    return rows.select("doc_id", F.to_json("violations").alias("violations"), "valid")
+
+
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("record_id", F.posexplode(tx.windows(F.col("body"), 60, 10)).alias("chunk_index", "text"))
+
+
+def _located(s: SparkSession, d: str) -> DataFrame:
+    claims = cl.unique_claims(load(s, d, "claims")).where("kind = 'assertion'").select("claim_id", "record_id", "quote")
+    docs = _docs(s, d).select("record_id", "text")
+    return claims.join(docs, "record_id").select("claim_id", tx.located(F.col("text"), F.col("quote")).alias("at")).select("claim_id", "at.*")
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    chunks = load(s, d, "chunks").where(F.col("record_id").isNotNull()).select("record_id", "chunk_index", "text").distinct()
+    return chunks.groupBy("record_id").agg(F.count("*").alias("passages"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+
+
+def _processed_anti(s: SparkSession, d: str) -> DataFrame:
+    key = incremental.trimmed(F.col("record_id")).alias("record_id")
+    barred = load(s, d, "record_failures").groupBy("record_id").agg(F.max("attempts").alias("n")).where("n >= 3")
+    listed = load(s, d, "raw_records").select(key).where("record_id <> ''").distinct()
+    return listed.join(load(s, d, "processed_ids"), "record_id", "left_anti").join(barred, "record_id", "left_anti")
+
+
+def _canonical(s: SparkSession, d: str) -> DataFrame:
+    return quantities.canonicalize(load(s, d, "claims"), load(s, d, "measures"))
+
+
+def _published() -> Column:
+    return F.coalesce(F.get_json_object("metadata", "$.published"), F.get_json_object("metadata", "$.pub_date"))
+
+
+YEARS = [Range("year", 2000, 2009), Range("year", 2005, 2020), Range("year", 2020, None, True)]
+JOURNALS = ("Annals of Layered Matter", "Quarterly of Field Methods")
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_canonical": p3_canonical, "p6_found": p6_found}
+    """Every core query: (spark, table directory) -> DataFrame."""
+    return {
+        "p3_found": lambda s, d: quantities.wrong_or_missing(_canonical(s, d)),
+        "p3_canonical": _canonical,
+        "p6_found": lambda s, d: incremental.due_records(load(s, d, "raw_records"), load(s, d, "processed_ids"), load(s, d, "record_failures")),
+        "tok_counts": lambda s, d: _index(s, d).select("record_id", *[F.size(f"tok_{f}").alias(f"n_{f}") for f in search.FIELDS]),
+        "term_doc_freq": lambda s, d: _index(s, d).select(F.explode(F.array_distinct(F.concat(*[f"tok_{f}" for f in search.FIELDS]))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(100),
+        "postings_freq": lambda s, d: search.postings(_docs(s, d)).groupBy("term", "field").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("positions")),
+        "match_term": _match("spectroscopy"),
+        "match_prefix": _match("spectro*"),
+        "match_phrase": _match('"gas reservoir"'),
+        "match_fieldscope": _match("title,abstract:faint"),
+        "match_and_or_not": _match("survey AND (faint OR compact) -isotope"),
+        "match_pure_negation": _match("NOT the"),
+        "match_near": _match("NEAR(mass steady, 5)"),
+        "bm25_topk": _rank("survey AND (faint OR compact) -isotope"),
+        "bm25_fields": _rank("title:mass OR abstract:faint", 50),
+        "bm25_or": _rank("halo || plasma", 50),
+        "rank_hydrate": lambda s, d: search.hydrate(search.rank(_index(s, d), "halo OR plasma", 20), _docs(s, d), "title", "source").withColumn("score", F.round("score", 9)),
+        "search_snippets": lambda s, d: search.with_snippet(search.hydrate(search.rank(_index(s, d), "body:halo OR body:plasma", 20), _docs(s, d), "body"), "halo OR plasma", "body").select("record_id", "snippet.text"),
+        "filter_meta": _match(None, Tag("journal", JOURNALS)),
+        "filter_negated": _match(None, Tag("journal", JOURNALS[:1], True)),
+        "filter_range_int": _match(None, Range("year", 2010, 2015)),
+        "filter_range_text": _match(None, Range("published", "2015-03", "2018")),
+        "facet_counts": lambda s, d: search.facet_counts(_index(s, d), ("journal", "venue", "year"), None, [Tag("journal", JOURNALS), Range("year", 2000, 2020)]),
+        "range_counts": lambda s, d: search.range_counts(_index(s, d), YEARS),
+        "capped_count": lambda s, d: search.count_matches(_index(s, d), "the", 50),
+        "chunk_windows": _windows,
+        "merge_passages": lambda s, d: _docs(s, d).select("record_id", tx.merge_windows(tx.windows(F.col("body"), 60, 10), 10).alias("text")),
+        "stored_records": _stored,
+        "vec_topk": lambda s, d: _scored(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 25), "score"),
+        "best_chunk": lambda s, d: _scored(vectors.best_chunk(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 200)), "score"),
+        "emb_relevance": lambda s, d: _scored(vectors.relevant(load(s, d, "chunks").select("chunk_id", "vector"), [_query_vector(s, d)], 0.35), "relevance").select("chunk_id", "relevance").distinct(),
+        "rrf": lambda s, d: _scored(vectors.rrf(vectors.ranked_list(_lists(s, d)[0], "lexical").unionByName(vectors.ranked_list(_lists(s, d)[1], "semantic"))), "fused"),
+        "minmax": lambda s, d: _scored(vectors.minmax(vectors.ranked_list(_lists(s, d)[0], "lexical").unionByName(vectors.ranked_list(_lists(s, d)[1], "semantic"))), "fused"),
+        "hybrid_topk": lambda s, d: _scored(vectors.hybrid(*_lists(s, d), top=20), "fused"),
+        "jaccard_edges": lambda s, d: _edges(s, d).withColumn("weight", F.round("weight", 9)),
+        "mutual_edges": lambda s, d: graph.choose_edges(_edges(s, d), mutual=True),
+        "degrees": lambda s, d: graph.degrees(_edges(s, d)),
+        "components": _components,
+        "communities": _communities,
+        "dbscan": _dbscan,
+        "norm_key": lambda s, d: load(s, d, "part").select("p_partkey", tx.key_of(F.col("p_name")).alias("_norm_key")),
+        "dedup_first": _dedup,
+        "completeness": _complete,
+        "clip": lambda s, d: tables.clipped({"price": (1000, 1500)})(load(s, d, "part").select("p_partkey", F.col("p_retailprice").alias("price"))),
+        "layout": lambda s, d: tables.laid_out([("c_nationkey", True), ("big", False)], ["c_name"], order="c_custkey")(load(s, d, "customer").select("c_custkey", "c_nationkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("big"), F.lit(1).alias("_hidden"))),
+        "validate_range": _validated,
+        "validate_keyword": _keywords,
+        "csv_escape": lambda s, d: load(s, d, "documents").select("doc_id", tx.escape_cell(F.col("title")).alias("cell")),
+        "ref_year": lambda s, d: load(s, d, "documents").select("doc_id", tx.year_prefix(_published()).alias("year")),
+        "trim_refs": lambda s, d: load(s, d, "documents").select("doc_id", F.length(tx.trim_references(F.col("body"))).alias("kept")),
+        "html_text": _html,
+        "sentences": lambda s, d: load(s, d, "documents").select("doc_id", F.size(tx.sentences(F.col("abstract"))).alias("n")),
+        "locate_quote": _located,
+        "abstract_inverted": _inverted,
+        "claim_ids": lambda s, d: cl.unique_claims(load(s, d, "claims")).select("claim_id", cl.claim_id().alias("content_id")),
+        "unique_claims": lambda s, d: cl.unique_claims(load(s, d, "claims")).select("claim_id", "record_id", "position", "revision"),
+        "claim_changes": lambda s, d: cl.changes(load(s, d, "claims")),
+        "change_head": lambda s, d: cl.head(cl.changes(load(s, d, "claims"))),
+        "processed_anti": _processed_anti,
+        "failure_counts": lambda s, d: load(s, d, "record_failures").groupBy("record_id").agg(F.max("attempts").alias("attempts"), F.max_by("last_error", "attempts").alias("last_error")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL with the same result; absent where SQL cannot express the operator."""
+    return SQL
