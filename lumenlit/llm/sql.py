@@ -15,10 +15,10 @@ ranked AS (SELECT *, rank() OVER (PARTITION BY query_id, scorer ORDER BY s DESC)
 SQL = {
     "p4_found": """
 WITH v AS (
-  SELECT DISTINCT ON (chunk_id) chunk_id, len(vector) AS dim, list_transform(vector, x -> x::DOUBLE) AS v
+  SELECT DISTINCT ON (chunk_id) chunk_id, len(vector) AS dim, list_transform(vector, lambda x: x::DOUBLE) AS v
   FROM chunks
-  WHERE vector IS NOT NULL AND len(vector) > 0 AND len(list_filter(vector, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(vector, x -> x <> 0)) > 0)
+  WHERE vector IS NOT NULL AND len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0)
 SELECT a.chunk_id AS chunk_id_a, b.chunk_id AS chunk_id_b
 FROM v a JOIN v b ON a.dim = b.dim AND a.chunk_id < b.chunk_id
 WHERE list_cosine_similarity(a.v, b.v) >= 0.95 - 1e-9""",
