@@ -144,6 +144,14 @@ LABELLED = """
 9 0 41 0 18 0 3 0.60 0 code
 15 0 12 0 -1 -1 3 0.55 0 code
 2 0 30 0 22 0 3 0.80 0 code
+6 0 6 0 -1 -1 3 0.35 0 code
+6 0 5 0 12 0 3 0.40 0 code
+3 0 30 0 5 0 3 0.30 1 code
+5 0 2 0 -1 -1 3 0.45 0 code
+8 0 20 0 9 0 3 0.40 1 code
+4 0 3 0 9 0 3 0.50 0 code
+4 0 3 0 8 0 4 0.35 0 formula
+5 0 40 0 9 0 4 0.40 1 formula
 6 0 33 0 1 0 4 0.40 0 formula
 3 0 25 0 -1 -1 4 0.35 0 formula
 9 0 18 0 40 0 4 0.45 0 formula
