@@ -33,6 +33,11 @@ def fold_table() -> tuple[str, str]:
     return "".join(src) + "".join(map(chr, range(0x300, 0x370))), "".join(dst)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row. A lambda would otherwise compute an expression it refers to for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def sanitize(c: Column) -> Column:
     """Control characters other than tab and line ends become spaces."""
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
@@ -61,11 +66,14 @@ def windows(c: Column, size: int = 350, overlap: int = 50) -> Column:
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
     step = size - overlap
-    words = split_words(c)
-    n = F.size(words)
-    count = F.when(n == 0, 0).otherwise(1 + F.ceil(F.greatest(n - size, F.lit(0)) / step)).cast("int")
-    starts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        count = F.when(n == 0, 0).otherwise(1 + F.ceil(F.greatest(n - size, F.lit(0)) / step)).cast("int")
+        starts = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, size), " "))
+
+    return let(split_words(c), cut)
 
 
 def merge_windows(passages: Column, overlap: int = 50) -> Column:
@@ -121,9 +129,12 @@ def without_version(c: Column) -> Column:
 def abstract_from_positions(index: Column) -> Column:
     """Text of a word -> positions map; of two words at one position the last in the map stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    kept = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["p"] != x["p"]))
-    return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+
+    def last_ones(ordered: Column) -> Column:
+        kept = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["p"] != x["p"]))
+        return F.array_join(F.transform(kept, lambda x: x["w"]), " ")
+
+    return let(F.array_sort(pairs), last_ones)
 
 
 def escape_cell(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenlit.errors import QueryError
-from lumenlit.functions.text import fold_words
+from lumenlit.functions.text import fold_words, let
 
 FIELDS = ("title", "abstract", "body")
 MAX_DEPTH, NEAR_DISTANCE = 32, 10
@@ -217,13 +217,16 @@ def starts(tok: Column, leaf: Leaf) -> Column:
     k = len(leaf.words)
     *whole, last = leaf.words
 
-    def here(i: Column) -> Column:
-        tests = [F.get(tok, i + j) == w for j, w in enumerate(whole)]
-        end = F.get(tok, i + (k - 1))
-        return reduce(Column.__and__, [*tests, end.startswith(last) if leaf.prefix else end == last])
+    def places(t: Column) -> Column:
+        def here(i: Column) -> Column:
+            tests = [F.get(t, i + j) == w for j, w in enumerate(whole)]
+            end = F.get(t, i + (k - 1))
+            return reduce(Column.__and__, [*tests, end.startswith(last) if leaf.prefix else end == last])
 
-    span = F.when(F.size(tok) >= k, F.sequence(F.lit(0), F.greatest(F.size(tok) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.filter(span, here)
+        span = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.filter(span, here)
+
+    return let(tok, places)
 
 
 def hits(node: Leaf, field: str, tok=lambda f: F.col(f"tok_{f}")) -> Column:
@@ -236,12 +239,15 @@ def hits(node: Leaf, field: str, tok=lambda f: F.col(f"tok_{f}")) -> Column:
 
 
 def _near(node: Near, field: str, tok) -> Column:
-    t = tok(field)
-    each = [(starts(t, p), len(p.words)) for p in node.parts]
-    every = F.flatten(F.array(*[s for s, _ in each]))
+    """Some start p has, for every part, a start no more than ``distance`` words and the part's own length in front of it."""
+    lengths = [len(p.words) for p in node.parts]
     within = lambda p, k: lambda q: (q <= p) & (q >= p - k - node.distance)
-    fits = lambda p: reduce(Column.__and__, [F.exists(s, within(p, k)) for s, k in each])
-    return F.exists(every, fits)
+
+    def close(all_starts: Column) -> Column:
+        each = [(F.get(all_starts, F.lit(i)), k) for i, k in enumerate(lengths)]
+        return F.exists(F.flatten(all_starts), lambda p: reduce(Column.__and__, [F.exists(s, within(p, k)) for s, k in each]))
+
+    return let(F.array(*[starts(tok(field), p) for p in node.parts]), close)
 
 
 def matches(node: object, tok=lambda f: F.col(f"tok_{f}")) -> Column:

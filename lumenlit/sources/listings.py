@@ -60,8 +60,8 @@ def listing_source(name: str, fetch: Callable[[int, int], list[dict]], page_size
 
 def openalex_records(pages: DataFrame, column: str = "value") -> DataFrame:
     """Records of a works response (JSON text): the abstract comes from its inverted index."""
-    work = "id string, display_name string, publication_date string, publication_year int, abstract_inverted_index map<string, array<int>>, authorships array<struct<author: struct<display_name: string>>>"
-    rows = pages.select(F.explode(F.from_json(column, f"struct<results: array<struct<{work.replace(' string', ': string').replace('year int', 'year: int').replace('index map', 'index: map').replace('authorships array', 'authorships: array')}>>>")["results"]).alias("w"))
+    schema = "struct<results: array<struct<id: string, display_name: string, publication_date: string, publication_year: int, abstract_inverted_index: map<string, array<int>>, authorships: array<struct<author: struct<display_name: string>>>>>>"
+    rows = pages.select(F.explode(F.from_json(column, schema)["results"]).alias("w"))
     metadata = F.to_json(F.struct(F.transform("w.authorships", lambda a: a["author"]["display_name"]).alias("authors"), F.col("w.publication_date").alias("published"), F.col("w.publication_year").alias("year")))
     return rows.select(F.substring_index("w.id", "/", -1).alias("record_id"), F.col("w.display_name").alias("title"), abstract_from_positions(F.col("w.abstract_inverted_index")).alias("abstract"), F.col("w.id").alias("source_url"), metadata.alias("metadata"))
 

@@ -107,9 +107,9 @@ UNION ALL SELECT record_id, 'body', unnest(b) FROM idx) SELECT term, field, coun
     "filter_negated": f"WITH {DOCS} SELECT record_id FROM docs WHERE len(list_intersect({tags('journal')}, ['Annals of Layered Matter'])) = 0",
     "filter_range_int": f"WITH {DOCS} SELECT record_id FROM docs WHERE len(list_filter({tags('year')}, lambda x: regexp_matches(x, '^(0|-?[1-9][0-9]{{0,18}})$') AND try_cast(x AS BIGINT) BETWEEN 2010 AND 2015)) > 0",
     "filter_range_text": f"WITH {DOCS} SELECT record_id FROM docs WHERE len(list_filter({tags('published')}, lambda x: x >= '2015-03' AND left(x, 4) <= '2018')) > 0",
-    "facet_counts": f"""WITH {DOCS}, g AS (SELECT {tags('journal')} AS j, {tags('venue')} AS v, {tags('year')} AS y FROM docs),
-ok AS (SELECT *, len(list_intersect(j, ['Annals of Layered Matter', 'Quarterly of Field Methods'])) > 0 AS fj, len(list_filter(y, lambda x: try_cast(x AS BIGINT) BETWEEN 2000 AND 2020)) > 0 AS fy FROM g),
-r AS (SELECT 'journal' AS key, unnest(j) AS value FROM ok WHERE fy UNION ALL SELECT 'venue', unnest(v) FROM ok WHERE fj AND fy UNION ALL SELECT 'year', unnest(y) FROM ok WHERE fj)
+    "facet_counts": f"""WITH {DOCS}, g AS (SELECT {tags('venue')} AS v, {tags('year')} AS y FROM docs),
+ok AS (SELECT *, len(list_intersect(v, ['Annals of Layered Matter', 'Quarterly of Field Methods'])) > 0 AS fv, len(list_filter(y, lambda x: try_cast(x AS BIGINT) BETWEEN 2000 AND 2020)) > 0 AS fy FROM g),
+r AS (SELECT 'venue' AS key, unnest(v) AS value FROM ok WHERE fy UNION ALL SELECT 'year', unnest(y) FROM ok WHERE fv)
 SELECT key, value, count(*) AS n FROM r GROUP BY key, value""",
     "range_counts": f"""WITH {DOCS}, g AS (SELECT list_filter({tags('year')}, lambda x: regexp_matches(x, '^(0|-?[1-9][0-9]{{0,18}})$')) AS y FROM docs)
 SELECT 0 AS place, count_if(len(list_filter(y, lambda x: x::BIGINT BETWEEN 2000 AND 2009)) > 0) AS n FROM g UNION ALL
@@ -144,6 +144,7 @@ n AS (SELECT record_id, arg_max((title, abstract), (listed_at, fetched_at, listi
 o AS (SELECT l.record_id, arg_max((title, abstract), (listed_at, fetched_at, listing_no)) AS v FROM l JOIN p ON p.record_id = l.record_id AND l.fetched_at <= p.processed_at GROUP BY 1)
 SELECT n.record_id FROM n LEFT JOIN o ON o.record_id = n.record_id WHERE (o.record_id IS NULL OR o.v IS DISTINCT FROM n.v)
 AND n.record_id NOT IN (SELECT record_id FROM record_failures GROUP BY 1 HAVING max(attempts) >= 3)""",
+    "abstract_inverted": f"SELECT doc_id, array_to_string(w, ' ') AS abstract FROM (SELECT doc_id, {WINDOW.replace('body', 'abstract')} AS w FROM documents) WHERE len(w) > 0",
     "stored_records": """WITH c AS (SELECT DISTINCT record_id, chunk_index, text FROM chunks WHERE record_id IS NOT NULL)
 SELECT record_id, count(*) AS passages, sum(length(coalesce(text, ''))) AS chars FROM c GROUP BY record_id""",
     "jaccard_edges": f"""WITH {DOCS}, g AS (SELECT DISTINCT record_id, 'journal' AS key, unnest({tags('journal')}) AS value FROM docs UNION SELECT record_id, 'keywords', unnest({tags('keywords')}) FROM docs),
