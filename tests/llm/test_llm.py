@@ -48,7 +48,7 @@ def test_linkage(spark):
         (5, "s2", "Mass of the halo near KSV 999", "other text entirely, on another thing and so on with words", '{"authors": ["Xi Yu"], "year": 2001}'),
         (6, None, "Mass of the halo near KSV 123", a, '{"authors": ["Ann Bee"], "year": 2020}'), (7, "s5", None, None, "{broken"), (8, "s5", "", "", None),
     ]
-    fill = [(100 + i, f"s{i % 2 + 1}", f"Topic {i // 2} of study near TQ {i // 2 * 37}", f"text {i // 2} about word{i // 2} and many more things in {i // 2} cases here", f'{{"authors": ["Ed Fox{chr(97 + i // 2)}{chr(122 - i // 2)}"], "year": 2010}}') for i in range(60)]
+    fill = [(100 + i, f"s{i % 2 + 1}", f"Topic {i // 2} of study near TQ {i // 2 * 37}", f"text {i // 2} about word{i // 2} and many more things in {i // 2} cases here", f'{{"authors": ["Ed Fox{chr(97 + i // 2 % 26)}{chr(97 + i // 52)}"], "year": 2010}}') for i in range(60)]
     got = {tuple(r) for r in linkage.same_paper(spark.createDataFrame(rows + fill, DOC)).collect()}
     assert {p for p in got if p[0] < 100} == {(1, 2)} and len(got) == 31
     assert linkage.same_paper(spark.createDataFrame([], DOC)).count() == 0
