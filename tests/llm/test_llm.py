@@ -197,3 +197,21 @@ def test_same_look(spark):
     rows = [(1, "ab c"), (2, "ab\u00a0c"), (3, "ab c"), (4, None), (5, ""), (6, "\u00a0"), (7, " "), (8, "12\u200b"), (9, "12"), (10, "\u0430b c")]
     got = {tuple(r) for r in lookalike.same_look(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(1, 2), (2, 3), (1, 10), (2, 10), (3, 10)}
+
+
+def test_tokens_without_broadcast(spark, monkeypatch):
+    docs = load(spark, SF, "documents")
+    want = {r.doc_id: r.ids for r in tokens.encode_corpus(docs).collect()}
+    monkeypatch.setattr(tokens, "DICTIONARY_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r.doc_id: r.ids for r in tokens.encode_corpus(docs).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_split_shards_lose_nothing(spark, monkeypatch):
+    docs = load(spark, SF, "chunks")
+    want = {tuple(r) for r in neighbours.close_pairs(docs).collect()}
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    assert {tuple(r) for r in neighbours.close_pairs(docs).collect()} == want and want
