@@ -61,23 +61,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.select("e.source", "e.target").distinct().groupBy(F.col("source").alias("record_id")).agg(F.count("*").alias("degree"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(record_id, component): the smallest id that edges connect a record with. Labels halve their distance every round by also
-    following the label's own label; every second round is checkpointed."""
-    both = edges.select("source", "target").union(edges.select("target", "source")).where(F.col("source") != F.col("target")).distinct()
-    both = checkpoint(both)
-    labels = checkpoint(both.groupBy(F.col("source").alias("record_id")).agg(F.least(F.min("target"), F.first("source")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("record_id", "target"), "target").groupBy(F.col("source").alias("record_id")).agg(F.min("component").alias("near"))
-        far = labels.select(F.col("record_id").alias("component"), F.col("component").alias("far"))
-        new = labels.join(near, "record_id").join(far, "component", "left").select(
-            "record_id", F.col("component").alias("old"), F.least("component", "near", F.coalesce("far", "component")).alias("component")
-        )
-        new = checkpoint(new)
-        labels = new.select("record_id", "component")
-        if new.where(F.col("old") != F.col("component")).limit(1).count() == 0:
-            break
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """(record_id, component): the smallest id that edges connect a record with. Large stars and small stars alternate, which hooks roots to
+    smaller roots, so rounds grow with the logarithm of the nodes, not with the diameter; it ends only when every tree is a star."""
+    down = lambda df: df.select(F.greatest("source", "target").alias("node"), F.least("source", "target").alias("low"))
+    arcs = checkpoint(down(edges.where(F.col("source") != F.col("target"))).distinct())
+    while not _all_stars(arcs):
+        both = arcs.union(arcs.select(F.col("low").alias("node"), F.col("node").alias("low")))
+        least = both.groupBy("node").agg(F.least(F.min("low"), F.col("node")).alias("root"))
+        large = both.join(least, "node").where(F.col("low") > F.col("node")).select(F.col("low").alias("node"), F.col("root").alias("low")).distinct()
+        root = large.groupBy("node").agg(F.min("low").alias("root"))
+        moved = large.join(root, "node").where(F.col("low") != F.col("root")).select(F.col("low").alias("node"), F.col("root").alias("low"))
+        arcs = checkpoint(moved.union(root).distinct())
+    return arcs.select(F.col("node").alias("record_id"), F.col("low").alias("component")).union(arcs.select("low", "low").distinct())
+
+
+def _all_stars(arcs: DataFrame) -> bool:
+    """Every node has one root, and no root is below another."""
+    ends = arcs.select(F.explode(F.array(F.struct("node", F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+    return ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down")).where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
 
 
 def label_communities(edges: list[tuple], nodes: list, passes: int = 50) -> tuple[dict, bool]:

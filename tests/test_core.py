@@ -155,6 +155,17 @@ def test_graph(spark):
     assert nodes == ["a", "b"] and len(edges) == 2
 
 
+def test_components_of_a_long_path(spark):
+    """0 - n - (n-1) - ... - 1: every node but the first soon agrees on 1, and only hooking of roots brings 0 through in few rounds."""
+    n = 130
+    path = [0, *range(n, 0, -1)]
+    e = spark.createDataFrame(list(zip(path, path[1:])), "source int, target int")
+    assert {tuple(r) for r in graph.components(e).collect()} == {(i, 0) for i in range(n + 1)}
+    pts = spark.createDataFrame([(i, [float(x), 0.0]) for x, i in enumerate(path)], "id int, features array<double>")
+    assert {tuple(r) for r in tables.dbscan(pts, 1.0, 2).collect()} == {(i, 0) for i in range(n + 1)}
+    assert graph.components(e.where("source < 0")).count() == 0
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [1.0, 1.0]), ("b", 0, [0.0, 0.0]), ("c", 0, [1.0]), ("d", 0, None), ("e", 0, [1.0, float("nan")]), ("a", 0, [1.0, 0.0])], "record_id string, chunk_index int, vector array<float>")
     got = [tuple(r) for r in vectors.nearest_chunks(df, [2.0, 0.0], 5).collect()]
