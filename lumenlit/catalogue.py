@@ -11,7 +11,7 @@ from lumenlit.functions import text as tx
 from lumenlit.operators import claims as cl
 from lumenlit.operators import graph, incremental, quantities, search, tables, vectors
 from lumenlit.operators.search import Range, Tag
-from lumenlit.session import load
+from lumenlit.session import checkpoint, load
 from lumenlit.sources import parsers
 from lumenlit.sql import SQL
 
@@ -40,6 +40,10 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return graph.jaccard_edges(graph.record_tags(docs, ("journal", "keywords")), docs.where(F.col("doc_id") % 100 == 0), 10)
 
 
+def _all_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.all_jaccard_edges(graph.record_tags(_index(s, d), ("journal", "keywords")), 10)
+
+
 def _query_vector(s: SparkSession, d: str) -> list[float]:
     """Vector of the usable chunk with the smallest id and 64 components."""
     rows = load(s, d, "chunks").where((F.size("vector") == 64) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0))
@@ -70,14 +74,14 @@ def _inverted(s: SparkSession, d: str) -> DataFrame:
 
 
 def _components(s: SparkSession, d: str) -> DataFrame:
-    return graph.components(graph.choose_edges(_edges(s, d)))
+    return graph.components(graph.choose_edges(_all_edges(s, d)))
 
 
 def _communities(s: SparkSession, d: str) -> DataFrame:
-    """Communities of one bounded graph: the asked records' lists."""
-    edges = graph.choose_edges(_edges(s, d)).withColumn("graph", F.lit("asked"))
-    nodes = edges.select("graph", F.explode(F.array("source", "target")).alias("record_id")).distinct()
-    return graph.communities(edges, nodes)
+    """Communities of all records' lists; each component is a graph, named by its smallest id, as no label leaves it."""
+    edges = checkpoint(graph.choose_edges(_all_edges(s, d)))
+    nodes = checkpoint(graph.components(edges).withColumnRenamed("component", "graph"))
+    return graph.communities(edges.join(nodes.withColumnRenamed("record_id", "source"), "source"), nodes)
 
 
 def _dedup(s: SparkSession, d: str) -> DataFrame:
@@ -178,8 +182,8 @@ def queries() -> dict[str, Query]:
         "minmax": lambda s, d: _scored(vectors.minmax(vectors.ranked_list(_lists(s, d)[0], "lexical").unionByName(vectors.ranked_list(_lists(s, d)[1], "semantic"))), "fused"),
         "hybrid_topk": lambda s, d: _scored(vectors.hybrid(*_lists(s, d), top=20), "fused"),
         "jaccard_edges": lambda s, d: _edges(s, d).withColumn("weight", F.round("weight", 9)),
-        "mutual_edges": lambda s, d: graph.choose_edges(_edges(s, d), mutual=True),
-        "degrees": lambda s, d: graph.degrees(_edges(s, d)),
+        "mutual_edges": lambda s, d: graph.choose_edges(_all_edges(s, d), mutual=True),
+        "degrees": lambda s, d: graph.degrees(_all_edges(s, d)),
         "components": _components,
         "communities": _communities,
         "dbscan": _dbscan,

@@ -24,16 +24,38 @@ def record_tags(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return documents.select("record_id", each.alias("t")).select("record_id", "t.key", "t.value").distinct()
 
 
-def jaccard_edges(tags: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
-    """(source, target, weight, kind): for each asked record the ``limit`` records with the most alike tag sets."""
+def _alike(tags: DataFrame, asked: DataFrame) -> DataFrame:
+    """(source, target, weight): Jaccard of the tag sets of each asked record and of every record it shares a tag with, itself too."""
     sizes = tags.groupBy("record_id").agg(F.count("*").alias("n"))
     left = tags.join(asked.select("record_id").distinct(), "record_id", "left_semi").select(F.col("record_id").alias("source"), "key", "value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     right = tags.select(F.col("record_id").alias("target"), "key", "value", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    shared = left.join(right, ["key", "value", "salt"]).where(F.col("source") != F.col("target")).groupBy("source", "target").agg(F.count("*").alias("both"))
+    shared = left.join(right, ["key", "value", "salt"]).groupBy("source", "target").agg(F.count("*").alias("both"))
     n = lambda side: sizes.select(F.col("record_id").alias(side), F.col("n").alias(f"n_{side}"))
     scored = shared.join(n("source"), "source").join(n("target"), "target")
-    weighted = scored.select("source", "target", (F.col("both") / (F.col("n_source") + F.col("n_target") - F.col("both"))).alias("weight"))
-    return top_neighbours(weighted.withColumn("kind", F.lit("tags")), limit)
+    return scored.select("source", "target", (F.col("both") / (F.col("n_source") + F.col("n_target") - F.col("both"))).alias("weight"))
+
+
+def jaccard_edges(tags: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
+    """(source, target, weight, kind): for each asked record the ``limit`` records with the most alike tag sets."""
+    return top_neighbours(_alike(tags, asked).where(F.col("source") != F.col("target")).withColumn("kind", F.lit("tags")), limit)
+
+
+def all_jaccard_edges(tags: DataFrame, limit: int = 10) -> DataFrame:
+    """``jaccard_edges`` that asks every record. Records with equal tag sets are one group, and only groups, named by their smallest id, are
+    joined: a group behind ``limit`` + 1 others by weight and name gives no target, as each of those has its name ahead of it."""
+    sets = checkpoint(tags.groupBy("record_id").agg(F.array_sort(F.collect_set(F.struct("key", "value"))).alias("tags")))
+    place = F.row_number().over(W.partitionBy("tags").orderBy("record_id"))
+    first = checkpoint(sets.withColumn("_p", place).where(F.col("_p") <= limit + 1).withColumn("group", F.min("record_id").over(W.partitionBy("tags"))))
+    groups = first.where("_p = 1").select("group", "tags")
+    named = groups.select(F.col("group").alias("record_id"), F.explode("tags").alias("t")).select("record_id", "t.key", "t.value")
+    ahead = lambda target: F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), target))
+    near = _alike(named, groups.select(F.col("group").alias("record_id"))).withColumn("_p", ahead("target")).where(F.col("_p") <= limit + 1).drop("_p")
+    members = first.select(F.col("group").alias("target"), F.col("record_id").alias("member"))
+    best = near.join(members, "target").withColumn("_p", ahead("member")).where(F.col("_p") <= limit + 1)
+    lists = best.groupBy(F.col("source").alias("group")).agg(F.array_sort(F.collect_list(F.struct("_p", "member", "weight"))).alias("list"))
+    each = sets.join(groups, "tags").join(lists, "group").select(F.col("record_id").alias("source"), "list")
+    others = F.slice(F.filter("list", lambda x: x["member"] != F.col("source")), 1, limit)
+    return each.select("source", F.explode(others).alias("e")).select("source", F.col("e.member").alias("target"), "e.weight", F.lit("tags").alias("kind"))
 
 
 def top_neighbours(edges: DataFrame, fanout: int) -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlit import catalogue
 from lumenlit.errors import FusionError
 from lumenlit.functions import text as tx
 from lumenlit.operators import claims, graph, incremental, quantities, tables, vectors
@@ -166,6 +167,25 @@ def test_components_of_a_long_path(spark):
     assert graph.components(e.where("source < 0")).count() == 0
 
 
+def test_lists_of_all_records(spark):
+    sets = [("ab", 14), ("a", 3), ("abc", 2), ("bd", 1), ("x", 1), ("cd", 12)]
+    ids = iter(f"r{i * 37 % 100:02}" for i in range(1, 100))
+    tags = spark.createDataFrame([(i, "k", v) for s, n in sets for i in [next(ids) for _ in range(n)] for v in s], "record_id string, key string, value string")
+    for limit in (3, 10):
+        want = {tuple(r) for r in graph.jaccard_edges(tags, tags, limit).collect()}
+        assert {tuple(r) for r in graph.all_jaccard_edges(tags, limit).collect()} == want and len(want) > 32
+
+
+def test_graph_queries_ask_every_record(spark):
+    d = "/root/testdata/sf0.01"
+    tags = graph.record_tags(catalogue._index(spark, d), ("journal", "keywords"))
+    lists = [tuple(r) for r in graph.jaccard_edges(tags, tags, 10).select("source", "target").collect()]
+    listed = {(min(p), max(p)) for p in lists}
+    got = {(r.source, r.target) for r in catalogue.queries()["mutual_edges"](spark, d).collect()}
+    assert got == {p for p in listed if p in set(lists) and p[::-1] in set(lists)} and got
+    assert sum(r.degree for r in catalogue.queries()["degrees"](spark, d).collect()) == 2 * len(listed)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [1.0, 1.0]), ("b", 0, [0.0, 0.0]), ("c", 0, [1.0]), ("d", 0, None), ("e", 0, [1.0, float("nan")]), ("a", 0, [1.0, 0.0])], "record_id string, chunk_index int, vector array<float>")
     got = [tuple(r) for r in vectors.nearest_chunks(df, [2.0, 0.0], 5).collect()]
