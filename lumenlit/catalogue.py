@@ -115,7 +115,7 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _located(s: SparkSession, d: str) -> DataFrame:
-    claims = cl.unique_claims(load(s, d, "claims")).where("kind = 'assertion'").select("claim_id", "record_id", "quote")
+    claims = cl.unique_claims(load(s, d, "claims")).select("claim_id", "record_id", "quote")
     docs = _docs(s, d).select("record_id", "text")
     return claims.join(docs, "record_id").select("claim_id", tx.located(F.col("text"), F.col("quote")).alias("at")).select("claim_id", "at.*")
 

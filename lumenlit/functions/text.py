@@ -226,6 +226,7 @@ def sentences(c: Column) -> Column:
 
 def locate_quote(text: str | None, quote: str | None, least: float = 0.9) -> tuple[int, int, float] | None:
     """(start, end, ratio) of a quote in a text: exact up to white space, else the best match with one or two adjacent sentences."""
+    from collections import Counter
     from difflib import SequenceMatcher
 
     if not text or not quote or not quote.strip():
@@ -235,12 +236,17 @@ def locate_quote(text: str | None, quote: str | None, least: float = 0.9) -> tup
     if exact:
         return exact.start(), exact.end(), 1.0
     bounds, flat, best = sentence_bounds(text), " ".join(quote.split()), None
+    letters = Counter(flat)
     for n in (1, 2):
         for i in range(len(bounds) - n + 1):
             a, b = bounds[i][0], bounds[i + n - 1][1]
             span = " ".join(text[a:b].split())
+            # no alignment has more letters than the shorter side, or than both sides share
+            full, need = len(flat) + len(span), best[2] if best else least
+            if 2 * min(len(flat), len(span)) / full < need or 2 * (letters & Counter(span)).total() / full < need:
+                continue
             blocks = SequenceMatcher(None, flat, span, autojunk=False).get_matching_blocks()
-            ratio = 2 * sum(x.size for x in blocks if x.size >= 3) / (len(flat) + len(span))
+            ratio = 2 * sum(x.size for x in blocks if x.size >= 3) / full
             if ratio >= least and (best is None or (ratio, a - b) > (best[2], best[0] - best[1])):
                 best = (a, b, ratio)
     return best

@@ -207,6 +207,15 @@ def test_claims(spark):
     assert ids > 100
 
 
+def test_quotes_of_all_kinds_are_located(spark):
+    d = "/root/testdata/sf0.001"
+    every = claims.unique_claims(load(spark, d, "claims")).join(catalogue._docs(spark, d).select("record_id"), "record_id")
+    want = {r.claim_id for r in every.select("claim_id").collect()}
+    rows = catalogue.queries()["locate_quote"](spark, d).collect()
+    assert {r.claim_id for r in rows} == want and len(rows) == len(want)
+    assert every.where("kind = 'measurement'").count() > 0
+
+
 def test_parsers(spark):
     import gzip
     import io
