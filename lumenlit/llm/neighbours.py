@@ -1,16 +1,17 @@
 """Most similar vectors for every vector, by a robust-pruned directed graph per shard.
 
 1. Exact copies collapse to one representative (map-side combining); membership is kept beside the pairs.
-2. Cell centres come from spherical k-means on at most ``SAMPLE`` representatives; every representative is indexed in
-   its nearest cell and queries the up to ``PROBES`` cells that are nearly as near. Centres follow the density of the sample, so dense
-   regions get more cells; a cell above ``SHARD_ROWS`` is split into salted shards, all of which its visitors query.
-3. Inside a shard, similar vectors share a page of at most ``PAGE`` rows. Pages are the nodes of a directed graph built
-   by greedy searches that propose neighbours and relaxed distance pruning (``ALPHA``) that keeps diverse edges.
-4. Queries walk the graph page-wise with a beam; all vectors of the visited pages are scored by one matrix product.
+2. A shard holds about ``SHARD_ROWS`` vectors. Cells come from spherical k-means on a bounded sample and are joined to shards of neighbouring
+   cells; every representative is indexed in its own shard and also asks the shards of the cells that are nearly as near. A cell too large for
+   a shard is divided by the same rule once more, from a sample of its own, and so on: nothing is capped.
+3. Inside a shard every vector is a node of a directed graph. Nodes are inserted in batches: a greedy beam search proposes neighbours, relaxed
+   distance pruning (``ALPHA``) keeps diverse edges, edges also run backwards and are pruned again where a node has too many.
+4. A query walks the graph with a beam of ``BEAM`` nodes; members start at their own node, visitors at the nearest of a few pivots. Work per
+   query is the beam times the degree, whatever the shard holds (a shard of fewer vectors than that is seen whole).
 5. The shards' lists merge into the ``k`` best per vector.
 
-Work per vector is constant (probes x beam x page), so the whole is linear in the rows. Recall is measured against
-brute force in tests; cosine of the reported pairs is exact.
+Shards that cannot be divided (more than ``SHARD_ROWS`` vectors in one direction) are cut at random and asked part by part; visitors
+beyond ``GUEST_ROWS`` go to copies of a shard. So a task's input is bounded.
 
 Defined results: vectors that are NULL, empty, all zero or hold NULL, NaN or infinite components are not usable and give no
 rows; vectors compare only with others of the same length; repeated rows of a chunk count once; ties go to the
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 
 from lumenlit.session import checkpoint
 
-#: Bounded sample the cell centres are fitted on, rows a cell aims at, most cells, rows a shard may hold.
-SAMPLE, CELL_ROWS, MAX_CELLS, SHARD_ROWS = 20_000, 1_000, 1_024, 40_000
-#: A vector queries every cell whose centre is less than ``MARGIN`` (in cosine) behind its nearest centre, at most ``PROBES`` of them.
+#: Rows of the bounded sample that the cells of one table (or of one divided cell) are fitted on, rows a cell aims at, most cells of one fit.
+SAMPLE, CELL_ROWS, FINE = 20_000, 1_000, 1_024
+#: Vectors indexed in one shard, and visitors that ask one copy of it.
+SHARD_ROWS, GUEST_ROWS = 32_768, 65_536
+#: A vector asks the shards of every cell less than ``MARGIN`` (in cosine) behind its nearest one, of its ``PROBES`` nearest cells.
 MARGIN, PROBES = 0.25, 8
-#: Rows of a page, out-degree of the graph, relaxation of pruning, pages proposed while building and visited by a query.
-PAGE, DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 12, 1.2, 16, 64
+#: How often an oversized cell is divided before it is cut at random.
+LEVELS = 4
+#: Out-degree after pruning, relaxation of pruning, beam while building and of a query, nodes a beam expands at once, rows of one batch.
+DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND, BATCH = 24, 1.2, 48, 64, 4, 256
 
 
 def usable(chunks: DataFrame) -> DataFrame:
@@ -60,6 +65,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list<float> column of equal lengths as rows of a matrix."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(a)
+    flat = a.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1) if n else np.zeros((0, 1), np.float32)
+
+
+# --- shards
+
+
 def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Spherical k-means; an emptied cell restarts at the sample row that fits worst."""
     rng = np.random.default_rng(seed)
@@ -76,157 +92,320 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return c.astype(np.float32)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list<float> column as rows of a matrix."""
-    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = len(a)
-    flat = a.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1) if n else np.zeros((0, 1), np.float32)
-
-
-def pages(x: np.ndarray) -> list[np.ndarray]:
-    """Row indices of balanced groups of at most ``PAGE`` similar rows: halving along the line between two far rows."""
-    out, stack = [], [np.arange(len(x))]
+def plan(sample: np.ndarray, rows: int, fine: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cell centres, shard of every cell, whether that shard is oversized) for ``rows`` vectors of which ``sample`` is a sample."""
+    c = centres(sample, max(2, min(fine, round(rows / CELL_ROWS))))
+    nearest = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
+    weight = np.bincount(nearest, minlength=len(c)) * (rows / max(len(sample), 1))
+    shard, over, stack = np.zeros(len(c), np.int64), np.zeros(len(c), bool), [np.arange(len(c))]
+    count = 0
     while stack:
-        rows = stack.pop()
-        if len(rows) <= PAGE:
-            out.append(rows)
+        cells = stack.pop()
+        if len(cells) == 1 or weight[cells].sum() <= shard_rows:
+            shard[cells], over[cells] = count, weight[cells].sum() > 1.5 * shard_rows
+            count += 1
             continue
-        part = x[rows]
+        # Halved by weight along the line between two far centres.
+        part = c[cells]
         far = part[(part @ part[0]).argmin()]
-        along = part @ (far - part[(part @ far).argmin()])
-        half = np.argpartition(along, len(rows) // 2)
-        stack += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
-    return out
-
-
-def prune(node: int, candidates: np.ndarray, c: np.ndarray) -> list[int]:
-    """Robust pruning: nearest first, dropping what a kept neighbour is closer to by the factor ``ALPHA``."""
-    candidates = candidates[candidates != node]
-    if not len(candidates):
-        return []
-    own = np.maximum(1 - c[candidates] @ c[node], 0)
-    order = np.argsort(own, kind="stable")
-    candidates, own = candidates[order], own[order]
-    between = np.maximum(1 - c[candidates] @ c[candidates].T, 0)
-    alive, kept = np.ones(len(candidates), bool), []
-    for i in range(len(candidates)):
-        if alive[i]:
-            kept.append(int(candidates[i]))
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * between[i] > own
+        order = cells[np.argsort(part @ (far - part[(part @ far).argmin()]), kind="stable")]
+        half = int(np.searchsorted(np.cumsum(weight[order]), weight[order].sum() / 2))
+        half = min(max(half, 1), len(order) - 1)
+        stack += [order[:half], order[half:]]
+    return c, shard, over
+
+
+def ask(x: np.ndarray, c: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard) of every shard that the unit vectors ask, a row's own shard first."""
+    s = x @ c.T
+    p = min(PROBES, s.shape[1])
+    top = np.argpartition(-s, p - 1, axis=1)[:, :p]
+    best = np.take_along_axis(s, top, 1)
+    order = np.argsort(-best, axis=1, kind="stable")
+    top, best = np.take_along_axis(top, order, 1), np.take_along_axis(best, order, 1)
+    near = best >= best[:, :1] - MARGIN
+    to = shard[top]
+    for j in range(1, p):
+        near[:, j] &= (to[:, :j] != to[:, j : j + 1]).all(1)
+    rows, cols = np.nonzero(near)
+    return rows, to[rows, cols]
+
+
+VISITS = "id bigint, dim int, vector array<float>, shard bigint, home boolean, over boolean"
+
+
+def _visits(b: pa.RecordBatch | pa.Table, rows: np.ndarray, shard: np.ndarray, home: np.ndarray, over: np.ndarray) -> pa.Table:
+    taken = pa.Table.from_batches([b]) if isinstance(b, pa.RecordBatch) else b
+    taken = taken.select(["id", "dim", "vector"]).take(pa.array(rows))
+    for name, values in (("shard", pa.array(shard, pa.int64())), ("home", pa.array(home)), ("over", pa.array(over))):
+        taken = taken.append_column(name, values)
+    return taken
+
+
+def _first(rows: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
+
+
+def route(reps: DataFrame, fine: int, shard_rows: int) -> DataFrame:
+    """``VISITS``: every vector in its own shard (home) and in those it asks."""
+    # Lengths with more vectors than a shard holds: at most rows / SHARD_ROWS of them.
+    large = {r[0]: r[1] for r in reps.groupBy("dim").count().where(F.col("count") > shard_rows).collect()}
+    plans: dict[int, tuple] = {}
+    if large:
+        rate = F.create_map(*[F.lit(v) for d, n in large.items() for v in (d, min(1.0, SAMPLE / n))])
+        chosen = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.try_element_at(rate, F.col("dim")) * (1 << 20)
+        sample = reps.where(F.col("dim").isin(*large)).where(chosen).select("dim", "vector")
+
+        def fit(t: pa.Table) -> pa.Table:
+            dim = t["dim"][0].as_py()
+            c, shard, over = plan(unit(matrix(t["vector"])), large[dim], fine, shard_rows)
+            return pa.table({"dim": pa.array([dim], pa.int32()), "c": pa.array([c.ravel().tolist()], pa.list_(pa.float32())), "shard": pa.array([shard.tolist()], pa.list_(pa.int64())), "over": pa.array([over.tolist()])})
+
+        # One row per such length, of at most FINE centres.
+        for r in sample.groupBy("dim").applyInArrow(fit, "dim int, c array<float>, shard array<bigint>, over array<boolean>").collect():
+            plans[r.dim] = (np.array(r.c, np.float32).reshape(-1, r.dim), np.array(r.shard), np.array(r.over))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dims = b["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = pa.Table.from_batches([b]).take(pa.array(np.flatnonzero(dims == dim)))
+                if dim in plans:
+                    c, shard, over = plans[dim]
+                    rows, to = ask(unit(matrix(part["vector"])), c, shard)
+                    yield from _visits(part, rows, to, _first(rows), np.isin(to, shard[over])).to_batches()
+                else:
+                    n = part.num_rows
+                    yield from _visits(part, np.arange(n), np.zeros(n, np.int64), np.ones(n, bool), np.zeros(n, bool)).to_batches()
+
+    placed = checkpoint(reps.select("id", "dim", "vector").mapInArrow(place, VISITS))
+    for _ in range(LEVELS):
+        if placed.where("over").isEmpty():
+            break
+        placed = checkpoint(placed.where("not over").unionByName(divided(placed.where("over"), fine, shard_rows)))
+    return placed
+
+
+def divided(visits: DataFrame, fine: int, shard_rows: int) -> DataFrame:
+    """``VISITS`` of oversized shards, each divided by cells of its own. Every group of rows is at most about a shard."""
+    sizes = visits.groupBy("dim", "shard").agg(F.count_if("home").alias("rows"), F.ceil(F.count("*") / shard_rows).cast("int").alias("salts"))
+    sized = visits.join(sizes, ["dim", "shard"])
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) < F.lit(SAMPLE << 20) / F.col("rows")
+
+    def fit(t: pa.Table) -> pa.Table:
+        dim, mother, rows, salts = (t[c][0].as_py() for c in ("dim", "shard", "rows", "salts"))
+        c, shard, over = plan(unit(matrix(t["vector"])), rows, fine, shard_rows)
+        over &= len(np.unique(shard)) > 1  # what cannot be divided is cut at random later
+        row = {"dim": [dim], "shard": [mother], "salts": [salts], "c": [c.ravel().tolist()], "sub": [((mother + 1) * FINE + shard).tolist()], "sub_over": [over.tolist()]}
+        return pa.table(row, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("salts", pa.int32()), ("c", pa.list_(pa.float32())), ("sub", pa.list_(pa.int64())), ("sub_over", pa.list_(pa.bool_()))]))
+
+    sample = sized.where(F.col("home") & chosen).select("dim", "shard", "rows", "salts", "vector")
+    fits = sample.groupBy("dim", "shard").applyInArrow(fit, "dim int, shard bigint, salts int, c array<float>, sub array<bigint>, sub_over array<boolean>")
+    fits = checkpoint(fits).select("dim", "shard", "c", "sub", "sub_over", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = sized.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.col("salts")).cast("int")).select("id", "dim", "vector", "shard", "home", "salt")
+
+    def again(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows or not found.num_rows:
+            return pa.table({"id": [], "dim": [], "vector": [], "shard": [], "home": [], "over": []}, schema=pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("vector", pa.list_(pa.float32())), ("shard", pa.int64()), ("home", pa.bool_()), ("over", pa.bool_())]))
+        dim = found["dim"][0].as_py()
+        c = np.array(found["c"][0].as_py(), np.float32).reshape(-1, dim)
+        shard, over = np.array(found["sub"][0].as_py()), np.array(found["sub_over"][0].as_py())
+        at, to = ask(unit(matrix(rows["vector"])), c, shard)
+        home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
+        return _visits(rows, at, to, home[at] & _first(at), np.isin(to, shard[over]))
+
+    return salted.groupBy("dim", "shard", "salt").cogroup(fits.groupBy("dim", "shard", "salt")).applyInArrow(again, VISITS)
+
+
+def groups(visits: DataFrame, shard_rows: int, guest_rows: int) -> DataFrame:
+    """id, dim, vector, shard, part, copy, indexed, asks: the input of one task per (dim, shard, part, copy), each of bounded size."""
+    sizes = visits.groupBy("dim", "shard").agg(F.count_if("home").alias("members"), F.count("*").alias("n"))
+    parts = F.when(F.col("members") > 2 * shard_rows, F.ceil(F.col("members") / shard_rows)).otherwise(F.lit(1)).cast("int")
+    copies = F.greatest(F.ceil((F.col("n") - F.col("members")) / guest_rows), F.lit(1)).cast("int")
+    large = sizes.select("dim", "shard", parts.alias("parts"), copies.alias("copies")).where("parts > 1 or copies > 1")
+    if large.isEmpty():
+        return visits.select("id", "dim", "vector", "shard", F.lit(0).alias("part"), F.lit(0).alias("copy"), F.col("home").alias("indexed"), F.lit(True).alias("asks"))
+    sized = visits.join(large, ["dim", "shard"], "left").fillna(1, ["parts", "copies"])
+    own = F.pmod(F.xxhash64(F.lit("part"), "id"), F.col("parts")).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit("copy"), "id"), F.col("copies")).cast("int")
+    each = sized.withColumns({"own": own, "mine": mine}).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A member is indexed in every copy of its part and asks one copy of every part; a visitor asks one copy of every part.
+    each = each.withColumn("copy", F.explode(F.when(F.col("home") & (F.col("part") == F.col("own")), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("mine"))))
+    return each.select("id", "dim", "vector", "shard", "part", "copy", (F.col("home") & (F.col("part") == F.col("own"))).alias("indexed"), (F.col("copy") == F.col("mine")).alias("asks"))
+
+
+# --- the graph of a shard
+
+
+def walk(q: np.ndarray, x: np.ndarray, links: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Beam search of many queries at once: (nodes, their cosines, nodes visited in all); -1 fills a beam that found fewer.
+
+    ``entry``: the nodes each query starts at. Every round expands the ``EXPAND`` best nodes of each beam that were not expanded yet.
+    """
+    count, n = len(q), len(x)
+    ids, scores = np.full((count, beam), -1, np.int32), np.full((count, beam), -4, np.float32)
+    done = np.ones((count, beam), bool)
+    seen = np.zeros((count, n), np.int16)
+    live, new, visits = np.arange(count), entry.astype(np.int32), 0
+    while True:
+        width = new.shape[1]
+        column = np.arange(1, width + 1, dtype=np.int16)
+        node = np.maximum(new, 0)
+        a, b = np.nonzero((new >= 0) & (seen[live[:, None], node] == 0))
+        to = node[a, b]
+        seen[live[a], to] = column[b]
+        once = seen[live[a], to] == column[b]  # a node that two expanded ones link to
+        a, b, to = a[once], b[once], to[once]
+        visits += len(to)
+        fresh = np.full((len(live), width), -4, np.float32)
+        fresh[a, b] = np.einsum("ij,ij->i", x[to], q[live[a]])
+        score = np.concatenate([scores[live], fresh], 1)
+        node = np.concatenate([ids[live], new], 1)
+        old = np.concatenate([done[live], np.zeros(new.shape, bool)], 1)
+        top = np.argpartition(-score, beam - 1, axis=1)[:, :beam]
+        score, node, old = (np.take_along_axis(m, top, 1) for m in (score, node, old))
+        old |= score < -3
+        rank = np.where(old, -9, score)
+        best = np.argpartition(-rank, min(EXPAND, beam) - 1, axis=1)[:, :EXPAND]
+        good = np.take_along_axis(rank, best, 1) > -8
+        out = np.where(good, np.take_along_axis(node, best, 1), -1)
+        np.put_along_axis(old, best, True, 1)
+        scores[live], ids[live], done[live] = score, np.where(score < -3, -1, node), old
+        more = good.any(1)
+        live, out = live[more], out[more]
+        if not len(live):
+            break
+        new = np.where((out >= 0)[:, :, None], links[np.maximum(out, 0)], -1).reshape(len(live), -1)
+    return ids, scores, visits
+
+
+def prune(nodes: np.ndarray, candidates: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Robust pruning of many nodes at once: of each one's candidates (-1: none) the nearest first, dropping what a kept one is closer to by
+    the factor ``ALPHA``; at most ``DEGREE`` stay."""
+    node = np.maximum(candidates, 0)
+    v = x[node]
+    own = np.where((candidates >= 0) & (candidates != nodes[:, None]), 1 - np.einsum("bcd,bd->bc", v, x[nodes]), 9)
+    order = np.argsort(own, axis=1, kind="stable")
+    own, node, v = np.take_along_axis(own, order, 1), np.take_along_axis(node, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+    between = 1 - v @ v.transpose(0, 2, 1)
+    alive, kept, size = own < 8, np.full((len(nodes), DEGREE), -1, np.int32), np.zeros(len(nodes), int)
+    for i in range(candidates.shape[1]):
+        rows = np.flatnonzero(alive[:, i] & (size < DEGREE))
+        kept[rows, size[rows]] = node[rows, i]
+        size[rows] += 1
+        alive[rows] &= ALPHA * np.maximum(between[rows, i], 0) > np.maximum(own[rows], 1e-9)
     return kept
 
 
-def walk(q: np.ndarray, c: np.ndarray, links: list[list[int]], start: int, beam: int) -> np.ndarray:
-    """Nodes visited by a greedy search with a beam, best first."""
-    score = {start: float(c[start] @ q)}
-    done: set[int] = set()
-    while True:
-        front = sorted(score, key=score.get, reverse=True)[:beam]
-        todo = [n for n in front if n not in done][:4]
-        if not todo:
-            return np.array(front)
-        done.update(todo)
-        new = [m for m in {m for n in todo for m in links[n]} if m not in score]
-        if new:
-            score.update(zip(new, (c[new] @ q).tolist()))
-
-
-def build(c: np.ndarray, seed: int = 3) -> tuple[list[list[int]], int]:
-    """(out-links of every node, entry node)."""
-    n, rng = len(c), np.random.default_rng(seed)
-    start = int((c @ c.mean(0)).argmax())
-    links = [[int(m) for m in rng.choice(n, min(DEGREE, n), replace=False) if m != i] for i in range(n)]
-    for i in rng.permutation(n).tolist():
-        seen = walk(c[i], c, links, start, BUILD_BEAM)
-        links[i] = prune(i, np.unique(np.concatenate([seen, np.array(links[i], int)])), c)
-        for j in links[i]:
-            if i not in links[j]:
-                links[j].append(i)
-                if len(links[j]) > 2 * DEGREE:
-                    links[j] = prune(j, np.array(links[j]), c)
-    return links, start
-
-
-def search_shard(table: pa.Table, k: int, least: float) -> pa.Table:
-    """Candidate pairs (id, other, cosine) of one shard. ``table``: id, home (indexed here, else visiting), vector."""
-    ids, home = table["id"].to_numpy(), table["home"].to_numpy(zero_copy_only=False).astype(bool)
-    x = unit(matrix(table["vector"])) if len(ids) else np.zeros((0, 1), np.float32)
+def nearest_pivots(q: np.ndarray, x: np.ndarray, pivots: np.ndarray, most: int = 4) -> np.ndarray:
+    s = q @ x[pivots].T
+    e = min(most, len(pivots))
+    return pivots[np.argpartition(-s, e - 1, axis=1)[:, :e]]
+
+
+def build(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(links of every node, -1 for none; pivots). Nodes are inserted in batches that at most double what is there."""
+    n = len(x)
+    order, width = np.random.default_rng(seed).permutation(n), DEGREE + DEGREE // 2
+    links, size = np.full((n, width), -1, np.int32), np.zeros(n, int)
+    head = order[: min(n, 64)]
+    links[head, :DEGREE] = prune(head, np.tile(head, (len(head), 1)), x)
+    size[head] = (links[head] >= 0).sum(1)
+    low = len(head)
+    while low < n:
+        new = order[low : low + min(low, BATCH)]
+        pivots = order[: max(8, low // 128)]
+        near, _, _ = walk(x[new], x, links, nearest_pivots(x[new], x, pivots), BUILD_BEAM)
+        links[new, :DEGREE] = prune(new, near, x)
+        size[new] = (links[new] >= 0).sum(1)
+        # Edges back, grouped by the node they start at.
+        src, dst = np.repeat(new, DEGREE), links[new, :DEGREE].ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        by = np.argsort(dst, kind="stable")
+        src, dst = src[by], dst[by]
+        node, first, count = np.unique(dst, return_index=True, return_counts=True)
+        nth = np.arange(len(dst)) - np.repeat(first, count)
+        roomy = size[node] + count <= width
+        each = np.repeat(roomy, count)
+        links[dst[each], size[dst[each]] + nth[each]] = src[each]
+        size[node[roomy]] += count[roomy]
+        full = node[~roomy]
+        if len(full):
+            wide = np.full((len(full), width + int(count[~roomy].max())), -1, np.int32)
+            wide[:, :width] = links[full]
+            wide[np.repeat(np.arange(len(full)), count[~roomy]), width + nth[~each]] = src[~each]
+            for i in range(0, len(full), BATCH):
+                some = full[i : i + BATCH]
+                links[some] = -1
+                links[some, :DEGREE] = prune(some, wide[i : i + BATCH], x)
+            size[full] = (links[full] >= 0).sum(1)
+        low += len(new)
+    return links, order[: max(8, n // 128)]
+
+
+def search(x: np.ndarray, q: np.ndarray, own: np.ndarray, links: np.ndarray, pivots: np.ndarray, k: int, beam: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ``k`` best nodes of every query (-1: none), their cosines and the nodes visited. ``own``: the query's own node, or -1."""
+    entry = nearest_pivots(q, x, pivots)
+    entry = np.concatenate([np.where(own >= 0, own, entry[:, 0])[:, None], np.where((own >= 0)[:, None], -1, entry[:, 1:])], 1)
+    ids, scores, visits = walk(q, x, links, entry, max(beam or BEAM, k + 1))
+    scores = np.where((ids == own[:, None]) | (ids < 0), -4, scores)
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    scores = np.take_along_axis(scores, top, 1)
+    return np.where(scores < -3, -1, np.take_along_axis(ids, top, 1)), scores, visits
+
+
+def search_shard(table: pa.Table, k: int, least: float, exhaust: bool) -> pa.Table:
+    """Candidate pairs (id, other, cosine) of one shard. ``exhaust``: a query whose ``k`` best all reach ``least`` may have more such partners
+    and is compared with the whole shard, as is one whose walk found fewer than ``k`` nodes."""
+    table = table.sort_by("id")  # ties go to the smaller id
+    ids, indexed = table["id"].to_numpy(), table["indexed"].to_numpy(zero_copy_only=False).astype(bool)
+    asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
     src, dst, cos = [], [], []
-    member, guest = x[home], x[~home]
-    if len(member):
-        member_ids, groups = ids[home], pages(member)
-        c = np.stack([member[g].mean(0) for g in groups])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        links, start = build(c)
-        flow = [(member[g], member_ids[g]) for g in groups]
-        flow += [(guest[g], ids[~home][g]) for g in pages(guest) if len(guest)]
-        for q, q_ids in flow:
-            seen = walk(q.mean(0), c, links, start, BEAM)
-            rows = np.concatenate([groups[i] for i in seen])
-            s = q @ member[rows].T
-            s[q_ids[:, None] == member_ids[rows]] = -2
-            if s.shape[1] > k:
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            else:
-                top = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-            best = np.take_along_axis(s, top, 1)
-            a, b = np.nonzero((best >= least) & (best > -1.5))
-            # Exact in double precision for what is reported.
-            exact = np.einsum("ij,ij->i", q[a].astype(np.float64), member[rows[top[a, b]]].astype(np.float64))
-            src.append(q_ids[a])
-            dst.append(member_ids[rows[top[a, b]]])
-            cos.append(exact)
+    if indexed.any():
+        x = unit(matrix(table["vector"]))
+        nodes, node_ids = x[indexed], ids[indexed]
+        links, pivots = build(nodes)
+        own = np.where(indexed, np.cumsum(indexed) - 1, -1)
+
+        def report(q: np.ndarray, to: np.ndarray) -> None:
+            s = np.einsum("ij,ij->i", x[q].astype(np.float64), nodes[to].astype(np.float64))  # exact for what is reported
+            good = s >= least
+            src.append(ids[q][good]), dst.append(node_ids[to][good]), cos.append(s[good])
+
+        for i in range(0, int(asks.sum()), BATCH):
+            q = np.flatnonzero(asks)[i : i + BATCH]
+            found, scores, _ = search(nodes, x[q], own[q], links, pivots, k)
+            a, b = np.nonzero((found >= 0) & (scores >= least - 1e-5))
+            report(q[a], found[a, b])
+            # Exact ways: a walk that ended in a part of the graph of fewer than k nodes; a full list that may have been cut.
+            stuck = (found < 0).any(1)
+            whole = stuck | (scores >= least - 1e-5).all(1) if exhaust else stuck
+            for some in np.array_split(q[whole], max(1, int(whole.sum()) // 64)):
+                s = x[some] @ nodes.T
+                s[own[some] >= 0, own[some][own[some] >= 0]] = -4
+                if exhaust or len(nodes) <= k:
+                    a, b = np.nonzero(s >= max(least - 1e-5, -3))
+                else:
+                    b = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    a, b = np.repeat(np.arange(len(some)), k), b.ravel()
+                    a, b = a[s[a, b] > -3], b[s[a, b] > -3]
+                report(some[a], b)
     join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     return pa.table({"id": join(src, np.int64), "other": join(dst, np.int64), "cosine": join(cos, np.float64)})
 
 
-def candidates(reps: DataFrame, k: int, least: float) -> DataFrame:
-    """(id, other, cosine) proposed by the shards; up to ``k`` for every vector and shard queried."""
-    spark = reps.sparkSession
-    found = None
-    for dim, n in sorted(tuple(r) for r in reps.groupBy("dim").count().collect()):
-        own = reps.where(F.col("dim") == dim)
-        # Sample of documented size; the order by hash makes it the same on every run.
-        rows = own.select("vector").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
-        c = centres(unit(matrix(rows["vector"])), max(1, min(MAX_CELLS, round(n / CELL_ROWS))))
-
-        def nearest(batches: Iterator[pa.RecordBatch], c=c) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    s = unit(matrix(b["vector"])) @ c.T
-                    p = min(PROBES, s.shape[1])
-                    top = np.argpartition(-s, p - 1, axis=1)[:, :p]
-                    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
-                    best = np.take_along_axis(s, top, 1)
-                    near = best >= best[:, :1] - MARGIN
-                    ends = np.concatenate([[0], near.sum(1).cumsum()]).astype(np.int32)
-                    cells = pa.ListArray.from_arrays(pa.array(ends), pa.array(top[near].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([b["id"], b["vector"], cells], ["id", "vector", "cells"])
-
-        placed = checkpoint(own.select("id", "vector").mapInArrow(nearest, "id bigint, vector array<float>, cells array<int>"))
-        # At most MAX_CELLS rows.
-        sizes = {r[0]: -(-r[1] // SHARD_ROWS) for r in placed.groupBy(F.element_at("cells", 1).alias("cell")).count().collect()}
-        split = {cell: parts for cell, parts in sizes.items() if parts > 1}
-        parts = F.lit(1)
-        if split:
-            parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in split.items() for x in kv]), F.col("cell")), F.lit(1))
-        visits = placed.select("id", "vector", F.posexplode("cells").alias("nth", "cell")).withColumn("parts", parts)
-        own_part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-        visits = visits.select("id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), (F.col("nth") == 0).alias("first"), own_part.alias("own"))
-        shards = visits.select("id", "vector", "cell", "part", (F.col("first") & (F.col("part") == F.col("own"))).alias("home"))
-        pairs = shards.groupBy("cell", "part").applyInArrow(
-            lambda t: search_shard(t, k, least), "id bigint, other bigint, cosine double"
-        )
-        found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else spark.createDataFrame([], "id bigint, other bigint, cosine double")
+def candidates(reps: DataFrame, k: int, least: float, exhaust: bool = False) -> DataFrame:
+    """(id, other, cosine) proposed by the shards; up to ``k`` for every vector and shard asked, more where ``exhaust`` says so."""
+    tasks = groups(route(reps, FINE, SHARD_ROWS), SHARD_ROWS, GUEST_ROWS)
+    return tasks.groupBy("dim", "shard", "part", "copy").applyInArrow(lambda t: search_shard(t, k, least, exhaust), "id bigint, other bigint, cosine double")
 
 
 def nearest_classes(reps: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
     """(id, other, cosine, place): the ``k`` best of every class; ``least`` leaves out pairs below it."""
     best = F.slice(F.sort_array(F.collect_list(F.struct(F.col("cosine"), (-F.col("other")).alias("m"))), asc=False), 1, k)
+    # At most k rows for each shard asked, so a list has at most PROBES * k entries.
     merged = candidates(reps, k, least).groupBy("id", "other").agg(F.max("cosine").alias("cosine")).groupBy("id").agg(best.alias("best"))
     return merged.select("id", F.posexplode("best").alias("place", "b")).select("id", (-F.col("b.m")).alias("other"), F.col("b.cosine").alias("cosine"), (F.col("place") + 1).alias("place"))
 
@@ -240,9 +419,10 @@ def knn(chunks: DataFrame, k: int = 10) -> DataFrame:
 
 
 def close_pairs(chunks: DataFrame, least: float = 0.95, k: int = 10) -> DataFrame:
-    """(chunk_id_a, chunk_id_b), a < b: chunks whose cosine is at least ``least`` and of which one is among the other's ``k`` best classes."""
+    """(chunk_id_a, chunk_id_b), a < b: chunks whose cosine is at least ``least``; a class with ``k`` close ones or more is compared with its
+    whole shard, so that none of its partners is cut off."""
     reps, members = classes(usable(chunks))
-    near = nearest_classes(reps, k, least - 1e-6).where(F.col("cosine") >= least - 1e-9)
+    near = candidates(reps, k, least - 1e-9, exhaust=True)
     sides = near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     m = lambda x: members.select(F.col("id").alias(x), F.col("chunk_id").alias(f"chunk_id_{x}"))
     across = sides.join(m("a"), "a").join(m("b"), "b").select(

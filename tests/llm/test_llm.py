@@ -214,4 +214,34 @@ def test_split_shards_lose_nothing(spark, monkeypatch):
     docs = load(spark, SF, "chunks")
     want = {tuple(r) for r in neighbours.close_pairs(docs).collect()}
     monkeypatch.setattr(neighbours, "SHARD_ROWS", 40)
+    monkeypatch.setattr(neighbours, "GUEST_ROWS", 20)
+    monkeypatch.setattr(neighbours, "FINE", 3)
     assert {tuple(r) for r in neighbours.close_pairs(docs).collect()} == want and want
+
+
+def test_more_close_classes_than_k(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.ones((60, 8)) + 0.01 * rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, rng.normal(size=8).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id bigint, vector array<float>")
+    got = {tuple(r) for r in neighbours.close_pairs(df).collect()}
+    assert {(a, b) for a in range(60) for b in range(a + 1, 60)} <= got
+    # Vectors of one direction cannot be divided: they are cut at random and lose nothing.
+    same = spark.createDataFrame([(i, [float(i + 1)] * 4) for i in range(50)], "chunk_id bigint, vector array<float>")
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 10)
+    assert neighbours.close_pairs(same).count() == 50 * 49 // 2
+
+
+def test_graph_visits_few_nodes():
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(200, 48))
+    x = neighbours.unit(centre[rng.integers(0, 200, 50_000)] + 0.9 * rng.normal(size=(50_000, 48)))
+    links, pivots = neighbours.build(x)
+    q = rng.choice(50_000, 512, replace=False)
+    s = x[q] @ x.T
+    s[np.arange(512), q] = -2
+    best = np.argpartition(-s, 10, axis=1)[:, :10].tolist()
+    for own in (q, np.full(512, -1)):
+        found, _, visits = neighbours.search(x, x[q], own, links, pivots, 11)
+        assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found.tolist(), best)]) >= 0.9
+        assert visits / 512 < 0.2 * 50_000
