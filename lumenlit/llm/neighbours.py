@@ -32,13 +32,13 @@ from lumenlit.session import checkpoint
 #: Rows of the bounded sample that the cells of one table (or of one divided cell) are fitted on, rows a cell aims at, most cells of one fit.
 SAMPLE, CELL_ROWS, FINE = 20_000, 1_000, 1_024
 #: Vectors indexed in one shard, and visitors that ask one copy of it.
-SHARD_ROWS, GUEST_ROWS = 32_768, 65_536
+SHARD_ROWS, GUEST_ROWS = 16_384, 65_536
 #: A vector asks the shards of every cell less than ``MARGIN`` (in cosine) behind its nearest one, of its ``PROBES`` nearest cells.
 MARGIN, PROBES = 0.25, 8
 #: How often an oversized cell is divided before it is cut at random.
 LEVELS = 4
 #: Out-degree after pruning, relaxation of pruning, beam while building and of a query, nodes a beam expands at once, rows of one batch.
-DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND, BATCH = 24, 1.2, 48, 64, 4, 256
+DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND, BATCH = 24, 1.2, 32, 32, 8, 256
 
 
 def usable(chunks: DataFrame) -> DataFrame:
