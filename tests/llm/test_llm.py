@@ -117,7 +117,7 @@ def test_ranking(spark):
     ],
 )
 def test_markup(text, kinds):
-    assert markup.found(text) == kinds
+    assert blocks.found(text) == kinds
 
 
 def test_clean():
@@ -128,10 +128,54 @@ def test_clean():
     assert blocks.clean("== H ==\n\nThe '''big''' [[a|mass]] is here for all to see.") == "# H\n\nThe big mass is here for all to see."
 
 
-def test_tree_fits_its_table():
-    rows = [r.split() for r in blocks.LABELLED.strip().splitlines()]
-    hits = np.mean([blocks._label(tuple(map(float, r[:-1]))) == r[-1] for r in rows])
-    assert hits >= 0.9
+@pytest.mark.parametrize("table", [blocks.LABELLED, blocks.RESIDUE_ROWS])
+def test_tree_fits_its_table(table):
+    rows = [r.split() for r in table.strip().splitlines()]
+    hits = np.mean([blocks._label(tuple(map(float, r[:-1])), table) == r[-1] for r in rows])
+    assert hits >= 0.95
+
+
+def test_weak_pieces_need_company():
+    for weak in (1, 2, 5, 9):
+        for words in (2, 20, 300):
+            assert blocks._label((0, weak, 0, 0, words, 0, 30, 0, 30, 0), blocks.RESIDUE_ROWS) == "plain"
+            assert blocks._label((1, weak, 0, 0, words, 0, 30, 0, 30, 0), blocks.RESIDUE_ROWS) == "markup"
+
+
+@pytest.mark.parametrize("n", [300, 5_000, 40_000])
+def test_pieces_of_any_length(n):
+    long = ("word " * (n // 5)).strip()
+    cases = {
+        f"a <!-- {long} --> b": "html", f"a **{long}** b": "markdown", f"a ~~{long}~~ b": "markdown", f"a `{long}` b": "markdown", f"a [{long}](http://x.y) b": "markdown",
+        f"a [[{long}|b]] c": "wiki", f"a {{{{{long}}}}} c": "wiki", f"a '''{long}''' c": "wiki", f"== {long} ==": "wiki", f"a $${long}$$ b": "latex", f"a $x_{{{long}}}$ b": "latex",
+    }
+    for text, kind in cases.items():
+        assert blocks.found(text) == [kind], text[:40]
+        out = blocks.clean(text)
+        assert not any(m in out for m in ("<!--", "**", "~~", "](", "[[", "{{word", "'''", "== ")), out[:60]
+
+
+def test_hostile_fields_pass_in_linear_time():
+    import time
+
+    seeds = ["<a ", "<script>", "<!-- ", "</td ", "\\begin{equation} ", "\\a", "{{ x", "[[", "[a](", "**a ", "*a ", "_a ", "`a ", "'''a ", "$a_", "$$", "== a ", "| ", "\n|  ", "# a\n", "&", "&a", "~~a ", "\\[", "[^a",
+             "<ref>", "=" * 5, "- a\n", "a\n---", "<sup>", "<p a=", "\ue000", "\ue010", " ", "\n ", "\\item[", "\\footnote{"]
+    for seed in seeds:
+        took = []
+        for n in (60_000, 240_000):
+            text = (seed * (n // len(seed) + 1))[:n]
+            began = time.perf_counter()
+            blocks.clean(text, ["html", "markdown", "wiki", "latex"])
+            blocks.found(text)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 0.5 or took[1] < 8 * took[0], (seed, took)
+
+
+def test_navigation_is_left_out():
+    menu = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "About", "Archive", "Contact")) + "</ul>"
+    text = menu + "<p>The paper itself follows here and has a good many words in its first sentence.</p><ul><li>one thing here.</li><li>two things here.</li></ul>"
+    out = blocks.clean(text)
+    assert "Home" not in out and "Archive" not in out and "- one thing here." in out and "The paper itself" in out
 
 
 def test_plain_fields_stay(spark):
