@@ -33,7 +33,8 @@ from lumenlit.session import checkpoint
 SAMPLE, CELL_ROWS, FINE = 20_000, 1_000, 1_024
 #: Vectors indexed in one shard, and visitors that ask one copy of it.
 SHARD_ROWS, GUEST_ROWS = 16_384, 65_536
-#: A vector asks the shards of every cell less than ``MARGIN`` (in cosine) behind its nearest one, of its ``PROBES`` nearest cells.
+#: A vector asks the shards of every cell less than ``MARGIN`` (in cosine) behind its nearest one, of its ``PROBES`` nearest cells. Partners of
+#: a cosine of at least ``least`` lie no further apart than sqrt(2 - 2 least); half of that is margin enough for them.
 MARGIN, PROBES = 0.25, 8
 #: How often an oversized cell is divided before it is cut at random.
 LEVELS = 4
@@ -115,7 +116,7 @@ def plan(sample: np.ndarray, rows: int, fine: int, shard_rows: int) -> tuple[np.
     return c, shard, over
 
 
-def ask(x: np.ndarray, c: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ask(x: np.ndarray, c: np.ndarray, shard: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, shard) of every shard that the unit vectors ask, a row's own shard first."""
     s = x @ c.T
     p = min(PROBES, s.shape[1])
@@ -123,7 +124,7 @@ def ask(x: np.ndarray, c: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np
     best = np.take_along_axis(s, top, 1)
     order = np.argsort(-best, axis=1, kind="stable")
     top, best = np.take_along_axis(top, order, 1), np.take_along_axis(best, order, 1)
-    near = best >= best[:, :1] - MARGIN
+    near = best >= best[:, :1] - margin
     to = shard[top]
     for j in range(1, p):
         near[:, j] &= (to[:, :j] != to[:, j : j + 1]).all(1)
@@ -146,7 +147,7 @@ def _first(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
 
 
-def route(reps: DataFrame, fine: int, shard_rows: int) -> DataFrame:
+def route(reps: DataFrame, fine: int, shard_rows: int, margin: float) -> DataFrame:
     """``VISITS``: every vector in its own shard (home) and in those it asks."""
     # Lengths with more vectors than a shard holds: at most rows / SHARD_ROWS of them.
     large = {r[0]: r[1] for r in reps.groupBy("dim").count().where(F.col("count") > shard_rows).collect()}
@@ -174,7 +175,7 @@ def route(reps: DataFrame, fine: int, shard_rows: int) -> DataFrame:
                 part = pa.Table.from_batches([b]).take(pa.array(np.flatnonzero(dims == dim)))
                 if dim in plans:
                     c, shard, over = plans[dim]
-                    rows, to = ask(unit(matrix(part["vector"])), c, shard)
+                    rows, to = ask(unit(matrix(part["vector"])), c, shard, margin)
                     yield from _visits(part, rows, to, _first(rows), np.isin(to, shard[over])).to_batches()
                 else:
                     n = part.num_rows
@@ -184,11 +185,11 @@ def route(reps: DataFrame, fine: int, shard_rows: int) -> DataFrame:
     for _ in range(LEVELS):
         if placed.where("over").isEmpty():
             break
-        placed = checkpoint(placed.where("not over").unionByName(divided(placed.where("over"), fine, shard_rows)))
+        placed = checkpoint(placed.where("not over").unionByName(divided(placed.where("over"), fine, shard_rows, margin)))
     return placed
 
 
-def divided(visits: DataFrame, fine: int, shard_rows: int) -> DataFrame:
+def divided(visits: DataFrame, fine: int, shard_rows: int, margin: float) -> DataFrame:
     """``VISITS`` of oversized shards, each divided by cells of its own. Every group of rows is at most about a shard."""
     sizes = visits.groupBy("dim", "shard").agg(F.count_if("home").alias("rows"), F.ceil(F.count("*") / shard_rows).cast("int").alias("salts"))
     sized = visits.join(sizes, ["dim", "shard"])
@@ -212,7 +213,7 @@ def divided(visits: DataFrame, fine: int, shard_rows: int) -> DataFrame:
         dim = found["dim"][0].as_py()
         c = np.array(found["c"][0].as_py(), np.float32).reshape(-1, dim)
         shard, over = np.array(found["sub"][0].as_py()), np.array(found["sub_over"][0].as_py())
-        at, to = ask(unit(matrix(rows["vector"])), c, shard)
+        at, to = ask(unit(matrix(rows["vector"])), c, shard, margin)
         home = rows["home"].to_numpy(zero_copy_only=False).astype(bool)
         return _visits(rows, at, to, home[at] & _first(at), np.isin(to, shard[over]))
 
@@ -398,7 +399,8 @@ def search_shard(table: pa.Table, k: int, least: float, exhaust: bool) -> pa.Tab
 
 def candidates(reps: DataFrame, k: int, least: float, exhaust: bool = False) -> DataFrame:
     """(id, other, cosine) proposed by the shards; up to ``k`` for every vector and shard asked, more where ``exhaust`` says so."""
-    tasks = groups(route(reps, FINE, SHARD_ROWS), SHARD_ROWS, GUEST_ROWS)
+    margin = min(MARGIN, 0.5 * (2 - 2 * max(least, -1.0)) ** 0.5)
+    tasks = groups(route(reps, FINE, SHARD_ROWS, margin), SHARD_ROWS, GUEST_ROWS)
     return tasks.groupBy("dim", "shard", "part", "copy").applyInArrow(lambda t: search_shard(t, k, least, exhaust), "id bigint, other bigint, cosine double")
 
 
