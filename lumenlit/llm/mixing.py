@@ -16,40 +16,23 @@ rows are drawn as rows of their own.
 
 from __future__ import annotations
 
-import base64
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lumenlit.llm.tokens import TOKENIZERS
+from lumenlit.llm.tokens import TOKENIZERS, count_corpus
 from lumenlit.session import checkpoint
 
 BLOCK_TOKENS, MAX_BLOCKS, SHARDS, SEED = 20_000, 4_096, 8, 11
-# Fixed value: the pattern that splits a text into words, published with the vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, source, tokens) of rows with a source and at least one token of the public tokenizer."""
-
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for s in batches:
-            yield s.map(lambda t: len(encode(t)) if t else 0)
-
-    counted = F.pandas_udf(count, T.LongType())
+def token_counts(documents: DataFrame, path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """(doc_id, source, tokens) of rows with a source and at least one token, counted by the operator that encodes the corpus."""
     rows = documents.where(F.col("source").isNotNull() & (F.length("text") > 0))
-    return rows.select("doc_id", "source", counted("text").alias("tokens")).where(F.col("tokens") > 0)
+    return count_corpus(rows.select("doc_id", "source", "text"), ["doc_id", "source"], path=path)
 
 
 def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:

@@ -20,7 +20,10 @@ smaller id; an empty table gives no rows; a vector alone in its length has no ne
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +62,16 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("id", "dim", "vector"), members.join(reps.select("h1", "h2", "id"), ["h1", "h2"]).select("chunk_id", "id")
 
 
+@cache
+def one_thread() -> None:
+    """One thread for matrix products in this worker: tasks run side by side, and waiting helper threads would take their cores."""
+    for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled by the largest component first, so that no square overflows."""
     x = x.astype(np.float64)
@@ -95,6 +108,7 @@ def centres(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
 
 def plan(sample: np.ndarray, rows: int, fine: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(cell centres, shard of every cell, whether that shard is oversized) for ``rows`` vectors of which ``sample`` is a sample."""
+    one_thread()
     c = centres(sample, max(2, min(fine, round(rows / CELL_ROWS))))
     nearest = np.concatenate([(sample[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(sample), 4096)])
     weight = np.bincount(nearest, minlength=len(c)) * (rows / max(len(sample), 1))
@@ -167,6 +181,7 @@ def route(reps: DataFrame, fine: int, shard_rows: int, margin: float) -> DataFra
             plans[r.dim] = (np.array(r.c, np.float32).reshape(-1, r.dim), np.array(r.shard), np.array(r.over))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -208,6 +223,7 @@ def divided(visits: DataFrame, fine: int, shard_rows: int, margin: float) -> Dat
     salted = sized.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.col("salts")).cast("int")).select("id", "dim", "vector", "shard", "home", "salt")
 
     def again(rows: pa.Table, found: pa.Table) -> pa.Table:
+        one_thread()
         if not rows.num_rows or not found.num_rows:
             return pa.table({"id": [], "dim": [], "vector": [], "shard": [], "home": [], "over": []}, schema=pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("vector", pa.list_(pa.float32())), ("shard", pa.int64()), ("home", pa.bool_()), ("over", pa.bool_())]))
         dim = found["dim"][0].as_py()
@@ -360,6 +376,7 @@ def search(x: np.ndarray, q: np.ndarray, own: np.ndarray, links: np.ndarray, piv
 def search_shard(table: pa.Table, k: int, least: float, exhaust: bool) -> pa.Table:
     """Candidate pairs (id, other, cosine) of one shard. ``exhaust``: a query whose ``k`` best all reach ``least`` may have more such partners
     and is compared with the whole shard, as is one whose walk found fewer than ``k`` nodes."""
+    one_thread()
     table = table.sort_by("id")  # ties go to the smaller id
     ids, indexed = table["id"].to_numpy(), table["indexed"].to_numpy(zero_copy_only=False).astype(bool)
     asks = table["asks"].to_numpy(zero_copy_only=False).astype(bool)

@@ -62,8 +62,8 @@ def weighted_median(pairs: Column) -> Column:
     return F.aggregate(ordered, start, step, lambda a: a["m"])
 
 
-def median_rank(hits: DataFrame, scorers: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, record_id, position, median_rank, mean_rank, scorers_listing)."""
+def aggregated(hits: DataFrame, scorers: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, record_id, median_rank, mean_rank, ranks by scorer, lists: length of every scorer's list)."""
     ranked = scorer_ranks(best_scores(hits, scorers))
     lists = ranked.groupBy("query_id", "scorer").agg(F.max("listed").alias("listed"))
     lists = lists.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("scorer", "listed"))).alias("lists"))
@@ -77,9 +77,14 @@ def median_rank(hits: DataFrame, scorers: DataFrame, weights: dict[str, float] |
         ),
     )
     mean = F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p["r"] * p["w"]) / F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p["w"])
-    scored = own.join(lists, "query_id").withColumn("pairs", pairs).select(
-        "query_id", "record_id", weighted_median(F.col("pairs")).alias("median_rank"), F.round(mean, 9).alias("mean_rank"), F.size("ranks").alias("scorers_listing")
+    return own.join(lists, "query_id").withColumn("pairs", pairs).select(
+        "query_id", "record_id", weighted_median(F.col("pairs")).alias("median_rank"), F.round(mean, 9).alias("mean_rank"), "ranks", "lists"
     )
+
+
+def median_rank(hits: DataFrame, scorers: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, record_id, position, median_rank, mean_rank, scorers_listing)."""
+    scored = aggregated(hits, scorers, weights).withColumn("scorers_listing", F.size("ranks")).drop("ranks", "lists")
     scored = scored.withColumns({"c1": F.floor(F.col("median_rank") / RANK_STEP), "c2": F.floor(F.col("mean_rank") / RANK_STEP)})
     buckets = scored.groupBy("query_id", "c1", "c2").agg(F.count("*").alias("n"))
     offsets = buckets.select("query_id", "c1", "c2", (F.sum("n").over(W.partitionBy("query_id").orderBy("c1", "c2")) - F.col("n")).alias("ahead"))
@@ -90,8 +95,8 @@ def median_rank(hits: DataFrame, scorers: DataFrame, weights: dict[str, float] |
 
 
 def best_of_all(hits: DataFrame, scorers: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, record_id) among the ``top`` best of every scorer of the query."""
-    ranked = scorer_ranks(best_scores(hits, scorers))
-    lists = ranked.groupBy("query_id").agg(F.count_distinct("scorer").alias("lists"))
-    good = ranked.where(F.col("rank") <= top).groupBy("query_id", "record_id").agg(F.count("*").alias("n"))
-    return good.join(lists, "query_id").where(F.col("n") == F.col("lists")).select("query_id", "record_id")
+    """(query_id, record_id) among the ``top`` best of every scorer of the query: the records whose median rank is that good, then the exact
+    check of each of their ranks."""
+    good = aggregated(hits, scorers).where(F.col("median_rank") <= top)
+    every = (F.size("ranks") == F.size("lists")) & F.forall(F.map_values("ranks"), lambda r: r <= top)
+    return good.where(every).select("query_id", "record_id")

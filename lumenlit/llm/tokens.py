@@ -2,10 +2,10 @@
 
 Texts split into words by the vocabulary's pattern. Only the distinct words of the corpus are encoded: higher-order
 functions turn a word into byte ids and fold the merges over them, always the lowest-ranked pair first. The rank map is
-a literal of three arrays (a perfect hash of the mergeable pairs), so a lookup is three array reads. The
-dictionary of distinct words joins back, broadcast when its measured size is small, else by a shuffled join that AQE
-splits where a word is hot. Texts are partitioned by document once, so putting the ids together needs no further
-shuffle in the broadcast case. Decoding concatenates the binary pieces of the ids.
+a literal of three arrays (a perfect hash of the mergeable pairs), so a lookup is three array reads. The most frequent
+words, up to ``DICTIONARY_BYTES``, are encoded once and broadcast; a word outside them is encoded where it stands, by the same fold. So
+the broadcast is bounded, no join shuffles on a hot word, and every corpus takes the same plan. Texts are partitioned by
+document once, so putting the ids together needs no further shuffle. Decoding concatenates the binary pieces of the ids.
 
 Defined results: NULL and empty texts give an empty list; white space is text; text that spells a special token is
 ordinary text; repeated documents each give a row (their key must be unique); extra columns are ignored; a word's cost
@@ -27,7 +27,7 @@ from lumenlit.session import checkpoint
 TOKENIZERS = os.environ.get("LUMENLIT_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pattern that splits a text into words, published with the vocabulary.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The dictionary of distinct words is broadcast up to this many bytes.
+#: Bytes of the most frequent words and their ids that are broadcast.
 DICTIONARY_BYTES = 32 * 1024 * 1024
 NO_MERGE = 1 << 30
 
@@ -141,26 +141,52 @@ def tables(spark: SparkSession, path: str) -> Column:
     return row.select(F.struct(*row.columns).alias("t")).scalar()
 
 
+def with_ids(rows: DataFrame, known: str | None, path: str) -> DataFrame:
+    """Adds ``own``: the ids of ``word``, those of the column ``known`` where it has any. The rank map is one value bound per row, not a copy."""
+    word = F.transform(F.array("_t"), lambda t: word_ids(F.col("word"), t))[0]
+    if known:
+        word = F.coalesce(F.col(known), F.when(F.col("word").isNull(), F.array().cast("array<int>")).otherwise(word))
+    return rows.withColumn("_t", tables(rows.sparkSession, path)).withColumn("own", word).drop("_t")
+
+
 def dictionary(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of every distinct word; checkpointed, as both the size check and the join read it."""
-    encoded = F.transform(F.array("t"), lambda x: word_ids(F.col("word"), x))[0]
-    distinct = words.groupBy("word").agg(F.lit(1).alias("one"))
-    return checkpoint(distinct.select("word", tables(words.sparkSession, path).alias("t")).select("word", encoded.alias("ids")))
+    """(word, ids) of the most frequent distinct words, at most ``DICTIONARY_BYTES`` in all: whole octaves of frequency, the highest first."""
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    counted = checkpoint(counted.select("word", F.floor(F.log2("n")).cast("int").alias("octave")))
+    sizes = counted.groupBy("octave").agg(F.sum(F.octet_length("word") * 5 + 48).alias("bytes")).collect()  # at most 64 rows
+    room, least = DICTIONARY_BYTES, 64
+    for octave, size in sorted(map(tuple, sizes), reverse=True):
+        room -= size
+        if room < 0:
+            break
+        least = octave
+    return with_ids(counted.where(F.col("octave") >= least), None, path).select("word", F.col("own").alias("ids"))
+
+
+def split_words(text: Column) -> Column:
+    """Words of a text by the vocabulary's pattern."""
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
     """(key, ids): the token ids of every document, without special tokens."""
-    words = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    rows = documents.select(F.col(key), words.alias("words"))
-    known = dictionary(rows.select(F.explode("words").alias("word")), path)
-    size = known.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 48)).first()[0] or 0
-    side = F.broadcast(known) if size <= DICTIONARY_BYTES else known
+    words = split_words(F.col(text))
+    known = dictionary(documents.select(F.explode(words).alias("word")), path)
     placed = documents.select(key, text).repartition(key).select(key, F.posexplode_outer(words).alias("pos", "word"))
-    joined = placed.join(side, "word", "left")
-    parts = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
+    joined = with_ids(placed.join(F.broadcast(known), "word", "left"), "ids", path).select(key, "pos", F.col("own").alias("ids"))
+    parts = F.sort_array(F.collect_list(F.struct("pos", "ids")))
     return joined.groupBy(key).agg(parts.alias("parts")).select(key, F.flatten(F.col("parts.ids")).alias("ids"))
 
 
+def count_corpus(documents: DataFrame, keys: list[str], text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+    """(keys, tokens): how many ids ``encode_corpus`` gives each row of the keys; rows without a token are left out. Counts combine before
+    the only shuffle, which carries keys and numbers."""
+    words = split_words(F.col(text))
+    known = dictionary(documents.select(F.explode(words).alias("word")), path)
+    each = with_ids(documents.select(*keys, F.explode(words).alias("word")).join(F.broadcast(known), "word", "left"), "ids", path)
+    return each.groupBy(*keys).agg(F.sum(F.size("own")).cast("bigint").alias("tokens"))
+
+
 def decode(ids: Column, path: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> Column:
     """The text of a list of ids; bytes that are no UTF-8 become replacement characters."""
     pieces = F.from_json(F.lit(json.dumps([p.hex() for p in vocabulary(path)[2]])), "array<string>")
