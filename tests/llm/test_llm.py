@@ -243,15 +243,14 @@ def test_same_look(spark):
     assert got == {(1, 2), (2, 3), (1, 10), (2, 10), (3, 10)}
 
 
-def test_tokens_without_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("room", [0, 20_000])
+def test_tokens_outside_the_dictionary(spark, monkeypatch, room):
     docs = load(spark, SF, "documents")
     want = {r.doc_id: r.ids for r in tokens.encode_corpus(docs).collect()}
-    monkeypatch.setattr(tokens, "DICTIONARY_BYTES", 0)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert {r.doc_id: r.ids for r in tokens.encode_corpus(docs).collect()} == want
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(tokens, "DICTIONARY_BYTES", room)
+    assert {r.doc_id: r.ids for r in tokens.encode_corpus(docs).collect()} == want
+    counts = {r.doc_id: r.tokens for r in tokens.count_corpus(docs, ["doc_id"]).collect()}
+    assert counts == {k: len(v) for k, v in want.items() if v}
 
 
 def test_split_shards_lose_nothing(spark, monkeypatch):
