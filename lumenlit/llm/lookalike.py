@@ -1,9 +1,11 @@
 """Visually identical text with different characters, brought to one form.
 
-A transducer runs over grapheme clusters in one pass, always taking the longest match: a base with its combining
-marks, an emoji sequence, a letter with a joiner it needs, or a single character. Its mapping is compiled once from
-Unicode properties (widths, spaces, ligatures, canonical forms) plus a fixed list of look-alike letters, and is checked
-for conflicts: no output may itself be mapped. Case, accents, digits, raised signs and font variants stay.
+A transducer runs over grapheme clusters in one pass, always taking the longest match: a base with its combining marks, the jamo of a
+Hangul syllable, an emoji sequence, a letter with a joiner it needs, or a single character. Its table is compiled once from Unicode
+properties (widths, spaces, ligatures, canonical forms) of every assigned character and a fixed list of look-alike letters of a dozen scripts:
+single characters, and every base with marks that has a canonical composition, from whichever look-alike of the base. It is
+checked for conflicts: no output may itself be mapped. A cluster outside the table (a base with marks that compose to nothing) follows the same
+rule, worked out once. Case, accents, digits, raised signs, font variants and line ends stay.
 
 Defined results: NULL stays NULL, empty stays empty; blank texts keep their length in spaces; texts of any length pass
 through in linear time. Two texts look the same when their forms are equal and hold a letter.
@@ -24,8 +26,19 @@ from pyspark.sql import types as T
 from lumenlit.session import checkpoint
 
 # Letters of two scripts that share one shape, as (look-alikes, Latin letters).
-CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝ", "ABESIJKMHOPCTYXaeopcyxsijhdqw")
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")
+CONFUSABLE = {
+    "Cyrillic": ("АВЕЅІӀЈКМНОРԚСТѴԜХУҮаеорсухѕіјһԁԛԝѵӏ", "ABESIIJKMHOPQCTVWXYYaeopcyxsijhdqwvl"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿονϲϳ", "ABEZHIKMNOPTYXCJovcj"),
+    "Armenian": ("ՕՍՏԼօհոսզցյ", "OUSLohnuqgj"),
+    "Coptic": ("ⲎⲔⲘⲚⲞⲢⲤⲦⲬⲟⲥ", "HKMNOPCTXoc"),
+    "Cherokee": ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHYGZVSLCPKB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Latin": ("ɡⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ", "gIVXLCDMivxlcdm"),
+    "Deseret": ("\U00010404\U0001042c", "Oo"),
+    "Osage": ("\U000104c2\U000104ea", "Oo"),
+    "Lycian": ("\U00010282\U00010297", "BT"),
+    "Carian": ("\U000102a0", "A"),
+}
 HYPHENS = "‐‑"
 #: Format characters without a shape: soft hyphen, zero-width space and joiners, marks of direction, word joiner, byte-order mark.
 SHAPELESS = "­؜​‌‍‎‏⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
@@ -33,12 +46,17 @@ SHAPELESS = "­؜​‌‍‎‏⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
 
 
+@cache
+def assigned() -> list[str]:
+    """Every assigned character outside ASCII and the private planes."""
+    return [c for i in range(0x80, 0xF0000) if not 0xD800 <= i < 0xE000 and unicodedata.category(c := chr(i)) not in ("Cn", "Co")]
+
+
 @cache
 def mapping() -> dict[str, str]:
     """Code point -> text of the one form, over canonically decomposed text."""
-    out = dict(zip(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1])) | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(SHAPELESS, "")
-    for i in range(0x80, 0x10000):
-        c = chr(i)
+    out = {a: b for some, latin in CONFUSABLE.values() for a, b in zip(some, latin, strict=True)} | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(SHAPELESS, "")
+    for c in assigned():
         if c in out:
             continue
         if unicodedata.category(c) == "Zs":
@@ -59,8 +77,37 @@ def mapping() -> dict[str, str]:
     return resolved
 
 
+def by_rule(cluster: str) -> str:
+    """The one form of one cluster, by the mapping alone."""
+    table = mapping()
+    plain = unicodedata.normalize("NFD", "".join(c for c in cluster if table.get(c) != ""))
+    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in plain))
+
+
+@cache
+def compiled() -> dict[str, str]:
+    """The transducer's table: cluster -> one form, for single characters and for bases with marks."""
+    table, out = mapping(), {}
+    alike: dict[str, list[str]] = {}
+    for c, v in table.items():
+        if len(v) == 1:
+            alike.setdefault(v, []).append(c)
+    for c in assigned():
+        plain = unicodedata.normalize("NFD", c)
+        form = by_rule(c)
+        if form != c:
+            out[c] = form
+        if len(plain) > 1 and all(map(unicodedata.combining, plain[1:])):
+            for base in (plain[0], *alike.get(plain[0], ())):
+                out[base + plain[1:]] = form
+    bad = [k for k, v in out.items() if any(x in table for x in v)]
+    if bad:
+        raise ValueError(f"the table is no fixed point for {bad}")
+    return out
+
+
 def _class(points: list[int]) -> str:
-    """Inside of a character class,."""
+    """Inside of a character class."""
     out, i = [], 0
     while i < len(points):
         j = i
@@ -74,11 +121,9 @@ def _class(points: list[int]) -> str:
 @cache
 def classes() -> tuple[str, str, str]:
     """(single characters that may change, combining marks, shapeless characters), as insides of character classes."""
-    table = mapping()
-    letters = [chr(i) for i in range(0xC0, 0x10000) if not 0xD800 <= i < 0xE000]
-    composed = [ord(c) for c in letters if (d := unicodedata.normalize("NFD", c)) != c and (d[0] in table or unicodedata.normalize("NFC", c) != c)]
-    marks = [i for i in range(0x300, 0x1FFFF) if unicodedata.combining(chr(i))]
-    return _class(sorted({*map(ord, table), *composed})), _class(marks), _class(sorted(map(ord, SHAPELESS)))
+    singles = [ord(c) for c in compiled() if len(c) == 1]
+    marks = [ord(c) for c in assigned() if unicodedata.combining(c)]
+    return _class(sorted({*singles, *map(ord, mapping())})), _class(marks), _class(sorted(map(ord, SHAPELESS)))
 
 
 @cache
@@ -89,34 +134,35 @@ def transducer() -> re.Pattern:
     joining = r"[\u0600-\u08ff\u0900-\u0dff]"
     return re.compile(
         rf"(?P<keep>{pictograph}(?:\ufe0f?\u200d{pictograph}\ufe0f?)+|{joining}[\u200c\u200d]+(?={joining}))"
-        rf"|\r\n|[^\r\n{none}{marks}](?=[{none}{marks}])(?:[{none}]*[{marks}])+|(?P<run>(?:[{special}](?![{none}{marks}]))+)|[{special}{marks}]"
+        rf"|[\u1100-\u115f][\u1160-\u11a7][\u11a8-\u11ff]?|[\uac00-\ud7a3][\u11a8-\u11ff]"
+        rf"|[^\r\n{none}{marks}](?=[{none}{marks}])(?:[{none}]*[{marks}])+|(?P<run>(?:[{special}](?![{none}{marks}]))+)|[{special}{marks}]"
     )
 
 
 @cache
 def _any() -> frozenset[str]:
-    inside = re.compile("[" + "".join(classes()) + r"\r]")
-    return frozenset(c for i in range(0x20000) if not 0xD800 <= i < 0xE000 and inside.match(c := chr(i)))
+    inside = re.compile("[" + "".join(classes()) + r"\u1100-\u11ff]")
+    return frozenset(c for c in assigned() if inside.match(c))
 
 
 @cache
 def _singles() -> dict[int, str]:
-    return {i: _cluster(chr(i)) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and re.match(f"[{classes()[0]}]", chr(i))}
+    return {ord(c): v for c, v in compiled().items() if len(c) == 1}
 
 
 @cache
+def _short(cluster: str) -> str:
+    return by_rule(cluster)
+
+
 def _cluster(text: str) -> str:
-    """The one form of one cluster."""
-    table = mapping()
-    if text == "\r\n":
-        return "\n"
-    plain = unicodedata.normalize("NFD", "".join(c for c in text if table.get(c) != ""))
-    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in plain))
+    form = compiled().get(text)
+    return form if form is not None else _short(text) if len(text) < 8 else by_rule(text)
 
 
 def one_form(text: str) -> str:
     """The one form of a text."""
-    if text.isascii() and "\r" not in text:
+    if text.isascii():
         return text
     if _any().isdisjoint(text):
         return text
@@ -127,7 +173,7 @@ def one_form(text: str) -> str:
             return m[0].translate(singles)
         if m.lastgroup == "keep":
             return m[0]
-        return _cluster(m[0]) if len(m[0]) < 8 else _cluster.__wrapped__(m[0])
+        return _cluster(m[0])
 
     return transducer().sub(replaced, text)
 
@@ -139,8 +185,23 @@ def _one_form_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def canonical_text(text: Column) -> Column:
-    """The one form; plain ASCII without carriage returns never leaves the JVM."""
-    return F.coalesce(_one_form_udf(F.when(text.rlike(r"[^\x00-\x0c\x0e-\x7f]|\r"), text)), text)
+    """The one form; plain ASCII never leaves the JVM."""
+    return F.coalesce(_one_form_udf(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+
+
+def looks(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, look, own): digests of the one form and of the text itself, of every document whose form holds a letter."""
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t"), canonical_text(F.col(text)).alias("_f"))
+    return rows.where(F.col("_f").rlike(r"\p{L}")).select(key, F.unhex(F.md5("_f")).alias("look"), F.unhex(F.md5("_t")).alias("own"))
+
+
+def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, spelling_id, spellings): every document with its look and its own spelling of it, both named by their smallest key, and
+    the number of different spellings of the look. One row per document, whatever the number of copies."""
+    rows = checkpoint(looks(documents, key, text))
+    spelled = rows.groupBy("look", "own").agg(F.min(key).alias("spelling_id"))
+    look = spelled.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings"))
+    return rows.join(spelled, ["look", "own"]).join(look, "look").select(key, "class_id", "spelling_id", "spellings")
 
 
 def same_look(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,10 +209,7 @@ def same_look(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Only looks with two or more different strings reach the join, so a mass of exact copies costs one aggregate.
     """
-    form = canonical_text(F.col(text))
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t"), form.alias("form"))
-    rows = rows.where(F.col("form").rlike(r"\p{L}")).select("id", F.unhex(F.md5("form")).alias("look"), F.unhex(F.md5("t")).alias("own"))
-    rows = checkpoint(rows)  # digests only; three passes read them
+    rows = checkpoint(looks(documents, key, text).withColumnRenamed(key, "id"))  # digests only; three passes read them
     mixed = rows.groupBy("look").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where(F.col("lo") != F.col("hi")).select("look")
     some = rows.join(mixed, "look", "left_semi")
     a, b = (some.select("look", F.col("id").alias(f"{key}_{x}"), F.col("own").alias(f"own_{x}")) for x in "ab")

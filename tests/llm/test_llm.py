@@ -240,6 +240,9 @@ def test_splitting_tree():
         ("e\u0301t\u00e9", "\u00e9te\u0301", True), ("ｗｉｄｅ", "wide", True), ("a\u00a0b", "a b", True), ("zero\u200bwidth", "zerowidth", True), ("\ufb01ne", "fine", True),
         ("\u0430bc", "abc", True), ("\u039fslo", "Oslo", True), ("co\u2010op", "co-op", True), ("A", "a", False), ("x\u00b2", "x2", False), ("e", "\u00e9", False),
         ("\u200de\u200d\u0301", "\u00e9", True), ("\U0001f469\u200d\U0001f52c", "\U0001f469\U0001f52c", False), ("\u0451", "\u00eb", True),
+        ("\u03bd", "v", True), ("\u03f2", "c", True), ("\u0261", "g", True), ("\u0585", "o", True), ("\u13a0", "D", True), ("\ua4d0", "B", True), ("\U00010404", "O", True), ("\u2160", "I", True),
+        ("\uff9e", "\u3099", True), ("\u1112\u1161\u11ab", "\ud55c", True), ("\ud558\u11ab", "\ud55c", True), ("\u0435\u0301", "\u00e9", True), ("a\u0323\u0302", "a\u0302\u0323", True),
+        ("a\r\nb", "a\nb", False), ("\U0001d400", "A", False), ("\u00b5", "\u03bc", True), ("q\u0301\u0323", "q\u0323\u0301", True), ("\u4e00", "-", False),
     ],
 )
 def test_one_form(a, b, same):
@@ -248,10 +251,21 @@ def test_one_form(a, b, same):
     assert unicodedata.is_normalized("NFC", lookalike.one_form(a))
 
 
+def test_compiled_table():
+    table = lookalike.compiled()
+    assert len(table) > 3000 and all(lookalike.one_form(v) == v for v in list(table.values())[::7])
+    assert all(lookalike.one_form(k) == v for k, v in list(table.items())[::11])
+    for script, (some, _) in lookalike.CONFUSABLE.items():
+        names = [unicodedata.name(c) for c in some]
+        assert all(script.upper() in n or script == "Latin" and "NUMERAL" in n for n in names), names
+
+
 def test_same_look(spark):
     rows = [(1, "ab c"), (2, "ab\u00a0c"), (3, "ab c"), (4, None), (5, ""), (6, "\u00a0"), (7, " "), (8, "12\u200b"), (9, "12"), (10, "\u0430b c")]
     got = {tuple(r) for r in lookalike.same_look(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(1, 2), (2, 3), (1, 10), (2, 10), (3, 10)}
+    rows = lookalike.look_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.spelling_id, r.spellings) for r in rows} == {(1, 1, 1, 3), (2, 1, 2, 3), (3, 1, 1, 3), (10, 1, 10, 3)}
 
 
 @pytest.mark.parametrize("room", [0, 20_000])
