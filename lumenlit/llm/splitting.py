@@ -1,18 +1,19 @@
 """Splitting oversized texts at natural boundaries.
 
-A text over the limit is cut into atomic segments at the coarsest level at which all segments fit: paragraphs (blank
-lines), sentences (line ends and ends of sentences), words (white space), or single characters where a run without
-white space is itself too long. Adjacent segments then merge agglomeratively: a heap holds the boundaries of all
-adjacent pairs, the weakest is removed first while both sides plus the overlap fit the limit. Consecutive pieces share
-up to ``overlap`` characters, cut at a segment or word boundary where there is one. Every character of the text is in
-some piece; pieces in order, without their overlaps, give the text back.
+Atomic segments are paragraphs (cut at blank lines); one that is over the limit falls into sentences (line ends and ends of sentences), a
+sentence over the limit into words (white space), and a run without white space over the limit anywhere. Adjacent segments then merge
+agglomeratively: a heap holds the boundaries of all adjacent pairs, the weakest is removed first while both sides plus the overlap fit the
+limit. The weakest boundary that is left says at which level the text had to be cut. Consecutive pieces share up to ``overlap`` characters,
+less where a segment leaves no room for them, from a segment or word boundary where there is one. Every character of the text is in some
+piece; pieces in order, without their overlaps, give the text back.
 
 Defined results: NULL texts and texts within the limit are not cut (one piece; none for NULL and empty). Replays of a
-chunk collapse. Length counts code points. A text of any length costs n log n.
+chunk collapse. Length counts code points; white space at a segment's ends does not make it oversized. A text of any length costs n log n.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import re
 from collections.abc import Iterator
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT, OVERLAP = 2_000, 200
-LEVELS = ("paragraph", "sentence", "word", "none")
 
 # Abbreviations that end in a full stop inside a sentence, in lower case without it.
 ABBREVIATIONS = frozenset(
@@ -64,56 +64,61 @@ def sentence_cuts(text: str) -> list[int]:
     return out
 
 
-def _lengths(text: str, cuts: list[int]) -> int:
-    """Length of the longest segment, white space at its end not counted."""
-    edges = [0, *cuts, len(text)]
-    return max((len(text[a:b].rstrip()) if b - a > LIMIT else b - a for a, b in zip(edges, edges[1:])), default=0)
-
-
-def boundary_level(text: str, limit: int = LIMIT) -> tuple[str, list[tuple[int, int]]]:
-    """(coarsest level at which all segments fit, cuts as (place, strength)); strength 3 paragraph, 2 line, 1.5 sentence as 1, 0 word."""
-    found = {c: 3 for c in _cuts(text, _BLANK)}
-    fits = lambda: all(len(text[a:b].strip()) <= limit for a, b in zip([0, *sorted(found)], [*sorted(found), len(text)]))
-    level = "paragraph"
-    if not fits():
-        level = "sentence"
-        for c in _cuts(text, _LINE):
-            found.setdefault(c, 2)
-        for c in sentence_cuts(text):
-            found.setdefault(c, 1)
-        if not fits():
-            level = "word"
-            for c in _cuts(text, _SPACE):
-                found.setdefault(c, 0)
-            if not fits():
-                level = "none"
-    return level, sorted(found.items())
+PARAGRAPH, LINE, SENTENCE, WORD, ANYWHERE = 3, 2, 1, 0, -1
+
+
+def atoms(text: str, limit: int = LIMIT) -> tuple[list[int], list[int]]:
+    """(starts, strengths of the boundaries there) of the atomic segments; none is longer than the limit."""
+    segments = [(0, len(text), 9, PARAGRAPH)]
+
+    def refine(cuts: list[tuple[int, int]], level: int) -> None:
+        """Cuts the segments over the limit at the places that lie inside them."""
+        nonlocal segments
+        places, out = [c for c, _ in cuts], []
+        for a, b, s, own in segments:
+            if b - a > limit and len(text[a:b].strip()) > limit:
+                inside = cuts[bisect.bisect_right(places, a) : bisect.bisect_left(places, b)]
+                starts = [(a, s), *inside]
+                out += [(x, y, w, level) for (x, w), y in zip(starts, [*(c for c, _ in inside), b])]
+            else:
+                out.append((a, b, s, own))
+        segments = out
+
+    refine([(c, PARAGRAPH) for c in _cuts(text, _BLANK)], PARAGRAPH)
+    if any(b - a > limit for a, b, *_ in segments):
+        lines = _cuts(text, _LINE)
+        refine(sorted({**dict.fromkeys(sentence_cuts(text), SENTENCE), **dict.fromkeys(lines, LINE)}.items()), SENTENCE)
+        refine([(c, WORD) for c in _cuts(text, _SPACE)], WORD)
+    starts, strengths = [], []
+    for a, b, s, own in segments:
+        starts.append(a), strengths.append(s)
+        if b - a <= limit:
+            continue
+        # A run without white space is cut anywhere; white space that makes a segment too long parts as its level does.
+        solid = len(text[a:b].strip()) > limit
+        begin = a + len(text[a:b]) - len(text[a:b].lstrip())
+        end = b if solid else max(len(text[a:b].rstrip()) + a, a)
+        at = a
+        while b - at > limit:
+            if at < begin:
+                at = min(begin, at + limit)
+            elif at < end and end - at <= limit and not solid:
+                at = end if end > at else at + limit
+            else:
+                at += limit
+            if at < b:
+                starts.append(at), strengths.append(ANYWHERE if solid and at > begin else own)
+    return starts, strengths
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int, int]]]:
     """(boundary level, pieces as (start, end, length of the overlap with the piece before))."""
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
-    level, cuts = boundary_level(text, limit)
-    room = limit - overlap
-    starts, strength = [0], [9]
-    for c, s in cuts:
-        starts.append(c)
-        strength.append(s)
-    ends = [*starts[1:], len(text)]
-    # Segments longer than the room for new text are cut further: at finer boundaries, else anywhere.
-    a, b, s = [], [], []
-    for x, y, w in zip(starts, ends, strength):
-        while y - x > room:
-            inner = [c for c in sentence_cuts(text[x : x + room + 1]) if c <= room]
-            space = [m.end() for m in _SPACE.finditer(text, x, x + room) if m.end() > x]
-            at = x + inner[-1] if inner else space[-1] if space else x + room
-            a.append(x), b.append(at), s.append(w)
-            x, w = at, 1 if inner else 0 if space else -1
-        a.append(x), b.append(y), s.append(w)
-    n = len(a)
-    left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    alive = [True] * n
+    a, s = atoms(text, limit)
+    b, n = [*a[1:], len(text)], len(a)
+    left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+    room = lambda i: limit if left[i] < 0 else limit - overlap  # the first piece shares nothing
     # Weakest boundary first; of equal ones that of the smaller pair, then the earlier.
     heap = [(s[i], b[i] - a[i - 1], i) for i in range(1, n)]
     heapq.heapify(heap)
@@ -123,10 +128,10 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, l
             continue
         j = left[i]
         if size != b[i] - a[j]:
-            if b[i] - a[j] <= room:
+            if b[i] - a[j] <= room(j):
                 heapq.heappush(heap, (w, b[i] - a[j], i))
             continue
-        if size > room:
+        if size > room(j):
             continue
         b[j], right[j], alive[i] = b[i], right[i], False
         if right[i] >= 0:
@@ -134,24 +139,22 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, l
             heapq.heappush(heap, (s[right[i]], b[right[i]] - a[j], right[i]))
         if left[j] >= 0:
             heapq.heappush(heap, (s[j], b[j] - a[left[j]], j))
-    pieces, fine = [], sorted({c for c, _ in cuts})
-    for i in range(n):
-        if not alive[i]:
-            continue
-        shared = 0
-        if pieces and overlap:
-            low = max(a[i] - overlap, pieces[-1][0] + 1)
-            inside = [c for c in fine[_first(fine, low) : _first(fine, a[i])]]
+    kept = [i for i in range(n) if alive[i]]
+    weakest = min((s[i] for i in kept[1:]), default=PARAGRAPH)
+    pieces = []
+    for i in kept:
+        shared, most = 0, min(overlap, limit - (b[i] - a[i]))
+        if pieces and most > 0:
+            low = max(a[i] - most, pieces[-1][0] + 1)
+            inside = a[_first(a, low) : _first(a, a[i])]
             space = next((m.end() for m in _SPACE.finditer(text, low, a[i]) if m.end() < a[i]), None) if not inside else None
             start = inside[0] if inside else space if space is not None else low
             shared = a[i] - start
         pieces.append((a[i] - shared, b[i], shared))
-    return level, pieces
+    return {PARAGRAPH: "paragraph", LINE: "sentence", SENTENCE: "sentence", WORD: "word", ANYWHERE: "none"}.get(weakest, "paragraph"), pieces
 
 
 def _first(values: list[int], low: int) -> int:
-    import bisect
-
     return bisect.bisect_left(values, low)
 
 
