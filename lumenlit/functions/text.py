@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import Counter
+from difflib import SequenceMatcher
 from functools import cache
 from hashlib import sha256
 
@@ -88,17 +91,22 @@ def merge_windows(passages: Column, overlap: int = 50) -> Column:
     return F.array_join(F.aggregate(parts, start, add), " ")
 
 
-# Headings behind which a paper only lists its references.
+# What a paper's list of references begins with.
 REFERENCE_HEADS = (
-    r"\n\s*references\s*\n", r"\n\s*bibliography\s*\n", r"\n\s*literature cited\s*\n", r"\\begin\{thebibliography\}", r"\\bibliography\{",
-    r"\n\s*#+\s*references\b", r"\n\s*acknowledge?ments?\s*\n",
-)
+    r"\\begin\{thebibliography\}",
+    r"\\bibliography\{",
+    r"\\printbibliography",
+    r"\n\s*references\s*\n",
+    r"\n\s*bibliography\s*\n",
+    r"\n\s*acknowledgments?\s*\n",
+    r"\n\s*literature cited\s*\n",
+)
 
 
-def trim_references(c: Column) -> Column:
+def trim_references(c: Column, heads: tuple[str, ...] = REFERENCE_HEADS) -> Column:
     """The text in front of its reference list, without white space at its end; NULL and empty stay."""
-    at = F.regexp_instr(c, F.lit("(?i)(?:" + "|".join(REFERENCE_HEADS) + ")"))
-    return F.when(at > 0, F.regexp_replace(F.substring(c, F.lit(1), at - 1), r"\s+$", "")).otherwise(c)
+    at = F.regexp_instr(c, F.lit("(?iU)(?:" + "|".join(heads) + ")"))
+    return F.when(at > 0, F.regexp_replace(F.substring(c, F.lit(1), at - 1), f"[{PY_SPACE}]+$", "")).otherwise(c)
 
 
 def year_prefix(c: Column) -> Column:
@@ -180,9 +188,31 @@ def key_of(c: Column) -> Column:
     return F.when(t.rlike(r"[^\x00-\x7f]"), _normal_key_udf(F.when(t.rlike(r"[^\x00-\x7f]"), t))).otherwise(plain)
 
 
+def compatibility_folded(value: str) -> str:
+    """One spelling of a text's letters: compatibility forms and case folded."""
+    return unicodedata.normalize("NFKC", value).casefold()
+
+
+@F.pandas_udf(T.StringType())
+def _folded_udf(s: pd.Series) -> pd.Series:
+    return s.map(compatibility_folded, na_action="ignore")
+
+
+WORD_RUNS = r"[\p{L}\p{M}]+|\p{N}+"
+
+
 def keyword_tokens(c: Column) -> Column:
-    """Runs of letters and runs of digits as separate words."""
-    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{M}]+|\p{N}+"), F.lit(0)), F.array().cast("array<string>"))
+    """Runs of letters and runs of digits as separate words, compatibility and case folded; plain ASCII never leaves the JVM."""
+    other = c.rlike(r"[^\x00-\x7f]")
+    folded = F.when(other, _folded_udf(F.when(other, c))).otherwise(F.lower(c))
+    return F.coalesce(F.regexp_extract_all(folded, F.lit(WORD_RUNS), F.lit(0)), F.array().cast("array<string>"))
+
+
+def keyword_words(text: str) -> tuple[str, ...]:
+    """``keyword_tokens`` of one text, on the driver."""
+    import regex
+
+    return tuple(regex.findall(WORD_RUNS, compatibility_folded(text)))
 
 
 def content_hash(value: object) -> str:
@@ -191,26 +221,34 @@ def content_hash(value: object) -> str:
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-# Abbreviations of scientific prose, without their final stop.
-ABBREVIATIONS = frozenset("fig figs eq eqs sec sect tab ref refs no nos vol pp al etc cf vs approx ca e.g i.e dr prof st resp ch app ed eds".split())
-_STOP = re.compile(r"[.!?]+[\"')\]]*(?=\s)|\n\s*\n")
+# Abbreviations of scientific prose whose full stop ends no sentence.
+ABBREVIATIONS = frozenset("al app approx ca cf ch eq eqs fig figs no nos pp ref refs resp sec sect sects tab tabs viz vol vs".split())
+_CLOSING = re.compile(r"[.!?]+[\"')\]]*(?=\s)")
+_BLANK_LINES = re.compile(r"\n[ \t]*\n\s*")
+_LAST_WORD = re.compile(r"\S{0,40}\Z")
+_LETTERS_WITH_STOPS = re.compile(r"(?:[A-Za-z]\.)+[A-Za-z]")
+_SOLID = re.compile(r"\S")
 
 
 def sentence_bounds(text: str) -> list[tuple[int, int]]:
-    """[start, end) of every sentence; abbreviations, initials and a following small letter do not end one, blank lines do."""
-    out, start = [], 0
-    for m in _STOP.finditer(text):
-        nxt = text[m.end() :].lstrip()[:1] if m[0].strip() else "X"
-        before = re.search(r"[^\s(]*$", text[max(0, m.start() - 20) : m.start()])[0]
-        abbreviated = m[0][0] == "." and (before.lower() in ABBREVIATIONS or re.fullmatch(r"(?:[A-Za-z]\.)*[A-Z]", before))
-        if m[0].strip() and (abbreviated or nxt.islower()):
+    """[start, end) of every sentence, without the white space between them. A text is cut at blank lines and behind marks of an end that white
+    space follows; no cut lies in front of a small letter, or behind the full stop of an abbreviation or of letters with stops (``e.g.``)."""
+    cuts = {0, len(text), *(m.end() for m in _BLANK_LINES.finditer(text))}
+    for m in _CLOSING.finditer(text):
+        after = _SOLID.search(text, m.end())
+        if after is None or after[0].islower():
             continue
-        end = m.end() if m[0].strip() else m.start()
-        if text[start:end].strip():
-            out.append((start + len(text[start:end]) - len(text[start:end].lstrip()), end))
-        start = m.end()
-    if text[start:].strip():
-        out.append((start + len(text[start:]) - len(text[start:].lstrip()), len(text.rstrip())))
+        if m[0][0] == ".":
+            word = _LAST_WORD.search(text[max(0, m.start() - 40) : m.start()])[0].lstrip("([\"'")
+            if word.lower() in ABBREVIATIONS or _LETTERS_WITH_STOPS.fullmatch(word):
+                continue
+        cuts.add(m.end())
+    out, places = [], sorted(cuts)
+    for a, b in zip(places, places[1:]):
+        inside = text[a:b]
+        if bare := inside.strip():
+            start = a + inside.index(bare[0])
+            out.append((start, start + len(bare)))
     return out
 
 
@@ -225,31 +263,42 @@ def sentences(c: Column) -> Column:
 
 
 def locate_quote(text: str | None, quote: str | None, least: float = 0.9) -> tuple[int, int, float] | None:
-    """(start, end, ratio) of a quote in a text: exact up to white space, else the best match with one or two adjacent sentences."""
-    from collections import Counter
-    from difflib import SequenceMatcher
-
-    if not text or not quote or not quote.strip():
+    """(start, end, ratio) of the sentences of a text that hold a quote, or None.
+
+    A quote that occurs up to white space has ratio 1 and gives the sentences it reaches into. Otherwise every sentence and pair of
+    neighbours is aligned with it: twice the characters in common runs of three or more, over the quote's length and the length of the stretch
+    those runs span. The best ratio of at least ``least`` wins, of equal ones the shortest, then the first.
+    """
+    if not 0 <= least <= 1:
+        raise ValueError("a ratio lies between 0 and 1")
+    wanted = " ".join((quote or "").split())
+    bounds = sentence_bounds(text) if text and wanted else []
+    if not bounds:
         return None
-    words = [re.escape(w) for w in quote.split()]
-    exact = re.search(r"\s+".join(words), text)
+    exact = re.search(r"\s+".join(map(re.escape, wanted.split(" "))), text)
     if exact:
-        return exact.start(), exact.end(), 1.0
-    bounds, flat, best = sentence_bounds(text), " ".join(quote.split()), None
-    letters = Counter(flat)
-    for n in (1, 2):
-        for i in range(len(bounds) - n + 1):
-            a, b = bounds[i][0], bounds[i + n - 1][1]
-            span = " ".join(text[a:b].split())
-            # no alignment has more letters than the shorter side, or than both sides share
-            full, need = len(flat) + len(span), best[2] if best else least
-            if 2 * min(len(flat), len(span)) / full < need or 2 * (letters & Counter(span)).total() / full < need:
-                continue
-            blocks = SequenceMatcher(None, flat, span, autojunk=False).get_matching_blocks()
-            ratio = 2 * sum(x.size for x in blocks if x.size >= 3) / full
-            if ratio >= least and (best is None or (ratio, a - b) > (best[2], best[0] - best[1])):
-                best = (a, b, ratio)
-    return best
+        starts = [a for a, _ in bounds]
+        first, last = (max(bisect_right(starts, at) - 1, 0) for at in (exact.start(), exact.end() - 1))
+        return bounds[first][0], max(bounds[last][1], exact.end()), 1.0
+    letters, found = Counter(wanted), None
+    for size in (1, 2):
+        for (a, _), (_, b) in zip(bounds, bounds[size - 1 :]):
+            ratio = _overlap(wanted, letters, re.sub(r"\s+", " ", text[a:b]), found[0] if found else least)
+            if ratio is not None and (found is None or (ratio, a - b, -a) > found):
+                found = (ratio, a - b, -a)
+    return (-found[2], -found[2] - found[1], found[0]) if found else None
+
+
+def _overlap(wanted: str, letters: Counter, span: str, need: float) -> float | None:
+    """Ratio of two texts if it can reach ``need``. No alignment has more characters than both sides share, nor spans fewer than it has."""
+    most = (letters & Counter(span)).total()
+    if 2 * most / (len(wanted) + most) < need:
+        return None
+    runs = [r for r in SequenceMatcher(None, wanted, span, autojunk=False).get_matching_blocks() if r.size >= 3]
+    if not runs:
+        return None
+    ratio = 2 * sum(r.size for r in runs) / (len(wanted) + runs[-1].b + runs[-1].size - runs[0].b)
+    return ratio if ratio >= need else None
 
 
 LOCATED = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ratio", T.DoubleType())])

@@ -1,21 +1,23 @@
 """Discovery graphs: neighbour lists, chosen edges, connectivity, communities.
 
-Edges are (source, target, weight, kind). Tag edges come from an equi-join on tags in which a tag held by more than ``HOT_TAG`` records is
-salted on one side and replicated on the other, so no hot tag is one task. Graphs grown from a seed are bounded by ``max_nodes``.
+Edges are (source, target, weight, kind). Tag edges come from an equi-join on tags in which a tag is salted on one side by its own count and
+replicated on the other, so no hot tag is one task. Graphs grown from a seed are bounded by ``max_nodes``.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenlit.errors import ConfigError
 from lumenlit.operators.search import _named
 from lumenlit.session import checkpoint
 
-#: Salted parts of the tag join.
-SALTS = 8
+#: Holders of a tag that one task joins; a tag with more is cut into as many parts as that takes.
+TAG_ROWS = 20_000
 
 
 def record_tags(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -27,8 +29,10 @@ def record_tags(documents: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def _alike(tags: DataFrame, asked: DataFrame) -> DataFrame:
     """(source, target, weight): Jaccard of the tag sets of each asked record and of every record it shares a tag with, itself too."""
     sizes = tags.groupBy("record_id").agg(F.count("*").alias("n"))
-    left = tags.join(asked.select("record_id").distinct(), "record_id", "left_semi").select(F.col("record_id").alias("source"), "key", "value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    right = tags.select(F.col("record_id").alias("target"), "key", "value", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    salts = tags.groupBy("key", "value").agg(F.ceil(F.count("*") / TAG_ROWS).cast("int").alias("salts")).where("salts > 1")
+    salted = tags.join(salts, ["key", "value"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    left = salted.join(asked.select("record_id").distinct(), "record_id", "left_semi").select(F.col("record_id").alias("source"), "key", "value", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    right = salted.select(F.col("record_id").alias("target"), "key", "value", F.pmod(F.xxhash64("record_id"), F.col("salts")).cast("int").alias("salt"))
     shared = left.join(right, ["key", "value", "salt"]).groupBy("source", "target").agg(F.count("*").alias("both"))
     n = lambda side: sizes.select(F.col("record_id").alias(side), F.col("n").alias(f"n_{side}"))
     scored = shared.join(n("source"), "source").join(n("target"), "target")
@@ -104,30 +108,53 @@ def _all_stars(arcs: DataFrame) -> bool:
     return ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down")).where("up > 1 OR (up = 1 AND down > 0)").isEmpty()
 
 
-def label_communities(edges: list[tuple], nodes: list, passes: int = 50) -> tuple[dict, bool]:
-    """(node -> community, converged) of one bounded graph: nodes in sorted order take the label with the most weight around them, changes
-    count at once, only a strictly better label replaces the own one, ties go to the lowest; communities are numbered by their smallest member."""
-    around: dict = {n: {} for n in nodes}
-    for a, b, w in edges:
-        around[a][b] = around[a].get(b, 0.0) + w
-        around[b][a] = around[b].get(a, 0.0) + w
-    label = {n: i for i, n in enumerate(sorted(nodes))}
-    converged = False
+def label_communities(edges: list[tuple], nodes: list, passes: int = 20) -> tuple[dict, bool]:
+    """(node -> community, converged) of one bounded graph, by label propagation over an array of labels.
+
+    Node ``i`` of the sorted nodes begins with label ``i``. A pass takes the nodes in order: a node adds up the weights around it per label
+    and changes at once to the lowest of the heaviest labels if that outweighs its own. Of several edges between two nodes the heaviest counts;
+    loops and edges to other nodes do not. Communities are numbered in the order of their smallest member.
+    """
+    if passes < 1:
+        raise ConfigError("there is at least one pass")
+    names = sorted(set(nodes))
+    place = {n: i for i, n in enumerate(names)}
+    rows = [(place[a], place[b], w) for a, b, w in edges if a in place and b in place and a != b]
+    ends = np.array([r[:2] for r in rows] + [r[1::-1] for r in rows], int).reshape(-1, 2)
+    weights = np.array([r[2] for r in rows] * 2, float)
+    order = np.lexsort((-weights, ends[:, 1], ends[:, 0]))
+    ends, weights = ends[order], weights[order]
+    heaviest = np.concatenate([[True], (ends[1:] != ends[:-1]).any(1)]) if len(ends) else np.zeros(0, bool)
+    ends, weights = ends[heaviest], weights[heaviest]
+    first = np.searchsorted(ends[:, 0], np.arange(len(names) + 1))
+    label, changes = np.arange(len(names)), 1
     for _ in range(passes):
-        changed = False
-        for n in sorted(nodes):
-            pull: dict[int, float] = {}
-            for m, w in around[n].items():
-                pull[label[m]] = pull.get(label[m], 0.0) + w
-            if pull:
-                best = min(pull, key=lambda x: (-pull[x], x))
-                if pull[best] > pull.get(label[n], 0.0):
-                    label[n], changed = best, True
-        if not changed:
-            converged = True
+        changes = 0
+        for i in range(len(names)):
+            around = slice(first[i], first[i + 1])
+            if around.start == around.stop:
+                continue
+            # Unbuffered, so sums add up in the order of the neighbours.
+            found, slot = np.unique(label[ends[around, 1]], return_inverse=True)
+            pull = np.zeros(len(found))
+            np.add.at(pull, slot, weights[around])
+            top = int(pull.argmax())
+            if pull[top] > pull[found == label[i]].sum():
+                label[i], changes = found[top], changes + 1
+        if not changes:
             break
-    order: dict[int, int] = {}
-    return {n: order.setdefault(label[n], len(order)) for n in sorted(nodes)}, converged
+    _, start, group = np.unique(label, return_index=True, return_inverse=True)
+    number = np.argsort(np.argsort(start))
+    return {n: int(number[group[i]]) for i, n in enumerate(names)}, not changes
+
+
+def reachable(edges: list[tuple], seed: str) -> set:
+    """Nodes that edges connect with the seed, in a bounded graph; the seed itself always."""
+    found, open_ = {seed}, {seed}
+    while open_:
+        open_ = {y for a, b, *_ in edges for x, y in ((a, b), (b, a)) if x in open_} - found
+        found |= open_
+    return found
 
 
 def communities(edges: DataFrame, graphs: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Quantities recorded in different units, brought to one unit per predicate.
 
 The number comes from ``quantity.value`` or, when that is NULL, from ``quantity.verbatim``; the unit from
-``unit_text``, ``verbatim``, ``context`` (``column_unit``, ``table_header``) or ``quote``, in that order. Where no
-unit is stated anywhere, a log-scale mixture is fitted per predicate: one latent distribution of the canonical
-value, with one component for each unit, offset by the unit's known conversion factor. The posterior assigns the
-unit; assignments under ``CERTAIN`` are flagged. Everything but the EM on bounded histograms runs in the JVM.
+``unit_text``, ``verbatim``, ``context`` (``column_unit``, ``table_header``) or ``quote``: the first text in that order that is a unit
+at all. Where no unit is stated anywhere, a log-scale mixture is fitted per predicate: one latent distribution of the canonical
+value, with one component for each unit, offset by the unit's known conversion (zero points included). EM over stated and missing rows
+together estimates the distribution and the weight of every unit. The posterior assigns the unit; assignments under ``CERTAIN``, and all
+of a predicate of which no row states a unit, are flagged. Everything but the EM on bounded histograms runs in the JVM.
 
 Defined results: NULL quantity, no number, a range, or a unit of another kind give status ``none`` and NULL
 canonical columns. Exact replays of a claim collapse to one row; an empty table gives no rows; extra columns are
@@ -160,12 +161,12 @@ def read_quantities(claims: DataFrame) -> DataFrame:
         *[
             F.nullif(F.regexp_extract("quote", p, 1), F.lit(""))
             for p in (
-                r"\[unit:\s*([^\]]{1,40})\]", r"\(([^()]{1,40});\s*see the header", r"[Aa]ll values are (?:given|quoted|listed) in (.{1,40}?)\.?\s*$",
-                r"the unit is (.{1,40}?)\.?\s*$", r"(?:in units of|units?:)\s*([^\s,;.]{1,20})",
+                r"\[unit:\s*([^\]]+)\]", r"\(([^()]+);\s*see the header", r"[Aa]ll values are (?:given|quoted|listed) in (.+?)\.?\s*$",
+                r"the unit is (.+?)\.?\s*$", r"(?:in units of|units?:)\s*([^\s,;.]+)",
             )
         ]
     )
-    header = F.regexp_extract(F.try_element_at("context", F.lit("table_header")), r"\[([^\]]{1,40})\]\s*$", 1)
+    header = F.regexp_extract(F.try_element_at("context", F.lit("table_header")), r"\[([^\]]+)\]\s*$", 1)
     texts = F.array(
         F.col("unit_text"), F.col("log_unit"), F.col("v_unit"), F.try_element_at("context", F.lit("column_unit")), header, quote_unit
     )
@@ -189,39 +190,49 @@ def unit_table(measures: DataFrame) -> DataFrame:
     )
 
 
-def fit_mixture(stated: list[tuple], missing: list[tuple], units: list[tuple], rounds: int = 60) -> list[tuple]:
+def fit_mixture(stated: list[tuple], missing: list[tuple], units: list[tuple], rounds: int = 200) -> list[tuple]:
     """EM on histograms of log10 values. stated: (predicate, unit, bin, n) of canonical values; missing: (predicate, bin, n) of raw ones;
-    units: (predicate, unit, mul, add). Returns (predicate, unit, weight, mean, deviation, shift) rows.
+    units: (predicate, unit, mul, add). Returns (predicate, unit, weight, mean, deviation, anchored) rows.
 
-    Each predicate's canonical log10 value is a normal distribution, robustly seeded by the stated rows; a missing-unit row's raw
-    value is that distribution shifted by minus log10 of the unit's factor. Bins bound the input whatever the row count.
+    Each predicate's canonical log10 value is a normal distribution. A stated row shows it directly; a row without a unit shows it through one
+    of the units' conversions, with the unit's weight. Both kinds estimate mean, deviation and weights. Without stated rows it begins at the raw
+    values taken in the canonical unit and is not ``anchored``. Bins bound the input whatever the row count.
     """
     out = []
     for p in sorted({u[0] for u in units}):
         own = sorted({(u[1], u[2], u[3]) for u in units if u[0] == p})
-        s = [(b / BINS_PER_DECADE, n, u) for q, u, b, n in stated if q == p and b is not None]
-        m = [(b / BINS_PER_DECADE, n) for q, b, n in missing if q == p and b is not None]
-        if not s:
+        xs, ns = (np.array([a[i] for a in [((b + 0.5) / BINS_PER_DECADE, n) for q, _, b, n in stated if q == p and b is not None]], float) for i in (0, 1))
+        y, k = (np.array([a[i] for a in [((b + 0.5) / BINS_PER_DECADE, n) for q, b, n in missing if q == p and b is not None]], float) for i in (0, 1))
+        if not len(xs) and not len(y):
             continue
-        xs, ns = np.array([a[0] for a in s]), np.array([a[1] for a in s], float)
-        order = np.argsort(xs)
-        cut = np.interp([0.25, 0.5, 0.75], np.cumsum(ns[order]) / ns.sum(), xs[order])
+        seen, weight = (xs, ns) if len(xs) else (y, k)
+        order = np.argsort(seen)
+        cut = np.interp([0.25, 0.5, 0.75], np.cumsum(weight[order]) / weight.sum(), seen[order])
         mu, sd = float(cut[1]), max(0.05, float(cut[2] - cut[0]) / 1.349)
-        shift = np.array([math.log10(mul) if mul > 0 else 0.0 for _, mul, _ in own])
-        w = np.array([1.0 + sum(n for _, n, u in s if u == name) for name, _, _ in own])
-        w /= w.sum()
-        if m:
-            y, k = np.array([a[0] for a in m]), np.array([a[1] for a in m], float)
-            for _ in range(rounds):
-                like = w * np.exp(-0.5 * np.minimum(((y[:, None] + shift - mu) / sd) ** 2, 1400)) + 1e-300
-                post = like / like.sum(1, keepdims=True)
-                prior = np.array([1.0 + sum(n for _, n, u in s if u == name) for name, _, _ in own])
-                new = prior / prior.sum() * 20 + (post * k[:, None]).sum(0)
-                new /= new.sum()
-                if np.abs(new - w).max() < 1e-6:
-                    break
-                w = new
-        out += [(p, name, float(a), mu, sd, float(b)) for (name, _, _), a, b in zip(own, w, shift)]
+        named = np.array([sum(n for q, u, _, n in stated if q == p and u == name) for name, _, _ in own], float)
+        prior = (named + 1) / (named + 1).sum()
+        w = prior
+        # Canonical value of every bin under every unit, and how the conversion stretches the scale there.
+        mul, add = (np.array([u[i] for u in own]) for i in (1, 2))
+        raw = 10.0 ** y[:, None] * mul
+        value = raw + add
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = np.where(value > 0, np.log10(np.maximum(value, 1e-300)), -1e3)
+            stretch = np.where(value > 0, raw / np.maximum(value, 1e-300), 0.0)
+        for _ in range(rounds if len(y) else 0):
+            like = w * stretch * np.exp(-0.5 * np.minimum(((z - mu) / sd) ** 2, 1400)) + 1e-300
+            post = like / like.sum(1, keepdims=True) * k[:, None]
+            new = prior * 20 + post.sum(0)
+            new /= new.sum()
+            sure = np.where(z > -900, post, 0.0)
+            total = ns.sum() + sure.sum()
+            mean = ((xs * ns).sum() + (np.where(z > -900, z, 0.0) * sure).sum()) / total
+            var = ((xs - mean) ** 2 * ns).sum() + (np.where(z > -900, (z - mean) ** 2, 0.0) * sure).sum()
+            moved = max(np.abs(new - w).max(), abs(mean - mu))
+            w, mu, sd = new, float(mean), max(0.05, float((var / total) ** 0.5))
+            if moved < 1e-6:
+                break
+        out += [(p, name, float(a), mu, sd, bool(len(xs))) for (name, _, _), a in zip(own, w)]
     return out
 
 
@@ -233,13 +244,14 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
     # Replays collapse before anything is joined; the checkpoint keeps the parsed numbers, which three passes read.
     parsed = read_quantities(claims)
     read = checkpoint(parsed.groupBy("claim_id").agg(F.min(F.struct(*[c for c in parsed.columns if c != "claim_id"])).alias("r")).select("claim_id", "r.*"))
-    # The first unit text that is known at all decides; a known unit of another kind means the claim states no unit of its kind.
+    # The first unit text that is a unit at all decides; a known unit of another kind means the claim states no unit of its kind.
     lookup = table.groupBy("predicate").agg(
         F.first("target").alias("target"),
         F.map_from_entries(F.collect_list(F.struct("spelling", F.struct("unit", "mul", "add")))).alias("known"),
     )
     joined = read.join(F.broadcast(lookup), "predicate", "left")
-    first = F.get(F.col("units"), F.lit(0))
+    spellings = F.array(*[F.lit(x) for x in sorted({r[1] for r in unit_rows()})])
+    first = F.coalesce(F.get(F.filter("units", lambda u: F.array_contains(spellings, u)), F.lit(0)), F.get(F.col("units"), F.lit(0)))
     hit = F.try_element_at("known", first)
     rows = joined.select(
         "claim_id", "predicate", "target", "x", F.col("canonical_value").alias("stored_value"), F.col("canonical_unit").alias("stored_unit"),
@@ -255,16 +267,17 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
     fitted = fit_mixture(s_rows, m_rows, u_rows)
     factors = {(p, u): (mul, add) for p, u, mul, add in u_rows}
     model = spark.createDataFrame(
-        [(p, [(u, w, mu, sd, sh, *factors[p, u]) for q, u, w, mu, sd, sh in fitted if q == p]) for p in sorted({f[0] for f in fitted})],
-        "predicate string, parts array<struct<unit string, w double, mu double, sd double, shift double, mul double, add double>>",
+        [(p, [(u, w, mu, sd, sure, *factors[p, u]) for q, u, w, mu, sd, sure in fitted if q == p]) for p in sorted({f[0] for f in fitted})],
+        "predicate string, parts array<struct<unit string, w double, mu double, sd double, sure boolean, mul double, add double>>",
     )
-    like = F.transform(
-        "parts",
-        lambda c: F.struct(
-            (c["w"] * F.exp(-0.5 * F.least(F.pow((F.log10("x") + c["shift"] - c["mu"]) / c["sd"], F.lit(2.0)), F.lit(1400.0)))).alias("l"),
-            c["mul"].alias("mul"), c["add"].alias("add"),
-        ),
-    )
+
+    def likelihood(c: Column) -> Column:
+        raw = F.col("x") * c["mul"]
+        value = raw + c["add"]
+        distance = F.least(F.pow((F.log10(value) - c["mu"]) / c["sd"], F.lit(2.0)), F.lit(1400.0))
+        return F.when(value > 0, c["w"] * raw / value * F.exp(-0.5 * distance)).otherwise(0.0)
+
+    like = F.transform("parts", lambda c: F.struct(likelihood(c).alias("l"), c["mul"].alias("mul"), c["add"].alias("add"), c["sure"].alias("sure")))
     total = F.aggregate("like", F.lit(0.0), lambda a, c: a + c["l"])
     guess = rows.join(F.broadcast(model), "predicate", "left").withColumn(
         "like", F.when(~F.col("has_unit") & (F.col("x") > 0), like)
@@ -272,7 +285,7 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
     inferred = F.col("posterior").isNotNull()
     value = F.coalesce("stated_value", F.when(inferred, F.col("x") * F.col("best.mul") + F.col("best.add")))
     status = (
-        F.when(F.col("stated_value").isNotNull(), "stated").when(inferred & (F.col("posterior") >= CERTAIN), "inferred")
+        F.when(F.col("stated_value").isNotNull(), "stated").when(inferred & (F.col("posterior") >= CERTAIN) & F.col("best.sure"), "inferred")
         .when(inferred, "uncertain").otherwise("none")
     )
     return guess.select(
@@ -282,6 +295,11 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
     )
 
 
+def inferred(canonical: DataFrame) -> DataFrame:
+    """Claims that state a number and no unit, with the unit the mixture gives them and how sure it is."""
+    return canonical.where(F.col("status").isin("inferred", "uncertain")).select("claim_id", "canonical_unit", "canonical_value", "posterior", "status")
+
+
 def wrong_or_missing(canonical: DataFrame) -> DataFrame:
     """Stated claims whose stored canonical columns are NULL, name another unit, or are off by more than 1 %; value as C ``%.2e``."""
     off = F.abs(F.col("stored_value") - F.col("canonical_value")) > 0.01 * F.abs(F.col("canonical_value"))

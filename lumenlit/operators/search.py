@@ -8,7 +8,6 @@ Rows with NULL fields have no tokens there; ties are ordered by record_id; an em
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,20 +15,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from lumenlit.errors import FilterError, QueryError
-from lumenlit.functions.text import fold_table, sanitize, tokens
-from lumenlit.plans.query import FIELDS, Many, Near, Not, hits, leaves, matches, parse, parse_ranked
+from lumenlit.functions.text import sanitize, tokens
+from lumenlit.plans.evaluate import document_snippets, near_kept, passage_snippet
+from lumenlit.plans.query import FIELDS, TOKENS, Leaf, Many, Near, Not, View, leaves, matches, parse, parse_ranked
 
 WEIGHTS = {"title": 10.0, "abstract": 4.0, "body": 1.0}
 K1, B = 1.2, 0.75
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:
-    """One row per record: the last indexing (``indexed_at``, then ``doc_id``)."""
-    n = F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("indexed_at"), F.desc("doc_id")))
-    return documents.where(F.col("record_id").isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n")
+    """One row per record: the last indexing (``indexed_at``, then ``doc_id``). The choice shuffles keys only; the documents stay where they are
+    unless the chosen keys are too many to broadcast. ``doc_id`` names one row."""
+    rows = documents.where(F.col("record_id").isNotNull())
+    last = rows.groupBy("record_id").agg(F.max(F.struct(F.col("indexed_at").isNotNull().alias("k"), "indexed_at", "doc_id")).alias("m"))
+    chosen = last.select(F.col("record_id").alias("_r"), F.col("m.doc_id").alias("_d"))
+    return rows.join(chosen, (F.col("record_id") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
 
 
 def index(documents: DataFrame) -> DataFrame:
@@ -78,8 +80,13 @@ class Range:
             raise FilterError("bounds are limited to 64 bits")
 
 
+def tag_keys(indexed: DataFrame) -> tuple[str, ...]:
+    """Keys whose tags are built."""
+    return tuple(c.removeprefix("tag_") for c in indexed.columns if c.startswith("tag_"))
+
+
 def check_filters(filters: list, keys: tuple[str, ...]) -> None:
-    """At most one filter per key, and only for known keys; raised before any job starts."""
+    """At most one filter per key, and only for keys with tags; raised before any job starts."""
     names = [f.key for f in filters]
     if len(set(names)) < len(names) or not set(names) <= set(keys):
         raise FilterError(f"one filter per key, of {sorted(keys)}")
@@ -127,6 +134,7 @@ def with_tags(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def match_ids(indexed: DataFrame, query: str | None, filters: list = ()) -> DataFrame:
     """(record_id,) of the matching documents, in no order; pure negations are allowed, None matches all."""
+    check_filters(filters, tag_keys(indexed))
     tree = parse(query) if query is not None else None
     rows = indexed.where(_filtered(indexed, list(filters)))
     return (rows.where(matches(tree)) if tree else rows).select("record_id")
@@ -134,50 +142,98 @@ def match_ids(indexed: DataFrame, query: str | None, filters: list = ()) -> Data
 
 def filter_candidates(ids: DataFrame, indexed: DataFrame, filters: list) -> DataFrame:
     """The given ids whose documents pass the filters."""
+    check_filters(filters, tag_keys(indexed))
     return ids.join(indexed.where(_filtered(indexed, list(filters))).select("record_id"), "record_id", "left_semi")
 
 
-def _counted(node: object, score) -> Column:
-    """Sum of the leaves' scores over the parts of the query that match."""
-    if isinstance(node, Not):
-        return F.lit(0.0)
-    if isinstance(node, Many):
-        inner = sum((_counted(p, score) for p in node.parts), F.lit(0.0))
-        return F.when(matches(node), inner).otherwise(0.0)
-    return F.when(matches(node), score(node)).otherwise(0.0)
+def scored_leaves(node: object) -> list[Leaf]:
+    """Leaves that carry a document frequency: the parts of a NEAR group are leaves of its fields."""
+    return [x for n in leaves(node) for x in ([Leaf(p.words, n.fields, p.prefix) for p in n.parts] if isinstance(n, Near) else [n])]
 
 
-def _frequency(leaf: object, weights: dict[str, float]) -> Column:
-    parts = leaf.parts if isinstance(leaf, Near) else (leaf,)
-    return sum((weights.get(f, 0.0) * hits(p, f) for p in parts for f in leaf.fields), F.lit(0.0))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _near_counts(starts: pd.Series, lengths: pd.Series, distance: pd.Series) -> pd.Series:
+    """Kept occurrences of every part of a NEAR group in one field."""
+    return pd.Series([[len(k) for k in near_kept([list(p) for p in s], list(n), int(d))] for s, n, d in zip(starts, lengths, distance)])
 
 
-def rank(indexed: DataFrame, query: str, limit: int = 20, filters: list = (), exclude: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
-    """(record_id, score): the best ``limit`` documents by BM25, ties by record_id. Statistics cover all documents, in one aggregate."""
+def near_groups(tree: object) -> list[Near]:
+    """The distinct NEAR groups of a query."""
+    return list(dict.fromkeys(n for n in leaves(tree) if isinstance(n, Near)))
+
+
+def with_near(rows: DataFrame, tree: object, view: View) -> DataFrame:
+    """Adds ``near_<group>_<field>``: kept occurrences of every part of a NEAR group. The walk runs only where every part occurs in the field."""
+    places, cols = [], {}
+    for g, node in enumerate(near_groups(tree)):
+        lengths = F.array(*[F.lit(len(p.words)) for p in node.parts])
+        for f in node.fields:
+            starts = F.array(*[view.starts(p, f) for p in node.parts])
+            some = F.when(F.forall(starts, lambda s: F.size(s) > 0), starts).otherwise(F.array().cast("array<array<int>>"))
+            places.append(some.alias(f"s_{g}_{f}"))
+            cols[f"near_{g}_{f}"] = _near_counts(F.col(f"_starts.s_{g}_{f}"), lengths, F.lit(node.distance))
+    if not cols:
+        return rows
+    # A generator keeps the places apart from the call: Spark takes no Python function whose arguments hold lambdas.
+    return rows.select("*", F.explode(F.array(F.struct(*places))).alias("_starts")).withColumns(cols).drop("_starts")
+
+
+def bm25(rows: DataFrame, tree: object, idf: list[float], average: float, weights: dict[str, float], view: View) -> DataFrame:
+    """(record_id, score) of matching documents with ``length``: a leaf counts only in parts of the query that match. ``idf`` follows
+    ``scored_leaves``."""
+    place, groups = iter(idf), near_groups(tree)
+
+    def frequencies(node: object) -> list[Column]:
+        if not isinstance(node, Near):
+            return [sum((weights.get(f, 0.0) * view.count(node, f) for f in node.fields), F.lit(0.0))]
+        kept = lambda f, i: F.coalesce(F.get(F.col(f"near_{groups.index(node)}_{f}"), F.lit(i)), F.lit(0))
+        return [sum((weights.get(f, 0.0) * kept(f, i) for f in node.fields), F.lit(0.0)) for i in range(len(node.parts))]
+
+    def counted(node: object) -> Column:
+        if isinstance(node, Not):
+            for _ in scored_leaves(node):
+                next(place)
+            return F.lit(0.0)
+        if isinstance(node, Many):
+            inner = sum((counted(p) for p in node.parts), F.lit(0.0))
+        else:
+            norm = K1 * (1 - B + B * F.col("length") / average)
+            inner = sum((F.lit(next(place)) * f * (K1 + 1) / (f + norm) for f in frequencies(node)), F.lit(0.0))
+        return F.when(matches(node, view), inner).otherwise(0.0)
+
+    return with_near(rows, tree, view).select("record_id", counted(tree).alias("score"))
+
+
+def inverse_frequency(n: int, holding: int) -> float:
+    """ln((n - df + 0.5) / (df + 0.5)), and a little above zero where that is not positive."""
+    value = math.log((n - holding + 0.5) / (holding + 0.5))
+    return value if value > 0 else 1e-6
+
+
+def checked_weights(weights: dict[str, float] | None) -> dict[str, float]:
     weights = weights or WEIGHTS
     if any(not math.isfinite(w) or w < 0 for w in weights.values()):
         raise QueryError("weights must be finite and not negative")
-    tree = parse_ranked(query)
+    return weights
+
+
+def rank(indexed: DataFrame, query: str, limit: int = 20, filters: list = (), exclude: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(record_id, score): the best ``limit`` documents by BM25, ties by record_id. Statistics cover all documents, in one aggregate. For a corpus
+    that is queried often, ``TextIndex.rank`` gives the same from written postings."""
+    weights, tree = checked_weights(weights), parse_ranked(query)
+    check_filters(filters, tag_keys(indexed))
     if limit < 1:
         return indexed.sparkSession.createDataFrame([], "record_id string, score double")
-    scored = [x for x in leaves(tree)]
+    scored = scored_leaves(tree)
     stats = indexed.agg(
         F.count("*").alias("n"), F.sum("length").alias("total"), *[F.count_if(matches(x)).alias(f"n{i}") for i, x in enumerate(scored)]
     ).first()  # one row
     n, average = stats["n"] or 0, max(stats["total"] or 0, 1) / max(stats["n"] or 0, 1)
-    idf = {}
-    for i, x in enumerate(scored):
-        value = math.log((n - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
-        idf[x] = value if value > 0 else 1e-6
-
-    def score(leaf: object) -> Column:
-        f = _frequency(leaf, weights)
-        return F.lit(idf[leaf]) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / average))
-
+    idf = [inverse_frequency(n, stats[f"n{i}"]) for i in range(len(scored))]
     rows = indexed.where(_filtered(indexed, list(filters))).where(matches(tree))
     if exclude is not None:
         rows = rows.where(F.col("record_id") != exclude)
-    return rows.select("record_id", _counted(tree, score).alias("score")).orderBy(F.desc("score"), "record_id").limit(limit)
+    return bm25(rows, tree, idf, average, weights, TOKENS).orderBy(F.desc("score"), "record_id").limit(limit)
 
 
 def hydrate(ranked: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
@@ -190,16 +246,21 @@ def _named(key: str) -> Column:
 
 
 def facet_counts(indexed: DataFrame, keys: tuple[str, ...], query: str | None = None, filters: list = ()) -> DataFrame:
-    """(key, value, n): documents per tag, each key counted under every filter but its own; one pass over the documents."""
+    """(key, value, n): documents per tag, the largest count of a key first, then by value; each key is counted under every filter but its own,
+    in one pass over the documents."""
+    check_filters(filters, tag_keys(indexed))
+    check_filters([Tag(k, ("",)) for k in keys], tag_keys(indexed))
     rows = indexed.where(matches(parse(query))) if query else indexed
     each = [F.when(_filtered(indexed, list(filters), without=k), _named(k)) for k in keys]
     empty = F.array().cast("array<struct<key:string,value:string>>")
     tags = rows.select(F.explode(F.flatten(F.array(*[F.coalesce(e, empty) for e in each]))).alias("t"))
-    return tags.groupBy("t.key", "t.value").agg(F.count("*").alias("n"))
+    return tags.groupBy("t.key", "t.value").agg(F.count("*").alias("n")).orderBy("key", F.desc("n"), "value")
 
 
 def range_counts(indexed: DataFrame, ranges: list[Range], query: str | None = None, filters: list = ()) -> DataFrame:
     """(place, n): documents per range, each under every filter but those of its key; one aggregate."""
+    check_filters(filters, tag_keys(indexed))
+    check_filters(list({r.key: r for r in ranges}.values()), tag_keys(indexed))
     rows = indexed.where(matches(parse(query))) if query else indexed
     counts = [F.count_if(passes(r, F.col(f"tag_{r.key}")) & _filtered(indexed, list(filters), without=r.key)).alias(f"r{i}") for i, r in enumerate(ranges)]
     return rows.agg(*counts).select(F.posexplode(F.array(*[F.col(f"r{i}") for i in range(len(ranges))])).alias("place", "n"))
@@ -213,46 +274,29 @@ def count_matches(indexed: DataFrame, query: str | None, cap: int | None = None,
     return (rows.limit(cap) if cap else rows).agg(F.count("*").alias("n"))
 
 
-SNIPPET = T.StructType(
-    [T.StructField("text", T.StringType()), T.StructField("highlights", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
-)
-
-
-def snippet(text: str | None, found: list[tuple[tuple[str, ...], bool]], width: int = 24) -> dict:
-    """Up to ``width`` words from the first match on, with the highlighted spans; ``found``: (words, prefix) of the leaves."""
-    src, dst = fold_table()
-    table = {ord(c): dst[i] if i < len(dst) else None for i, c in enumerate(src)}
-    words = [(m[0].lower().translate(table), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text or "")]
-    marks = []
-    for leaf, prefix in found:
-        for i in range(len(words) - len(leaf) + 1):
-            got = [w for w, _, _ in words[i : i + len(leaf)]]
-            if got[:-1] == list(leaf[:-1]) and (got[-1].startswith(leaf[-1]) if prefix else got[-1] == leaf[-1]):
-                marks.append((i, i + len(leaf)))
-    marks.sort()
-    first = max(0, min(marks[0][0] if marks else 0, max(0, len(words) - width)))
-    shown = words[first : first + width]
-    if not shown:
-        return {"text": "", "highlights": []}
-    begin, end = shown[0][1], shown[-1][2]
-    head, tail = "…" if first else "", "…" if first + width < len(words) else ""
-    spans: list[list[int]] = []
-    for a, b in marks:
-        if a >= first and b <= first + len(shown):
-            x, y = words[a][1] - begin + len(head), words[b - 1][2] - begin + len(head)
-            if spans and x <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], y)
-            else:
-                spans.append([x, y])
-    return {"text": head + text[begin:end] + tail, "highlights": [{"start": a, "end": b} for a, b in spans]}
-
-
-def with_snippet(hits_: DataFrame, query: str, column: str) -> DataFrame:
-    """Adds ``snippet`` of a column to the shown hits."""
-
-    def positive(n: object) -> list:
-        return [] if isinstance(n, Not) else [x for p in n.parts for x in positive(p)] if isinstance(n, (Many, Near)) else [(n.words, n.prefix)]
-
-    found = positive(parse(query))
-    cut = F.pandas_udf(lambda s: pd.DataFrame([snippet(t, found) for t in s], columns=["text", "highlights"]), SNIPPET)
-    return hits_.withColumn("snippet", cut(sanitize(F.col(column))))
+SPAN = "array<struct<start:int,end:int>>"
+SNIPPET = f"struct<field:string,text:string,highlights:{SPAN}>"
+
+
+def with_snippets(hits_: DataFrame, query: str) -> DataFrame:
+    """Adds ``snippets`` to the shown hits, which carry title, abstract and body: the best field's snippet and one of every field with a match."""
+    tree = parse(query)
+
+    def cut(title: pd.Series, abstract: pd.Series, body: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([document_snippets(tree, dict(zip(FIELDS, map(lambda x: x or "", t)))) for t in zip(title, abstract, body)], columns=["best", "fields"])
+
+    cut.__annotations__ = {"title": pd.Series, "abstract": pd.Series, "body": pd.Series, "return": pd.DataFrame}
+    return hits_.withColumn("snippets", F.pandas_udf(cut, f"best {SNIPPET}, fields array<{SNIPPET}>")(*[sanitize(F.col(f)) for f in FIELDS]))
+
+
+def with_passage_snippet(hits_: DataFrame, query: str, column: str, field: str = "body") -> DataFrame:
+    """Adds ``snippet`` of a column read as one field, with every word of the query that is not negated."""
+    if field not in FIELDS:
+        raise QueryError(f"a field is one of {FIELDS}", 0, field)
+    tree = parse(query)
+
+    def cut(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([passage_snippet(tree, t or "", field) for t in s], columns=["field", "text", "highlights"])
+
+    cut.__annotations__ = {"s": pd.Series, "return": pd.DataFrame}
+    return hits_.withColumn("snippet", F.pandas_udf(cut, f"field string, text string, highlights {SPAN}")(sanitize(F.col(column))))

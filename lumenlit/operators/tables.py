@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenlit.errors import ConfigError
-from lumenlit.functions.text import key_of, keyword_tokens
+from lumenlit.functions.text import key_of, keyword_tokens, keyword_words, let
 from lumenlit.operators.graph import components
 from lumenlit.session import checkpoint
 
@@ -136,12 +136,20 @@ NULL_WORDS = ("", "null", "none", "unknown", "n/a", "nan")
 
 
 def keyword_rule(field: str, phrases: list[str]) -> Column:
-    """Violations of a text key: null-like, or holding a forbidden phrase as adjacent whole words (the shortest such phrase is reported)."""
-    words = keyword_tokens(F.col(field))
-    found = F.lit(None).cast("string")
-    for p in sorted(phrases, key=lambda p: (len(p.split()), p)):
-        inside = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(" " + " ".join(p.lower().split()) + " ")
-        found = F.coalesce(found, F.when(inside, F.lit(p)))
+    """Violations of a text key: null-like, or holding a forbidden phrase as adjacent whole words (of the shortest such phrases the first in the
+    text is reported). Keys and phrases are compared folded, letters and digits apart, so ``mock1`` holds ``mock``."""
+    by_length: dict[int, list[str]] = {}
+    for words in {keyword_words(p) for p in phrases} - {()}:
+        by_length.setdefault(len(words), []).append(" ".join(words))
+
+    def hit_of(words: Column, k: int, some: list[str]) -> Column:
+        places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.get(F.filter(F.transform(places, lambda i: F.array_join(F.slice(words, i, k), " ")), lambda r: r.isin(*some)), F.lit(0))
+
+    def first_hit(words: Column) -> Column:
+        return F.coalesce(F.lit(None).cast("string"), *[hit_of(words, k, some) for k, some in sorted(by_length.items())])
+
+    found = let(keyword_tokens(F.col(field).cast("string")), first_hit)
     nullish = F.lower(F.trim(F.coalesce(F.col(field), F.lit("")))).isin(*NULL_WORDS)
     hit = F.when(nullish, violation("null-key", field, F.lit("the key is missing"))).when(
         found.isNotNull(), violation("forbidden-keyword", field, F.concat(F.lit("holds "), found))

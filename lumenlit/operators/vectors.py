@@ -78,6 +78,8 @@ def rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int = 60)
 
 def minmax(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(record_id, fused): sum of the scores of (list, record_id, score), each list scaled to 0..1; equal scores count 1."""
+    bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    lists = lists.withColumn("score", F.when(bad, F.raise_error(F.lit("scores to be scaled are finite")).cast("double")).otherwise(F.col("score")))
     w = W.partitionBy("list")
     low, high = F.min("score").over(w), F.max("score").over(w)
     weight = F.lit(1.0)

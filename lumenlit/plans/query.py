@@ -138,7 +138,11 @@ def parse(text: str, default_fields: tuple[str, ...] = FIELDS) -> object:
         kind, at, source, node = lexemes[place]
         place += 1
         if kind == "not":
-            left = negate(expression(3, depth))
+            odd = True
+            while lexemes[place][0] == "not":
+                odd, place = not odd, place + 1
+            left = expression(3, depth)
+            left = negate(left) if odd else left
         elif kind == "open":
             if depth == MAX_DEPTH:
                 raise QueryError("parentheses nest too deeply", at, "(")
@@ -212,33 +216,53 @@ def describe(node: object, operator: str = "", negated: bool = False, depth: int
     return [{"label": label, "fields": list(node.fields), "operator": operator, "negated": negated, "depth": depth}]
 
 
-def starts(tok: Column, leaf: Leaf) -> Column:
-    """0-based positions at which a leaf begins in a token array; overlapping ones all count."""
-    k = len(leaf.words)
-    *whole, last = leaf.words
+class View:
+    """How a leaf's occurrences in a document are read: ``starts`` gives its 0-based places in a field, ``count`` how many there are."""
 
-    def places(t: Column) -> Column:
-        def here(i: Column) -> Column:
-            tests = [F.get(t, i + j) == w for j, w in enumerate(whole)]
-            end = F.get(t, i + (k - 1))
-            return reduce(Column.__and__, [*tests, end.startswith(last) if leaf.prefix else end == last])
+    def starts(self, leaf: Leaf, field: str) -> Column:
+        raise NotImplementedError
 
-        span = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.filter(span, here)
+    def count(self, leaf: Leaf, field: str) -> Column:
+        return F.size(self.starts(leaf, field))
 
-    return let(tok, places)
+    def holds(self, leaf: Leaf, field: str) -> Column:
+        return self.count(leaf, field) > 0
 
 
-def hits(node: Leaf, field: str, tok=lambda f: F.col(f"tok_{f}")) -> Column:
-    """Number of occurrences of a leaf in a field."""
-    t = tok(field)
-    if len(node.words) == 1:
-        w = node.words[0]
-        return F.size(F.filter(t, (lambda x: x.startswith(w)) if node.prefix else (lambda x: x == w)))
-    return F.size(starts(t, node))
+class TokenView(View):
+    """Documents with token arrays ``tok_<field>``."""
 
+    def starts(self, leaf: Leaf, field: str) -> Column:
+        k = len(leaf.words)
+        *whole, last = leaf.words
 
-def _near(node: Near, field: str, tok) -> Column:
+        def places(t: Column) -> Column:
+            def here(i: Column) -> Column:
+                tests = [F.get(t, i + j) == w for j, w in enumerate(whole)]
+                end = F.get(t, i + (k - 1))
+                return reduce(Column.__and__, [*tests, end.startswith(last) if leaf.prefix else end == last])
+
+            span = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.greatest(F.size(t) - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+            return F.filter(span, here)
+
+        return let(F.col(f"tok_{field}"), places)
+
+    def count(self, leaf: Leaf, field: str) -> Column:
+        if len(leaf.words) > 1:
+            return F.size(self.starts(leaf, field))
+        w = leaf.words[0]
+        return F.size(F.filter(F.col(f"tok_{field}"), (lambda x: x.startswith(w)) if leaf.prefix else (lambda x: x == w)))
+
+    def holds(self, leaf: Leaf, field: str) -> Column:
+        if len(leaf.words) == 1 and not leaf.prefix:
+            return F.array_contains(F.col(f"tok_{field}"), leaf.words[0])
+        return self.count(leaf, field) > 0
+
+
+TOKENS = TokenView()
+
+
+def _near(node: Near, field: str, view: View) -> Column:
     """Some start p has, for every part, a start no more than ``distance`` words and the part's own length in front of it."""
     lengths = [len(p.words) for p in node.parts]
     within = lambda p, k: lambda q: (q <= p) & (q >= p - k - node.distance)
@@ -247,17 +271,24 @@ def _near(node: Near, field: str, tok) -> Column:
         each = [(F.get(all_starts, F.lit(i)), k) for i, k in enumerate(lengths)]
         return F.exists(F.flatten(all_starts), lambda p: reduce(Column.__and__, [F.exists(s, within(p, k)) for s, k in each]))
 
-    return let(F.array(*[starts(tok(field), p) for p in node.parts]), close)
+    return let(F.array(*[view.starts(p, field) for p in node.parts]), close)
 
 
-def matches(node: object, tok=lambda f: F.col(f"tok_{f}")) -> Column:
-    """Whether a document, given its token arrays, matches the query."""
+def matches(node: object, view: View = TOKENS) -> Column:
+    """Whether a document matches the query."""
     if isinstance(node, Not):
-        return ~matches(node.part, tok)
+        return ~matches(node.part, view)
     if isinstance(node, Many):
-        return reduce(Column.__and__ if node.kind == "and" else Column.__or__, [matches(p, tok) for p in node.parts])
+        return reduce(Column.__and__ if node.kind == "and" else Column.__or__, [matches(p, view) for p in node.parts])
     if isinstance(node, Near):
-        return reduce(Column.__or__, [_near(node, f, tok) for f in node.fields])
-    if len(node.words) == 1 and not node.prefix:
-        return reduce(Column.__or__, [F.array_contains(tok(f), node.words[0]) for f in node.fields])
-    return reduce(Column.__or__, [hits(node, f, tok) > 0 for f in node.fields])
+        return reduce(Column.__or__, [_near(node, f, view) for f in node.fields])
+    return reduce(Column.__or__, [view.holds(node, f) for f in node.fields])
+
+
+def matches_nothing(node: object) -> bool:
+    """Whether a document without any word of the query matches it."""
+    if isinstance(node, Not):
+        return not matches_nothing(node.part)
+    if isinstance(node, Many):
+        return (all if node.kind == "and" else any)(map(matches_nothing, node.parts))
+    return False

@@ -14,6 +14,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column
@@ -56,11 +57,17 @@ def html_text(data: bytes) -> str:
 
 
 def safe_xml(data: bytes) -> ET.Element:
-    if re.search(rb"<!(DOCTYPE|ENTITY)[^>]*\[|<!ENTITY", data[:4096], re.I):
-        raise ParsingError("document types with declarations are refused")
+    """Root of a document; one that declares entities, wherever the declaration stands and however it is encoded, is refused."""
+
+    def refuse(*_: object) -> None:
+        raise ParsingError("documents that declare entities are refused")
+
+    scan = expat.ParserCreate()
+    scan.EntityDeclHandler = refuse
     try:
+        scan.Parse(data, True)
         return ET.fromstring(data)
-    except ET.ParseError as e:
+    except (ET.ParseError, expat.ExpatError) as e:
         raise ParsingError(str(e)) from e
 
 
@@ -104,9 +111,13 @@ def latex_text(data: bytes) -> str:
         raise ParsingError("the e-print is a PDF")
     files: dict[str, str] = {}
     try:
+        room = MOST_BYTES
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
             for m in t:
                 if m.isfile() and m.name.endswith(".tex"):
+                    room -= m.size
+                    if room < 0:
+                        raise ParsingError("the e-print is too large")
                     files[m.name.removeprefix("./")] = t.extractfile(m).read().decode("utf-8", "replace")
     except tarfile.ReadError:
         files = {"main.tex": data.decode("utf-8", "replace")}

@@ -101,7 +101,90 @@ def test_empty_index(spark):
     assert search.rank(d, "gas").count() == 0 and search.count_matches(d, "gas").first().n == 0
 
 
-def test_snippet():
-    s = search.snippet("one two gas four " + "x " * 40, [(("gas",), False)], 5)
-    assert s["text"].strip("…").startswith("gas") and s["text"][s["highlights"][0]["start"] : s["highlights"][0]["end"]] == "gas"
-    assert search.snippet(None, [(("a",), False)]) == {"text": "", "highlights": []}
+def small_index(spark, path):
+    from lumenlit.sources.textindex import TextIndex
+
+    i = TextIndex(spark, path)
+    i.upsert(docs(spark), ("venue", "year"))
+    return i
+
+
+QUERIES = ["halo", "halo*", '"gas reservoir"', "title:halo", "abstract,body:halo AND survey", "NOT gas", "gas -steady", "plasma || survey", "NEAR(mass steady, 5)", "NEAR(mass steady, 4)",
+           "muller", "NOT (NOT plasma)", '"reservoir gas" OR title:plas*', "x", '"x x"', "NEAR(gas reservoir gas, 3)", "nothing", "NOT nothing"]
+
+
+def test_written_index_equals_the_texts(spark, tmp_path):
+    i, d = small_index(spark, f"{tmp_path}/i"), docs(spark).where("record_id in ('a', 'b', 'e')")
+    for text in QUERIES:
+        assert ids(i.match(text)) == ids(search.match_ids(d, text)), text
+        if q.rankable(q.parse(text)):
+            want = [(r.record_id, pytest.approx(r.score)) for r in search.rank(d, text, 3).collect()]
+            assert [tuple(r) for r in i.rank(text, 3).collect()] == want, text
+    assert ids(i.match("gas", [Tag("venue", ("V",))])) == ["a", "b"] and i.count_matches("gas", 2).first().n == 2
+    assert {r.check: r.bad for r in i.integrity().collect()} == {"lengths": 0, "orphans": 0, "statistics": 0}
+
+
+def test_written_index_changes(spark, tmp_path):
+    from lumenlit.errors import StoreError
+    from lumenlit.sources.textindex import TextIndex, backfill
+
+    i = small_index(spark, f"{tmp_path}/i")
+    new = spark.createDataFrame([("a", "old words", 1), ("a", "new words", 2), ("f", "more words", 1), ("b", "  ", 1), (" ", "no id", 1)], "record_id string, title string, n int")
+    i.upsert(new, order="n")
+    assert ids(i.match("words")) == ["a", "f"] and ids(i.match("halo")) == [] and ids(i.match("NOT nothing")) == ["a", "e", "f"]
+    i.delete(spark.createDataFrame([("f",)], "record_id string"))
+    assert ids(i.match("words")) == ["a"] and sum(r.bad for r in i.integrity().collect()) == 0
+    before = [tuple(r) for r in i.rank("words OR gas", 5).collect()]
+    i.optimize()
+    assert [tuple(r) for r in i.rank("words OR gas", 5).collect()] == before and len(i.manifest()["segments"]) == 1
+    with pytest.raises(StoreError):
+        i.match("gas", [Tag("lang", ("x",))])
+    i.rebuild_tags(("lang", "year"))
+    assert ids(i.match("gas", [Tag("lang", ("x",))])) == [] and ids(i.match(None, [Tag("year", ("2015",))])) == ["e"]
+    passages = spark.createDataFrame([("p", 1, "b c d e", None), ("p", 0, "a b c", '{"title": "T"}'), ("e", 0, "x", None), ("q", 0, " ", None)], "record_id string, chunk_index int, text string, metadata string")
+    assert backfill(i, passages, 2) == {"seen": 3, "indexed": 1, "present": 1, "empty": 1}
+    assert i.documents().where("record_id = 'p'").first().body == "a b c d e"
+    empty = TextIndex(spark, f"{tmp_path}/none")
+    assert empty.match("gas").count() == 0 and empty.rank("gas").count() == 0 and empty.match("NOT gas").count() == 0
+
+
+def test_near_walk():
+    from lumenlit.plans.evaluate import near_kept
+
+    assert near_kept([[1, 9], [4, 30]], [1, 1], 2) == [[1], [4]]
+    assert near_kept([[1], [9]], [1, 1], 2) == [[], []]
+    assert near_kept([[0, 2], [1, 3]], [1, 1], 5) == [[0, 2], [1, 3]]
+    assert near_kept([[], [1]], [1, 1], 5) == [[], []]
+    # A start that no other part is near to is passed over.
+    assert near_kept([[0, 50, 52], [51, 90]], [1, 1], 3) == [[50, 52], [51]]
+
+
+def test_snippets(spark):
+    from lumenlit.plans import evaluate as ev
+
+    text = "one two gas four " + "x " * 40
+    s = ev.passage_snippet(q.parse("gas NOT two"), text)
+    assert s["text"].startswith("one two gas four") is False and s["text"].startswith("…gas") and s["text"][s["highlights"][0]["start"] : s["highlights"][0]["end"]] == "gas" and len(s["highlights"]) == 1
+    assert ev.passage_snippet(q.parse("gas"), "") == {"field": "body", "text": "", "highlights": []}
+    assert ev.passage_snippet(q.parse("title:gas"), "gas (all of it)")["text"] == "gas (all of it)"
+    both = ev.document_snippets(q.parse("halo OR (gas AND missing)"), {"title": "Halo, halo", "abstract": "a halo of gas", "body": ""})
+    assert both["best"]["field"] == "title" and [f["field"] for f in both["fields"]] == ["title", "abstract"]
+    assert both["fields"][1]["highlights"] == [{"start": 2, "end": 6}]
+    assert ev.split_markers("a\x02bc\x03 d\x02\x02e") == ("abc de", [(1, 3), (5, 6)]) and ev.split_markers("\x03\x02\x03x") == ("x", [])
+    shown = search.with_snippets(docs(spark), "gas OR halo").where("record_id = 'b'").first().snippets
+    assert shown.best.field == "body" and shown.best.text[shown.best.highlights[0].start : shown.best.highlights[0].end] == "gas"
+
+
+def test_chains_of_negations():
+    assert q.parse("NOT " * 5001 + "a") == q.parse("-a") and q.parse("-" * 4000 + "a") == q.parse("a")
+    with pytest.raises(q.QueryError):
+        q.parse("NOT " * 5000)
+
+
+def test_filters_are_checked_first(spark):
+    d = docs(spark)
+    for bad in ([Tag("venue", ("V",)), Tag("venue", ("W",))], [Tag("lang", ("x",))]):
+        for ask in (lambda f: search.match_ids(d, "gas", f), lambda f: search.rank(d, "gas", 5, f), lambda f: search.facet_counts(d, ("year",), None, f)):
+            with pytest.raises(FilterError):
+                ask(bad)
+    assert [(r.key, r.value) for r in search.facet_counts(d, ("venue",)).collect()] == [("venue", "V"), ("venue", "W")]
