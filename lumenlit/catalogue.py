@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.functions import text as tx
 from lumenlit.operators import claims as cl
-from lumenlit.operators import graph, incremental, quantities, search, tables, vectors
+from lumenlit.operators import extraction, graph, incremental, quantities, search, tables, vectors
 from lumenlit.operators.search import Range, Tag
-from lumenlit.session import checkpoint, load
-from lumenlit.sources import parsers
+from lumenlit.session import checkpoint, load, shared_dir
+from lumenlit.sources import parsers, stores, textindex
+from lumenlit.sources.files import Files
 from lumenlit.sql import SQL
+from lumenlit.streaming import pipeline as pl
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ("journal", "venue", "year", "published", "keywords")
@@ -23,21 +27,37 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return search.newest_documents(load(spark, d, "documents"))
 
 
-def _index(spark: SparkSession, d: str) -> DataFrame:
+def _tokenized(spark: SparkSession, d: str) -> DataFrame:
     return search.index(search.with_tags(_docs(spark, d), KEYS))
 
 
+def written_index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    """The text index over the documents of a table directory. It is written once into the shared folder, under a name that changes with the
+    table's files, and read by every query from then on."""
+    files = Files(spark, d)
+    fs, p = files._at("documents.parquet")
+    seen = fs.getContentSummary(p)
+    name = sha256(f"{d} {seen.getLength()} {seen.getFileCount()} {fs.getFileStatus(p).getModificationTime()} {KEYS}".encode()).hexdigest()[:24]
+    index = textindex.TextIndex(spark, f"{shared_dir(spark)}/index-{name}")
+    if not index.manifest()["segments"]:
+        index.upsert(_docs(spark, d), KEYS)
+    return index
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return written_index(spark, d).documents()
+
+
 def _match(query: str | None, *filters: Tag | Range) -> Query:
-    return lambda s, d: search.match_ids(_index(s, d), query, list(filters))
+    return lambda s, d: written_index(s, d).match(query, list(filters))
 
 
 def _rank(query: str, limit: int = 20) -> Query:
-    return lambda s, d: search.rank(_index(s, d), query, limit).withColumn("score", F.round("score", 9))
+    return lambda s, d: written_index(s, d).rank(query, limit).withColumn("score", F.round("score", 9))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
-    docs = _index(s, d)
-    return graph.jaccard_edges(graph.record_tags(docs, ("journal", "keywords")), docs.where(F.col("doc_id") % 100 == 0), 10)
+    return graph.jaccard_edges(graph.record_tags(_index(s, d), ("journal", "keywords")), _docs(s, d).where(F.col("doc_id") % 100 == 0), 10)
 
 
 def _all_edges(s: SparkSession, d: str) -> DataFrame:
@@ -51,9 +71,17 @@ def _query_vector(s: SparkSession, d: str) -> list[float]:
 
 
 def _lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lexical = search.rank(_index(s, d), "mass OR density OR spectroscopy", 200)
+    lexical = written_index(s, d).rank("mass OR density OR spectroscopy", 200)
     semantic = vectors.best_chunk(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 1000))
-    return lexical, semantic
+    return checkpoint(lexical), checkpoint(semantic)  # bounded lists that fusion reads more than once
+
+
+def _fused(method: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        lexical, semantic = _lists(s, d)
+        return _scored(method(vectors.ranked_list(lexical, "lexical").unionByName(vectors.ranked_list(semantic, "semantic"))), "fused")
+
+    return run
 
 
 def _scored(df: DataFrame, *cols: str) -> DataFrame:
@@ -102,7 +130,7 @@ def _dbscan(s: SparkSession, d: str) -> DataFrame:
 
 def _validated(s: SparkSession, d: str) -> DataFrame:
     rows = tables.validated([tables.range_rule("p_size", 1, 40)])(load(s, d, "part"))
-    return rows.select("p_partkey", F.size("violations").alias("n_violations"), "valid")
+    return rows.select("p_partkey", F.to_json("violations").alias("violations"), "valid")
 
 
 def _keywords(s: SparkSession, d: str) -> DataFrame:
@@ -132,6 +160,141 @@ def _processed_anti(s: SparkSession, d: str) -> DataFrame:
     return listed.join(load(s, d, "processed_ids"), "record_id", "left_anti").join(barred, "record_id", "left_anti")
 
 
+def _stages(bad: Column) -> pl.Stages:
+    """Irrelevant: titles whose length divides by five; a NULL title is a fault; ``bad`` records fail."""
+    return pl.Stages(
+        lambda df: df.withColumn("relevance", F.length("title") % 5 != 0),
+        lambda df: df.withColumn("error", F.when(bad, "no text")).withColumn("entities", F.col("title")),
+    )
+
+
+def _listing(s: SparkSession, d: str) -> DataFrame:
+    """Listing entries in the order of ``listing_no``, as one page."""
+    rows = load(s, d, "raw_records").withColumn("record_id", incremental.trimmed(F.col("record_id")))
+    return rows.select("record_id", "title", "abstract", F.col("listing_no").alias("_place"))
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_dir(s)}/run-{uuid.uuid4().hex}"
+
+
+def _lacking() -> Column:
+    return F.length(F.coalesce("abstract", F.lit(""))) % 3 == 0
+
+
+def _settle_replay(s: SparkSession, d: str) -> DataFrame:
+    """Last outcome of every record after a page that is settled, replayed, and listed once more on the next page."""
+    page, path = _listing(s, d), _folder(s)
+    for batch in (0, 0, 1):
+        p = pl.Pipeline(s, _stages(_lacking()), path)
+        try:
+            p.settle(page, batch)
+        except pl.PipelineAborted:
+            pass
+    return p.state.last().join(p.state.attempts().select("record_id", "attempts"), "record_id", "left").select("record_id", "outcome", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def _settle_retry(s: SparkSession, d: str) -> DataFrame:
+    """Last outcome of every record after a run in which some fail and a second one, over the backlog, in which they do not."""
+    path = _folder(s)
+    pl.Pipeline(s, _stages(_lacking()), path).settle(_listing(s, d), 0)
+    again = pl.Pipeline(s, _stages(F.lit(False)), path)
+    again.settle_backlog("record_id string, title string, abstract string")
+    return again.state.last().select("record_id", "outcome")
+
+
+def _settle_limit(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, run): when a record was exported by runs that may export 30, 50 and then any number; failures give their place to others."""
+    path = _folder(s)
+    for limit in (30, 50, None):
+        p = pl.Pipeline(s, _stages(_lacking()), path, total_limit=limit, max_attempts=None)
+        if limit == 30:
+            p.settle(_listing(s, d), 0)
+        else:
+            p.settle_backlog("record_id string, title string, abstract string")
+    return p.state.outcomes().where("outcome = 'exported'").select("record_id", F.substring("page", 1, 6).cast("int").alias("run"))
+
+
+def _vector_edges(s: SparkSession, d: str) -> DataFrame:
+    """Embedding edges of every record with a first passage whose ``chunk_id`` divides by 100."""
+    chunks = load(s, d, "chunks")
+    asked = chunks.where((F.col("chunk_id") % 100 == 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("vector", lambda x: x != 0))
+    asked = asked.where("record_id is not null").groupBy("record_id").agg(F.min_by("vector", "chunk_id").alias("vector"))
+    return _scored(vectors.embedding_edges(chunks, asked), "weight")
+
+
+def _vector_store(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, passages): a store after two writes and a deletion: records whose id ends in a digit are written twice, those ending in 7 deleted."""
+    store = stores.VectorStore(s, _folder(s))
+    chunks = load(s, d, "chunks").where("record_id is not null").dropDuplicates(["record_id", "chunk_index"])
+    store.put(chunks)
+    store.put(chunks.where(F.col("record_id").rlike("[0-9]$") & (F.col("chunk_index") < 2)))
+    store.delete(chunks.where(F.col("record_id").endswith("7")))
+    return store.rows().groupBy("record_id").agg(F.count("*").alias("passages"))
+
+
+def _backfilled(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, body) of documents rebuilt from stored passages without overlap, for records that an index of every second document lacks."""
+    rows = textindex.stored_documents(load(s, d, "chunks"), 0)
+    return rows.join(_docs(s, d).where("doc_id % 2 = 0").select("record_id"), "record_id", "left_anti").where(F.col("body") != "").select("record_id", "body")
+
+
+def _grounded(s: SparkSession, d: str) -> DataFrame:
+    """(claim_id, grounded): whether the record's text holds the claim's quote."""
+    drafts = cl.unique_claims(load(s, d, "claims")).select("claim_id", "record_id", "quote")
+    kept, lost = extraction.grounded(drafts, _docs(s, d).select("record_id", "text"))
+    return kept.select("claim_id", F.lit(True).alias("grounded")).unionByName(lost.select("claim_id", F.lit(False).alias("grounded")))
+
+
+ENTITY = {"type": "object", "required": ["name", "value"], "properties": {"name": {"type": "string"}, "value": {"type": ["number", "null"]}, "polarity": {"enum": [0, 1]}}, "additionalProperties": False}
+
+
+def _entities(s: SparkSession, d: str) -> DataFrame:
+    return cl.unique_claims(load(s, d, "claims")).select("claim_id", "record_id", F.to_json(F.struct(F.col("subject").alias("name"), F.col("quantity.value").alias("value"), "polarity"), {"ignoreNullFields": "false"}).alias("entity"))
+
+
+def _screened(s: SparkSession, d: str) -> DataFrame:
+    """(claim_id, fields): places at which a claim, taken as an entity, breaks the schema; accepted ones have none."""
+    kept, bad = extraction.screened(_entities(s, d), [extraction.schema_rule(F.col("entity"), ENTITY)])
+    return kept.select("claim_id", F.lit("").alias("fields")).unionByName(bad.select("claim_id", F.array_join(F.array_sort(F.transform("violations", lambda v: v["field"])), ",").alias("fields")))
+
+
+def _rejected(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, entries): open rejections per record after those of every second record are resolved; putting them twice changes nothing."""
+    store = stores.RejectionStore(s, _folder(s))
+    _, bad = extraction.screened(_entities(s, d), [extraction.schema_rule(F.col("entity"), ENTITY)])
+    rows = checkpoint(extraction.rejections(bad).withColumns({"quote": F.lit(""), "created_at": F.lit("2024-01-01T00:00:00+00:00")}).dropDuplicates(["entry_id"]))
+    store.put(rows)
+    store.put(rows)
+    store.resolve(rows.where(F.length("record_id") % 2 == 0).select("entry_id", F.lit("fixed").alias("resolution")))
+    return store.unresolved(limit=1 << 30).groupBy("record_id").agg(F.count("*").alias("entries"))
+
+
+def _double() -> Callable[[str], dict]:
+    """A model of fixed answers, for queries that show the stages around one."""
+    return lambda prompt: {"answer": '{"entities": [{"words": %d}]}' % len(prompt.split(" ")), "prompt_tokens": len(prompt), "completion_tokens": 1}
+
+
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """(requests, prompt_tokens, completion_tokens) of the requests that a cache filled with every second document's answer leaves to the model."""
+    cache = stores.AnswerCache(s, _folder(s))
+    wanted = checkpoint(extraction.requests(_docs(s, d).where("title is not null and title <> ''").select("doc_id", F.col("title").alias("text")), "model", "system").dropDuplicates(["key"]))
+    half = wanted.where(F.length("text") % 2 == 0)
+    cache.put(extraction.asked(half, _double))
+    misses = cache.answered(wanted).where("answer is null").drop("answer")
+    return extraction.usage_totals(extraction.asked(misses, _double))
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    each = load(s, d, "documents").select("doc_id", "abstract", F.posexplode(tx.sentences(F.col("abstract"))).alias("n", "at"))
+    return each.select("doc_id", "n", F.substring("abstract", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("sentence"))
+
+
+def _shown(s: SparkSession, d: str, query: str, limit: int) -> DataFrame:
+    index = written_index(s, d)
+    return search.hydrate(index.rank(query, limit), index.documents(), "title", "abstract", "body")
+
+
 def _canonical(s: SparkSession, d: str) -> DataFrame:
     return quantities.canonicalize(load(s, d, "claims"), load(s, d, "measures"))
 
@@ -149,10 +312,13 @@ def queries() -> dict[str, Query]:
     return {
         "p3_found": lambda s, d: quantities.wrong_or_missing(_canonical(s, d)),
         "p3_canonical": _canonical,
+        "p3_inferred": lambda s, d: quantities.inferred(_canonical(s, d)),
         "p6_found": lambda s, d: incremental.due_records(load(s, d, "raw_records"), load(s, d, "processed_ids"), load(s, d, "record_failures")),
-        "tok_counts": lambda s, d: _index(s, d).select("record_id", *[F.size(f"tok_{f}").alias(f"n_{f}") for f in search.FIELDS]),
-        "term_doc_freq": lambda s, d: _index(s, d).select(F.explode(F.array_distinct(F.concat(*[f"tok_{f}" for f in search.FIELDS]))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(100),
-        "postings_freq": lambda s, d: search.postings(_docs(s, d)).groupBy("term", "field").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("positions")),
+        "tokens": lambda s, d: _tokenized(s, d).select("record_id", *[F.array_join(f"tok_{f}", " ").alias(f) for f in search.FIELDS]),
+        "tok_counts": lambda s, d: _tokenized(s, d).select("record_id", *[F.size(f"tok_{f}").alias(f"n_{f}") for f in search.FIELDS]),
+        "term_doc_freq": lambda s, d: written_index(s, d).postings().groupBy("term").agg(F.count_distinct("record_id").alias("df")),
+        "postings_freq": lambda s, d: written_index(s, d).postings().groupBy("term", F.element_at(F.array(*map(F.lit, search.FIELDS)), F.col("field").cast("int") + 1).alias("field")).agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("positions")),
+        "index_integrity": lambda s, d: written_index(s, d).integrity(),
         "match_term": _match("spectroscopy"),
         "match_prefix": _match("spectro*"),
         "match_phrase": _match('"gas reservoir"'),
@@ -160,28 +326,32 @@ def queries() -> dict[str, Query]:
         "match_and_or_not": _match("survey AND (faint OR compact) -isotope"),
         "match_pure_negation": _match("NOT the"),
         "match_near": _match("NEAR(mass steady, 5)"),
+        "bm25_near": _rank("NEAR(mass steady, 5) OR halo", 50),
         "bm25_topk": _rank("survey AND (faint OR compact) -isotope"),
         "bm25_fields": _rank("title:mass OR abstract:faint", 50),
         "bm25_or": _rank("halo || plasma", 50),
-        "rank_hydrate": lambda s, d: search.hydrate(search.rank(_index(s, d), "halo OR plasma", 20), _docs(s, d), "title", "source").withColumn("score", F.round("score", 9)),
-        "search_snippets": lambda s, d: search.with_snippet(search.hydrate(search.rank(_index(s, d), "body:halo OR body:plasma", 20), _docs(s, d), "body"), "halo OR plasma", "body").select("record_id", "snippet.text"),
+        "rank_hydrate": lambda s, d: search.hydrate(written_index(s, d).rank("halo OR plasma", 20), _docs(s, d), "title", "source").withColumn("score", F.round("score", 9)),
+        "search_snippets": lambda s, d: search.with_snippets(_shown(s, d, "halo OR plasma", 20), "halo OR plasma").select("record_id", "snippets.best.field", "snippets.best.text", F.to_json("snippets.best.highlights").alias("highlights"), F.size("snippets.fields").alias("fields")),
+        "passage_snippets": lambda s, d: search.with_passage_snippet(_shown(s, d, "halo OR plasma", 20), "mass halo -plasma", "body").select("record_id", "snippet.text", F.to_json("snippet.highlights").alias("highlights")),
+        "filter_candidates": lambda s, d: search.filter_candidates(_docs(s, d).where(F.col("doc_id") % 100 == 0).select("record_id"), _index(s, d), [Range("year", 2005, 2020)]),
         "filter_meta": _match(None, Tag("journal", JOURNALS)),
         "filter_negated": _match(None, Tag("journal", JOURNALS[:1], True)),
         "filter_range_int": _match(None, Range("year", 2010, 2015)),
         "filter_range_text": _match(None, Range("published", "2015-03", "2018")),
         "facet_counts": lambda s, d: search.facet_counts(_index(s, d), ("venue", "year"), None, [Tag("venue", JOURNALS), Range("year", 2000, 2020)]),
         "range_counts": lambda s, d: search.range_counts(_index(s, d), YEARS),
-        "capped_count": lambda s, d: search.count_matches(_index(s, d), "the", 50),
+        "capped_count": lambda s, d: written_index(s, d).count_matches("the", 50),
         "chunk_windows": _windows,
         "merge_passages": lambda s, d: _docs(s, d).select("record_id", tx.merge_windows(tx.windows(F.col("body"), 60, 10), 10).alias("text")),
         "stored_records": _stored,
         "vec_topk": lambda s, d: _scored(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 25), "score"),
         "best_chunk": lambda s, d: _scored(vectors.best_chunk(vectors.nearest_chunks(load(s, d, "chunks"), _query_vector(s, d), 200)), "score"),
         "emb_relevance": lambda s, d: _scored(vectors.relevant(load(s, d, "chunks").select("chunk_id", "vector"), [_query_vector(s, d)], 0.35), "relevance").select("chunk_id", "relevance").distinct(),
-        "rrf": lambda s, d: _scored(vectors.rrf(vectors.ranked_list(_lists(s, d)[0], "lexical").unionByName(vectors.ranked_list(_lists(s, d)[1], "semantic"))), "fused"),
-        "minmax": lambda s, d: _scored(vectors.minmax(vectors.ranked_list(_lists(s, d)[0], "lexical").unionByName(vectors.ranked_list(_lists(s, d)[1], "semantic"))), "fused"),
+        "rrf": _fused(vectors.rrf),
+        "minmax": _fused(vectors.minmax),
         "hybrid_topk": lambda s, d: _scored(vectors.hybrid(*_lists(s, d), top=20), "fused"),
         "jaccard_edges": lambda s, d: _edges(s, d).withColumn("weight", F.round("weight", 9)),
+        "knn_edges": _vector_edges,
         "mutual_edges": lambda s, d: graph.choose_edges(_all_edges(s, d), mutual=True),
         "degrees": lambda s, d: graph.degrees(_all_edges(s, d)),
         "components": _components,
@@ -196,15 +366,28 @@ def queries() -> dict[str, Query]:
         "validate_keyword": _keywords,
         "csv_escape": lambda s, d: load(s, d, "documents").select("doc_id", tx.escape_cell(F.col("title")).alias("cell")),
         "ref_year": lambda s, d: load(s, d, "documents").select("doc_id", tx.year_prefix(_published()).alias("year")),
-        "trim_refs": lambda s, d: load(s, d, "documents").select("doc_id", F.length(tx.trim_references(F.col("body"))).alias("kept")),
+        "trim_refs": lambda s, d: load(s, d, "documents").select("doc_id", tx.trim_references(F.col("body")).alias("kept")),
         "html_text": _html,
-        "sentences": lambda s, d: load(s, d, "documents").select("doc_id", F.size(tx.sentences(F.col("abstract"))).alias("n")),
+        "sentences": _sentences,
         "locate_quote": _located,
         "abstract_inverted": _inverted,
         "claim_ids": lambda s, d: cl.unique_claims(load(s, d, "claims")).select("claim_id", cl.claim_id().alias("content_id")),
         "unique_claims": lambda s, d: cl.unique_claims(load(s, d, "claims")).select("claim_id", "record_id", "position", "revision"),
         "claim_changes": lambda s, d: cl.changes(load(s, d, "claims")),
         "change_head": lambda s, d: cl.head(cl.changes(load(s, d, "claims"))),
+        "claim_grounding": _grounded,
+        "claim_rows": lambda s, d: extraction.claim_rows(cl.unique_claims(load(s, d, "claims"))).select("claim_id", "context", "quantity_value", "quantity_unit_text", "has_quantity"),
+        "entity_screen": _screened,
+        "rejections_open": _rejected,
+        "cache_misses": _cached,
+        "vector_store": _vector_store,
+        "backfill_documents": _backfilled,
+        "document_text": lambda s, d: load(s, d, "documents").select("doc_id", tx.document_text(F.col("title"), F.col("abstract")).alias("text")),
+        "bounded_errors": lambda s, d: load(s, d, "documents").select("doc_id", tx.bounded_error(F.col("text"), 200).alias("error")),
+        "markup_start": lambda s, d: load(s, d, "documents").select("doc_id", extraction.is_markup(F.col("body")).alias("markup")),
+        "settle_replay": _settle_replay,
+        "settle_retry": _settle_retry,
+        "settle_limit": _settle_limit,
         "processed_anti": _processed_anti,
         "failure_counts": lambda s, d: load(s, d, "record_failures").groupBy("record_id").agg(F.max("attempts").alias("attempts"), F.max_by("last_error", "attempts").alias("last_error")),
     }

@@ -21,7 +21,7 @@ class Secret(str):
         return "***"
 
     def reveal(self) -> str:
-        return str.__str__(self) if False else "".join(self)
+        return "".join(self)
 
 
 @dataclass(frozen=True)

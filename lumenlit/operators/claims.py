@@ -6,7 +6,7 @@ last write per key, chosen by combining aggregates. NULL identifiers are left ou
 
 from __future__ import annotations
 
-import re
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,28 +15,30 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lumenlit.errors import StoreError
-from lumenlit.functions.text import content_hash
+from lumenlit.functions.text import PY_SPACE, content_hash
 
-IDENTITY = ("record_id", "kind", "subject", "predicate", "object", "polarity", "context", "verbatim", "span_start", "span_end")
+def _json(c: Column) -> Column:
+    """A value as compact JSON."""
+    return F.regexp_extract(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
 
 
 @F.pandas_udf(T.StringType())
-def _claim_id(rows: pd.DataFrame) -> pd.Series:
-    def one(r) -> str:
-        span = [None if pd.isna(x) else int(x) for x in (r.span_start, r.span_end)]
-        pairs = sorted([str(k), str(v)] for k, v in (dict(r.context) if r.context is not None else {}).items())
-        said = re.sub(r"\s+", "", r.verbatim) if isinstance(r.verbatim, str) else None
-        plain = [None if x is None or x != x else x for x in (r.record_id, r.kind, r.subject, r.predicate, r.object)]
-        polarity = None if pd.isna(r.polarity) else int(r.polarity)
-        return content_hash([*plain, polarity, pairs, said, *span])
-
-    return pd.Series([one(r) for r in rows.itertuples(index=False)])
-
-
-def claim_id() -> Column:
-    """Identifier of a claim row from its content."""
-    verbatim = F.col("quantity.verbatim").alias("verbatim")
-    return _claim_id(F.struct(*[verbatim if c == "verbatim" else F.col(c) for c in IDENTITY]))
+def _hashed(s: pd.Series) -> pd.Series:
+    """Hash of a JSON list, written anew where the two writers differ in how they escape control characters."""
+    return s.map(lambda j: content_hash(json.loads(j)), na_action="ignore")
+
+
+def claim_id(schema_hash: str = "") -> Column:
+    """Identifier of a claim row: a hash of record, kind, subject, predicate, object, polarity, context, the quantity's text without white space,
+    span and schema. Model and prompt do not count. Only rows with rare control characters leave the JVM."""
+    entries = F.map_entries(F.coalesce("context", F.create_map().cast("map<string,string>")))
+    pairs = F.array_sort(F.transform(entries, lambda e: F.array(e["key"], F.coalesce(e["value"], F.lit("None")))))
+    verbatim = F.regexp_replace("quantity.verbatim", f"[{PY_SPACE}]+", "")
+    plain = [_json(F.col(c)) for c in ("record_id", "kind", "subject", "predicate", "object", "polarity")]
+    rest = [F.to_json(pairs), _json(verbatim), _json(F.col("span_start")), _json(F.col("span_end")), F.lit(json.dumps(schema_hash))]
+    whole = F.concat(F.lit("["), F.concat_ws(",", *plain, *rest), F.lit("]"))
+    rare = whole.rlike(r"\\\\u[0-9a-fA-F]{4}")
+    return F.when(rare, _hashed(F.when(rare, whole))).otherwise(F.sha2(whole, 256))
 
 
 def unique_claims(claims: DataFrame) -> DataFrame:

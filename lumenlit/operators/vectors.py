@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenlit.errors import FusionError
+from lumenlit.functions.text import let
 
 
 def _sum(v: Column) -> Column:
@@ -32,10 +33,15 @@ def cosine(v: Column, query: list[float]) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """A vector of length one; zero and non-finite vectors stay."""
-    big = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
-    size = F.sqrt(_sum(F.transform(v, lambda x: (x / big) * (x / big)))) * big
-    return F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: (x / size).cast("float"))).otherwise(v)
+    """A vector of length one; zero and non-finite vectors stay. Length is taken over the largest component first, so that no square overflows."""
+
+    def scaled(big: Column) -> Column:
+        return let(F.sqrt(_sum(F.transform(v, lambda x: (x / big) * (x / big)))) * big, shortened)
+
+    def shortened(size: Column) -> Column:
+        return F.when((size > 0) & (size < float("inf")), F.transform(v, lambda x: (x / size).cast("float"))).otherwise(v)
+
+    return let(F.nullif(F.array_max(F.transform(v, lambda x: F.abs(x.cast("double")))), F.lit(0.0)), scaled)
 
 
 def nearest_chunks(chunks: DataFrame, query: list[float], k: int = 10, least: float | None = None, exclude: str | None = None) -> DataFrame:
@@ -95,3 +101,51 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, top: int = 10, method: str =
     fused = {"rrf": rrf, "minmax": minmax}[method](both)
     ranks = both.groupBy("record_id").agg(*[F.max(F.when(F.col("list") == x, F.col("rank"))).alias(f"{x}_rank") for x in ("lexical", "semantic")])
     return fused.join(ranks, "record_id").orderBy(F.desc("fused"), "record_id").limit(top)
+
+
+def embedding_edges(chunks: DataFrame, asked: DataFrame, limit: int = 10, pool: int = 5, block: int = 2048) -> DataFrame:
+    """(source, target, weight, kind): for each asked record (record_id, vector) the ``limit`` records whose passages are most similar, out of its
+    ``limit * pool`` nearest passages of other records with a cosine of at least 0. Asked vectors go through the passages in blocks of bounded size; a task keeps
+    the best of each for its part, so what is merged is asked x tasks x pool rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    size = limit * pool
+    spark = chunks.sparkSession
+    usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+    rows = chunks.where(F.col("record_id").isNotNull() & usable).select("record_id", "chunk_index", "vector")
+    wanted = asked.where(F.col("record_id").isNotNull() & usable).select("record_id", "vector", F.size("vector").alias("dim"))
+    number = F.row_number().over(W.partitionBy("dim").orderBy("record_id")) - 1
+    wanted = wanted.withColumn("block", F.floor(number / block))
+    found = spark.createDataFrame([], "source string, target string, chunk_index int, score double")
+    for dim, no in sorted(tuple(r) for r in wanted.select("dim", "block").distinct().collect()):
+        part = wanted.where((F.col("dim") == dim) & (F.col("block") == no)).orderBy("record_id").collect()  # at most ``block`` rows
+        names, q = np.array([r.record_id for r in part], object), np.array([r.vector for r in part], np.float64)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+
+        def best(batches, names=names, q=q, dim=dim):
+            keep_s, keep_r, keep_c = np.full((len(q), 0), -2.0), np.empty((len(q), 0), object), np.zeros((len(q), 0), np.int64)
+            for b in batches:
+                lists = b["vector"]
+                fits = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == dim)
+                if not len(fits):
+                    continue
+                taken = b.take(pa.array(fits))
+                x = taken["vector"].flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+                s = q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                r, c = np.array(taken["record_id"].to_pylist(), object), taken["chunk_index"].to_numpy(zero_copy_only=False)
+                s[names[:, None] == r[None, :]] = -2.0
+                s, r, c = np.concatenate([keep_s, s], 1), np.concatenate([keep_r, np.tile(r, (len(q), 1))], 1), np.concatenate([keep_c, np.tile(c, (len(q), 1))], 1)
+                if s.shape[1] > size:
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :size]
+                    s, r, c = np.take_along_axis(s, top, 1), np.take_along_axis(r, top, 1), np.take_along_axis(c, top, 1)
+                keep_s, keep_r, keep_c = s, r, c
+            a, b = np.nonzero(keep_s >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), pa.array(keep_r[a, b], pa.string()), pa.array(keep_c[a, b], pa.int32()), pa.array(keep_s[a, b])], ["source", "target", "chunk_index", "score"])
+
+        found = found.unionByName(rows.dropDuplicates(["record_id", "chunk_index"]).mapInArrow(best, "source string, target string, chunk_index int, score double"))
+    place = F.row_number().over(W.partitionBy("source").orderBy(F.desc("score"), "target", "chunk_index"))
+    nearest = found.withColumn("_p", place).where(F.col("_p") <= size)
+    each = nearest.groupBy("source", "target").agg(F.max("score").alias("weight"))
+    order = F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), "target"))
+    return each.withColumn("_p", order).where(F.col("_p") <= limit).select("source", "target", "weight", F.lit("embedding").alias("kind"))

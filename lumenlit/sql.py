@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from lumenlit.functions.text import fold_table
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-SRC, DST = map(_quoted, fold_table())
+# Folding is stated here by itself, in DuckDB's functions: lower case, combining marks dropped, and a letter without its accent where that leaves
+# a letter from a to z.
+FOLD = r"array_to_string(list_transform(string_split(regexp_replace(lower({0}), '[\x{{300}}-\x{{36f}}]', '', 'g'), ''), lambda c: CASE WHEN regexp_matches(strip_accents(c), '^[a-z]$') THEN strip_accents(c) ELSE c END), '')"
 
 
 def tok(c: str) -> str:
     """Words of a text column."""
     clean = rf"regexp_replace(coalesce({c}, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', ' ', 'g')"
-    return rf"regexp_extract_all(translate(lower({clean}), {SRC}, {DST}), '[\p{{L}}\p{{N}}\p{{Co}}]+')"
+    return rf"regexp_extract_all({FOLD.format(clean)}, '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
 
 DOCS = f"""
@@ -80,12 +75,13 @@ NEAR = """EXISTS (SELECT 1 FROM (SELECT unnest(list_filter(generate_series(1, le
   (SELECT unnest(list_filter(generate_series(1, len({f})), lambda i: {f}[i] = '{y}')) AS p) y
   WHERE abs(x.p - y.p) <= 1 + {n})"""
 
+PY_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WINDOW = r"""list_filter(regexp_split_to_array(coalesce(body, ''), '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')"""
 
 SQL = {
     "tok_counts": f"WITH {DOCS} SELECT record_id, len(t)::INT AS n_title, len(a)::INT AS n_abstract, len(b)::INT AS n_body FROM idx",
     "term_doc_freq": f"""WITH {DOCS}, w AS (SELECT record_id, unnest(list_distinct(list_concat(t, a, b))) AS term FROM idx)
-SELECT term, count(*) AS df FROM w GROUP BY term ORDER BY df DESC, term LIMIT 100""",
+SELECT term, count(*) AS df FROM w GROUP BY term """,
     "postings_freq": f"""WITH {DOCS}, w AS (SELECT record_id, 'title' AS field, unnest(t) AS term FROM idx UNION ALL SELECT record_id, 'abstract', unnest(a) FROM idx
 UNION ALL SELECT record_id, 'body', unnest(b) FROM idx) SELECT term, field, count(DISTINCT record_id) AS docs, count(*) AS positions FROM w GROUP BY term, field""",
     "match_term": f"WITH {DOCS} SELECT record_id FROM idx WHERE {has('spectroscopy')}",
@@ -133,7 +129,8 @@ arg_min(p_size, p_partkey) FILTER (p_size > 10) AS p_size, string_agg(DISTINCT p
 SELECT c_custkey, round_even(((c_name IS NOT NULL)::INT + (big IS NOT NULL)::INT + (c_nationkey IS NOT NULL)::INT) / 3.0 * 1000, 0) / 10 AS filled
 FROM (SELECT *, CASE WHEN c_acctbal > 5000 THEN c_acctbal END AS big FROM customer))""",
     "clip": "SELECT p_partkey, least(greatest(p_retailprice::DOUBLE, 1000.0), 1500.0) AS price FROM part",
-    "validate_range": "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 40 THEN 0 ELSE 1 END::INT AS n_violations, p_size BETWEEN 1 AND 40 AS valid FROM part",
+    "validate_range": """SELECT p_partkey, p_size BETWEEN 1 AND 40 AS valid, CASE WHEN p_size BETWEEN 1 AND 40 THEN '[]' ELSE
+'[{"code":"out-of-range","field":"p_size","severity":"error","message":"' || p_size || ' is outside 1..40"}]' END AS violations FROM part""",
     "csv_escape": r"""SELECT doc_id, CASE WHEN starts_with(title, '''') OR (regexp_matches(title, '^[=+\-@\t\r]') AND NOT regexp_matches(title, '^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$'))
 THEN '''' || title ELSE title END AS cell FROM documents""",
     "ref_year": "SELECT doc_id, nullif(regexp_extract(CASE WHEN json_valid(metadata) THEN coalesce(metadata ->> '$.published', metadata ->> '$.pub_date') END, '^([0-9]{4})(?:[^0-9]|$)', 1), '') AS year FROM documents",
@@ -154,3 +151,98 @@ e AS (SELECT a.record_id AS source, b.record_id AS target, count(*) AS n_both FR
 w AS (SELECT source, target, n_both / (x.n + y.n - n_both)::DOUBLE AS weight FROM e JOIN s x ON x.record_id = source JOIN s y ON y.record_id = target)
 SELECT source, target, round(weight, 9) AS weight, 'tags' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM w) WHERE r <= 10""",
 }
+
+USABLE = "len(list_filter({v}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0"
+SCORES = f"""
+q AS (SELECT list_transform(vector, lambda x: x::DOUBLE) AS q FROM chunks WHERE len(vector) = 64 AND {USABLE.format(v='vector')} ORDER BY chunk_id LIMIT 1),
+v AS (SELECT chunk_id, record_id, chunk_index, list_transform(vector, lambda x: x::DOUBLE) AS v FROM chunks WHERE len(vector) = 64 AND {USABLE.format(v='vector')}),
+s AS (SELECT record_id, chunk_index, max(list_cosine_similarity(v.v, q.q)) AS score FROM v, q GROUP BY ALL)"""
+
+
+def _best(n: int) -> str:
+    return f"""
+n AS (SELECT * FROM s ORDER BY score DESC, record_id, chunk_index LIMIT {n}),
+best AS (SELECT record_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, chunk_index) AS r FROM n) WHERE r = 1)"""
+
+
+def _lists() -> str:
+    words = ("mass", "density", "spectroscopy")
+    lexical = bm25([(w, has(w), freq(w), has(w)) for w in words], " OR ".join(map(has, words)), 200)
+    lexical = lexical.replace("round(", "(", 1).replace(", 9) AS score", ") AS score").strip()
+    return f"""WITH {SCORES.lstrip()}, {_best(1000).lstrip()},
+lex AS ({lexical}),
+lists AS (SELECT 'lexical' AS list, record_id, score FROM lex UNION ALL SELECT 'semantic', record_id, score FROM best),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, record_id) AS rank FROM lists)"""
+
+
+GROUPS = f"""g AS (SELECT DISTINCT record_id, 'journal' AS key, unnest({tags('journal')}) AS value FROM docs UNION SELECT record_id, 'keywords', unnest({tags('keywords')}) FROM docs),
+sz AS (SELECT record_id, count(*) AS n FROM g GROUP BY 1),
+e AS (SELECT a.record_id AS source, b.record_id AS target, count(*) AS n_both FROM g a JOIN g b USING (key, value) WHERE a.record_id <> b.record_id GROUP BY ALL),
+w AS (SELECT source, target, n_both / (x.n + y.n - n_both)::DOUBLE AS weight FROM e JOIN sz x ON x.record_id = source JOIN sz y ON y.record_id = target),
+l AS (SELECT source, target, weight FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM w) WHERE r <= 10),
+u AS (SELECT source AS x, target AS y FROM l UNION SELECT target, source FROM l)"""
+
+LISTED = r"""t AS (SELECT regexp_replace(coalesce(record_id, ''), '^\s+|\s+$', '', 'g') AS record_id, title, abstract, listing_no FROM raw_records),
+p AS (SELECT record_id, arg_max((title, abstract), listing_no) AS v, max(listing_no) AS place FROM t WHERE record_id <> '' GROUP BY 1),
+j AS (SELECT record_id, place, length(v[1]) % 5 <> 0 AS relevant, length(coalesce(v[2], '')) % 3 = 0 AS lacking FROM p)"""
+
+UNIQUE = "uc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY revision, position) AS n FROM claims WHERE claim_id IS NOT NULL) WHERE n = 1)"
+BROKEN = """array_to_string(list_sort(list_filter([CASE WHEN subject IS NULL THEN 'name' END, CASE WHEN isnan(quantity.value) THEN 'value' END,
+CASE WHEN polarity IS NULL OR polarity NOT IN (0, 1) THEN 'polarity' END], lambda x: x IS NOT NULL)), ',')"""
+KEYWORDS = r"regexp_extract_all(lower(translate(coalesce(title, ''), 'WIDE', 'NARROW')), '[\p{L}\p{M}]+|\p{N}+')".replace("WIDE", "".join(map(chr, range(0xFF01, 0xFF5F))).replace("＇", "")).replace("NARROW", "".join(map(chr, range(0x21, 0x7F))).replace("'", ""))
+HEADS = r"(?:\\begin\{thebibliography\}|\\bibliography\{|\\printbibliography|\n\s*references\s*\n|\n\s*bibliography\s*\n|\n\s*acknowledgments?\s*\n|\n\s*literature cited\s*\n)"
+
+SQL |= {
+    "tokens": f"WITH {DOCS} SELECT record_id, array_to_string(t, ' ') AS title, array_to_string(a, ' ') AS abstract, array_to_string(b, ' ') AS body FROM idx",
+    "index_integrity": "SELECT unnest(['lengths', 'orphans', 'statistics']) AS check, 0::BIGINT AS bad",
+    "filter_candidates": f"WITH {DOCS} SELECT record_id FROM docs WHERE doc_id % 100 = 0 AND len(list_filter({tags('year')}, lambda x: regexp_matches(x, '^(0|-?[1-9][0-9]{{0,18}})$') AND try_cast(x AS BIGINT) BETWEEN 2005 AND 2020)) > 0",
+    "vec_topk": f"WITH {SCORES} SELECT record_id, chunk_index, round(score, 6) AS score FROM s ORDER BY s.score DESC, record_id, chunk_index LIMIT 25",
+    "best_chunk": f"WITH {SCORES}, {_best(200)} SELECT record_id, chunk_index, round(score, 6) AS score FROM best",
+    "emb_relevance": f"WITH {SCORES} SELECT DISTINCT chunk_id, round(list_cosine_similarity(v, q), 6) AS relevance FROM v, q WHERE list_cosine_similarity(v, q) >= 0.35",
+    "rrf": f"{_lists()} SELECT record_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS fused FROM ranked GROUP BY record_id",
+    "minmax": f"""{_lists()}, m AS (SELECT *, min(score) OVER (PARTITION BY list) AS lo, max(score) OVER (PARTITION BY list) AS hi FROM ranked)
+SELECT record_id, round(sum(CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END), 6) AS fused FROM m GROUP BY record_id""",
+    "hybrid_topk": f"""{_lists()}, f AS (SELECT record_id, sum(1.0::DOUBLE / (60 + rank)) AS fused, max(rank) FILTER (list = 'lexical')::INT AS lexical_rank, max(rank) FILTER (list = 'semantic')::INT AS semantic_rank FROM ranked GROUP BY record_id)
+SELECT record_id, round(fused, 6) AS fused, lexical_rank, semantic_rank FROM f ORDER BY f.fused DESC, record_id LIMIT 20""",
+    "knn_edges": f"""WITH a AS (SELECT record_id, arg_min(vector, chunk_id) AS q FROM chunks WHERE chunk_id % 100 = 0 AND record_id IS NOT NULL AND {USABLE.format(v='vector').replace(' OR isinf(x)', '')} GROUP BY 1),
+k AS (SELECT DISTINCT ON (record_id, chunk_index) record_id, chunk_index, vector FROM chunks WHERE record_id IS NOT NULL AND {USABLE.format(v='vector')}),
+s AS (SELECT a.record_id AS source, k.record_id AS target, chunk_index, list_cosine_similarity(list_transform(q, lambda x: x::DOUBLE), list_transform(vector, lambda x: x::DOUBLE)) AS score
+  FROM a JOIN k ON len(q) = len(vector) AND a.record_id <> k.record_id),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target, chunk_index) AS r FROM s WHERE score >= 0) WHERE r <= 50),
+w AS (SELECT source, target, max(score) AS weight FROM n GROUP BY ALL)
+SELECT source, target, round(weight, 6) AS weight, 'embedding' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM w) WHERE r <= 10""",
+    "mutual_edges": f"WITH {DOCS}, {GROUPS} SELECT a.source, a.target, a.weight, 'tags' AS kind FROM l a JOIN l b ON a.source = b.target AND a.target = b.source WHERE a.source < a.target",
+    "degrees": f"WITH {DOCS}, {GROUPS} SELECT x AS record_id, count(*) AS degree FROM u GROUP BY x",
+    "components": f"""WITH RECURSIVE {DOCS.lstrip()}, {GROUPS}, reach(x, y) AS (SELECT x, x FROM u UNION SELECT reach.x, u.y FROM reach JOIN u ON u.x = reach.y)
+SELECT x AS record_id, min(y) AS component FROM reach GROUP BY x""",
+    "layout": "SELECT c_name, c_custkey, c_nationkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS big FROM customer",
+    "validate_keyword": f"""WITH k AS (SELECT doc_id, title, {KEYWORDS} AS w FROM documents),
+h AS (SELECT doc_id, lower(trim(coalesce(title, ''))) IN ('', 'null', 'none', 'unknown', 'n/a', 'nan') AS missing,
+  coalesce(list_filter(w, lambda x: x IN ('plasma', 'erratum'))[1], CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' gas reservoir ') THEN 'gas reservoir' END) AS hit FROM k)
+SELECT doc_id, NOT missing AND hit IS NULL AS valid, CASE WHEN missing THEN '[{{"code":"null-key","field":"title","severity":"error","message":"the key is missing"}}]'
+WHEN hit IS NOT NULL THEN '[{{"code":"forbidden-keyword","field":"title","severity":"error","message":"holds ' || hit || '"}}]' ELSE '[]' END AS violations FROM h""",
+    "trim_refs": f"SELECT doc_id, CASE WHEN regexp_matches(body, '(?i){HEADS}') THEN regexp_replace(regexp_replace(body, '(?is){HEADS}.*$', ''), '\\s+$', '') ELSE body END AS kept FROM documents",
+    "document_text": "SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN trim(title) <> '' THEN title END, CASE WHEN trim(abstract) <> '' THEN abstract END) AS text FROM documents",
+    "bounded_errors": "SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 185) || '... [truncated]' ELSE text END AS error FROM documents",
+    "markup_start": r"SELECT doc_id, coalesce(starts_with(regexp_replace(left(body, 200), '^\s+', ''), '<'), false) AS markup FROM documents",
+    "claim_rows": f"""WITH {UNIQUE} SELECT claim_id, to_json(list_transform(list_sort(map_entries(coalesce(context, MAP {{}}))), lambda e: [e.key, e.value]))::VARCHAR AS context,
+quantity.value AS quantity_value, quantity.unit_text AS quantity_unit_text, quantity IS NOT NULL AS has_quantity FROM uc""",
+    "entity_screen": f"WITH {UNIQUE} SELECT claim_id, {BROKEN} AS fields FROM uc",
+    "rejections_open": f"""WITH {UNIQUE}, r AS (SELECT DISTINCT record_id, subject, quantity.value AS value, polarity FROM uc WHERE {BROKEN} <> '')
+SELECT record_id, count(*) AS entries FROM r WHERE record_id IS NULL OR length(record_id) % 2 <> 0 GROUP BY 1""",
+    "cache_misses": f"WITH {DOCS}, r AS (SELECT DISTINCT title FROM docs WHERE title <> '') SELECT count(*) AS requests, sum(length(title))::BIGINT AS prompt_tokens, count(*) AS completion_tokens FROM r WHERE length(title) % 2 <> 0",
+    "vector_store": """WITH c AS (SELECT DISTINCT record_id, chunk_index, regexp_matches(record_id, '[0-9]$') AS again FROM chunks WHERE trim(record_id) <> '')
+SELECT record_id, CASE WHEN count_if(again AND chunk_index < 2) > 0 THEN count_if(chunk_index < 2) ELSE count(*) END::BIGINT AS passages FROM c WHERE NOT ends_with(record_id, '7') GROUP BY record_id""",
+    "backfill_documents": f"""WITH {DOCS}, c AS (SELECT record_id, chunk_index, array_to_string({WINDOW.replace('body', 'min(text)')}, ' ') AS words FROM chunks WHERE record_id IS NOT NULL GROUP BY 1, 2)
+SELECT record_id, string_agg(words, ' ' ORDER BY chunk_index) AS body FROM c WHERE words <> '' AND record_id NOT IN (SELECT record_id FROM docs WHERE doc_id % 2 = 0) GROUP BY record_id""",
+    "settle_replay": f"""WITH {LISTED} SELECT record_id, CASE WHEN relevant IS NULL OR relevant AND lacking THEN 'failed' WHEN relevant THEN 'exported' ELSE 'irrelevant' END AS outcome,
+CASE WHEN relevant IS NULL OR relevant AND lacking THEN 1 ELSE 0 END::BIGINT AS attempts FROM j""",
+    "settle_retry": f"WITH {LISTED} SELECT record_id, CASE WHEN relevant IS NULL THEN 'failed' WHEN relevant THEN 'exported' ELSE 'irrelevant' END AS outcome FROM j",
+    "settle_limit": f"""WITH {LISTED}, r AS (SELECT record_id, row_number() OVER (ORDER BY place) AS n FROM j WHERE relevant AND NOT lacking)
+SELECT record_id, CASE WHEN n <= 30 THEN 0 WHEN n <= 80 THEN 1 ELSE 2 END::INT AS run FROM r""",
+}
+
+_J = "coalesce(to_json({0})::VARCHAR, 'null')"
+SQL["claim_ids"] = f"""WITH {UNIQUE} SELECT claim_id, sha256('[' || concat_ws(',', {", ".join(_J.format(c) for c in ("record_id", "kind", "subject", "predicate", "object", "polarity"))},
+to_json(list_transform(list_sort(map_entries(coalesce(context, MAP {{}}))), lambda e: [e.key, e.value]))::VARCHAR, {_J.format("regexp_replace(quantity.verbatim, '[" + PY_SPACES + "]+', '', 'g')")},
+{_J.format("span_start")}, {_J.format("span_end")}, '""') || ']') AS content_id FROM uc"""
