@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lumenlit.llm.tokens import TOKENIZERS, count_corpus
-from lumenlit.session import checkpoint
+from lumenlit.session import broadcast_counted, checkpoint
 
 BLOCK_TOKENS, MAX_BLOCKS, SHARDS, SEED = 20_000, 4_096, 8, 11
 
@@ -78,7 +78,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, shards: int = SHARDS, seed
     quota = plan(available, targets, total)
     counts = {s: max(1, min(MAX_BLOCKS, math.ceil(available[s] / BLOCK_TOKENS))) for s in quota}
     per_source = spark.createDataFrame([(s, counts[s]) for s in quota], "source string, n int")
-    placed = sized.join(F.broadcast(per_source), "source").withColumn("block", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
+    placed = sized.join(broadcast_counted(per_source), "source").withColumn("block", F.floor(F.col("u") * F.col("n")).cast("int")).drop("n")
     sizes: dict[str, dict[int, int]] = {s: {} for s in quota}
     for s, b, n in placed.groupBy("source", "block").agg(F.sum("tokens")).collect():
         sizes[s][b] = n
@@ -106,7 +106,7 @@ def mix(documents: DataFrame, mix_targets: DataFrame, shards: int = SHARDS, seed
             deal += [(*d, shard) for d in by_source[s][at[s] : at[s] + n]]
             at[s] += n
     dealt = spark.createDataFrame(deal, "source string, pass_no int, block int, allowed bigint, shard int")
-    drawn = placed.join(F.broadcast(dealt), ["source", "block"])
+    drawn = placed.join(broadcast_counted(dealt), ["source", "block"])
     before = F.sum("tokens").over(W.partitionBy("source", "block", "pass_no").orderBy("u", "doc_id")) - F.col("tokens")
     # A cut block is one block of one pass; the row that crosses the quota is drawn when most of it is inside.
     cut = drawn.where(F.col("allowed") >= 0).withColumn("before", before).where(F.col("before") + F.col("tokens") / 2 <= F.col("allowed")).drop("before")

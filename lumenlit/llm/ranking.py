@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumenlit.session import broadcast_counted
+
 #: Coarse buckets per doubling of a score, and width of a coarse bucket of ranks.
 PER_OCTAVE, RANK_STEP = 1024, 4096
 
@@ -31,7 +33,7 @@ def coarse(score: Column) -> Column:
 
 def best_scores(hits: DataFrame, scorers: DataFrame) -> DataFrame:
     """(query_id, scorer, record_id, s): one row per listed record, larger ``s`` is better."""
-    side = F.broadcast(scorers.groupBy("scorer").agg(F.max("higher_is_better").alias("up")))
+    side = broadcast_counted(scorers.groupBy("scorer").agg(F.max("higher_is_better").alias("up")))
     rows = hits.where(F.col("query_id").isNotNull() & F.col("record_id").isNotNull() & F.col("scorer").isNotNull())
     signed = rows.join(side, "scorer", "left").withColumn("s", F.when(F.coalesce("up", F.lit(True)), F.col("score")).otherwise(-F.col("score")))
     valid = F.when(F.col("s").isNotNull() & ~F.isnan("s"), F.col("s"))
