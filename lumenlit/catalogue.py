@@ -14,7 +14,7 @@ from lumenlit.operators import claims as cl
 from lumenlit.operators import extraction, graph, incremental, quantities, search, tables, vectors
 from lumenlit.operators.search import Range, Tag
 from lumenlit.session import checkpoint, load, shared_dir
-from lumenlit.sources import parsers, stores, textindex
+from lumenlit.sources import listings, parsers, stores, textindex
 from lumenlit.sources.files import Files
 from lumenlit.sql import SQL
 from lumenlit.streaming import pipeline as pl
@@ -285,6 +285,52 @@ def _cached(s: SparkSession, d: str) -> DataFrame:
     return extraction.usage_totals(extraction.asked(misses, _double))
 
 
+def _xml_text(c: str) -> Column:
+    """A column as the text of an XML element."""
+    clean = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\t\n\r\x20-\x{d7ff}\x{e000}-\x{fffd}\x{10000}-\x{10ffff}]", " ")
+    return F.replace(F.replace(F.replace(clean, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _atom(s: SparkSession, d: str) -> DataFrame:
+    """Documents written as Atom pages and read again; every entry comes twice, in two versions."""
+    entry = lambda v: F.concat(F.lit("<entry><id>http://x.org/abs/d"), F.col("doc_id"), F.lit(f"v{v}</id><title>"), _xml_text("title"), F.lit("</title></entry>"))
+    page = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry(2), entry(1), F.lit("</feed>"))
+    return listings.atom_records(load(s, d, "documents").select(page.alias("value"))).select("record_id", "title")
+
+
+def _pubmed(s: SparkSession, d: str) -> DataFrame:
+    part = lambda label, c: F.concat(F.lit(f'<AbstractText Label="{label}">'), _xml_text(c), F.lit("</AbstractText>"))
+    page = F.concat(F.lit("<A><PubmedArticle><PMID>"), F.col("doc_id"), F.lit("</PMID><ArticleTitle>"), _xml_text("title"), F.lit("</ArticleTitle><Abstract>"), part("ONE", "title"), part("TWO", "abstract"), F.lit("</Abstract></PubmedArticle></A>"))
+    return listings.pubmed_records(load(s, d, "documents").select(page.alias("value"))).select("record_id", "title", "abstract")
+
+
+def _scholar(s: SparkSession, d: str) -> DataFrame:
+    paper = F.struct(F.concat(F.lit("p"), "doc_id").alias("paperId"), "title", "abstract", F.array("lang").alias("fieldsOfStudy"))
+    rows = listings.semantic_scholar_records(load(s, d, "documents").select(F.to_json(F.struct(F.array(paper).alias("data"))).alias("value")))
+    return rows.select("record_id", "title", "abstract")
+
+
+def _openalex(s: SparkSession, d: str) -> DataFrame:
+    work = F.struct(F.concat(F.lit("https://o.org/W"), "doc_id").alias("id"), F.col("title").alias("display_name"), F.create_map(F.lit("b"), F.array(F.lit(1)), F.lit("a"), F.array(F.lit(0), F.lit(2))).alias("abstract_inverted_index"))
+    rows = listings.openalex_records(load(s, d, "documents").select(F.to_json(F.struct(F.array(work).alias("results"))).alias("value")))
+    return rows.select("record_id", "title", "abstract")
+
+
+def _csv_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    """Titles and sources written as a table for spreadsheets and read again."""
+    path = _folder(s)
+    rows = load(s, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.regexp_replace("title", r"\r", " ").alias("title"), "source")
+    listings.write_csv(rows, path, ["title", "source"])
+    return listings.read_csv(s, path, ["title", "source"]).select("record_id", "title", "source")
+
+
+def _jsonl_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    docs = _docs(s, d).select("record_id", "title", F.lit("u").alias("source_url"), F.array(F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("?")))).alias("entities"))
+    listings.write_jsonl(docs, path)
+    return listings.read_jsonl(s, path).select("record_id", "title", F.col("entities")[0]["lang"].alias("lang"))
+
+
 def _sentences(s: SparkSession, d: str) -> DataFrame:
     each = load(s, d, "documents").select("doc_id", "abstract", F.posexplode(tx.sentences(F.col("abstract"))).alias("n", "at"))
     return each.select("doc_id", "n", F.substring("abstract", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("sentence"))
@@ -385,6 +431,15 @@ def queries() -> dict[str, Query]:
         "document_text": lambda s, d: load(s, d, "documents").select("doc_id", tx.document_text(F.col("title"), F.col("abstract")).alias("text")),
         "bounded_errors": lambda s, d: load(s, d, "documents").select("doc_id", tx.bounded_error(F.col("text"), 200).alias("error")),
         "markup_start": lambda s, d: load(s, d, "documents").select("doc_id", extraction.is_markup(F.col("body")).alias("markup")),
+        "atom_listing": _atom,
+        "pubmed_listing": _pubmed,
+        "scholar_listing": _scholar,
+        "openalex_listing": _openalex,
+        "csv_roundtrip": _csv_roundtrip,
+        "jsonl_roundtrip": _jsonl_roundtrip,
+        "headers": lambda s, d: search.headers(_docs(s, d), _docs(s, d).where("doc_id % 100 = 0")),
+        "full_text": lambda s, d: load(s, d, "documents").select("doc_id", listings.full_text(F.col("body"), F.col("text"), F.col("abstract")).alias("text")),
+        "vec_unit": lambda s, d: load(s, d, "chunks").select("chunk_id", "chunk_index", F.round(F.aggregate(vectors.unit(F.col("vector")), F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")).where("norm is not null and not isnan(norm)").distinct(),
         "settle_replay": _settle_replay,
         "settle_retry": _settle_retry,
         "settle_limit": _settle_limit,

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.session import checkpoint
+from lumenlit.session import broadcast_counted, checkpoint
 
 #: Posterior from which an inferred unit counts as certain.
 CERTAIN = 0.9
@@ -249,7 +249,7 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
         F.first("target").alias("target"),
         F.map_from_entries(F.collect_list(F.struct("spelling", F.struct("unit", "mul", "add")))).alias("known"),
     )
-    joined = read.join(F.broadcast(lookup), "predicate", "left")
+    joined = read.join(broadcast_counted(lookup), "predicate", "left")
     spellings = F.array(*[F.lit(x) for x in sorted({r[1] for r in unit_rows()})])
     first = F.coalesce(F.get(F.filter("units", lambda u: F.array_contains(spellings, u)), F.lit(0)), F.get(F.col("units"), F.lit(0)))
     hit = F.try_element_at("known", first)
@@ -279,7 +279,7 @@ def canonicalize(claims: DataFrame, measures: DataFrame) -> DataFrame:
 
     like = F.transform("parts", lambda c: F.struct(likelihood(c).alias("l"), c["mul"].alias("mul"), c["add"].alias("add"), c["sure"].alias("sure")))
     total = F.aggregate("like", F.lit(0.0), lambda a, c: a + c["l"])
-    guess = rows.join(F.broadcast(model), "predicate", "left").withColumn(
+    guess = rows.join(broadcast_counted(model), "predicate", "left").withColumn(
         "like", F.when(~F.col("has_unit") & (F.col("x") > 0), like)
     ).withColumn("best", F.array_max("like")).withColumn("posterior", F.when(total > 0, F.col("best.l") / total))
     inferred = F.col("posterior").isNotNull()

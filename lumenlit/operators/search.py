@@ -8,6 +8,7 @@ Rows with NULL fields have no tokens there; ties are ordered by record_id; an em
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,9 +35,10 @@ def newest_documents(documents: DataFrame) -> DataFrame:
     return rows.join(chosen, (F.col("record_id") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
 
 
-def index(documents: DataFrame) -> DataFrame:
-    """Documents with token arrays ``tok_title``, ``tok_abstract``, ``tok_body`` and their total ``length``."""
-    toks = {f"tok_{f}": tokens(F.col(f)) for f in FIELDS}
+def index(documents: DataFrame, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Documents with token arrays ``tok_title``, ``tok_abstract``, ``tok_body`` and their total ``length``. ``tokenizer`` turns a text column into an array
+    of words."""
+    toks = {f"tok_{f}": tokenizer(F.col(f)) for f in FIELDS}
     return documents.withColumns(toks).withColumn("length", sum((F.size(f"tok_{f}") for f in FIELDS), F.lit(0)))
 
 
@@ -241,6 +243,17 @@ def hydrate(ranked: DataFrame, documents: DataFrame, *columns: str) -> DataFrame
     return documents.select("record_id", *columns).join(F.broadcast(ranked), "record_id")
 
 
+def headers(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(record_id, title, metadata) of the given ids; no text is read."""
+    return documents.select("record_id", "title", "metadata").join(ids.select("record_id").distinct(), "record_id", "left_semi")
+
+
+def checked_metadata(metadata: Column) -> Column:
+    """Metadata that is a JSON object or NULL; anything else ends the query with an error that names the value's beginning."""
+    bad = metadata.isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json(metadata)).startswith("OBJECT"), F.lit(False))
+    return F.when(bad, F.raise_error(F.concat(F.lit("metadata is no JSON object: "), F.substring(metadata, 1, 80))).cast("string")).otherwise(metadata)
+
+
 def _named(key: str) -> Column:
     return F.transform(F.col(f"tag_{key}"), lambda v: F.struct(F.lit(key).alias("key"), v.alias("value")))
 

@@ -32,9 +32,9 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
-def normalized(column: str, key: str = "_norm_key") -> Step:
-    """Adds the comparison key of a column."""
-    return lambda df: df.withColumn(key, key_of(F.col(column)))
+def normalized(column: str, key: str = "_norm_key", normalizer: Callable[[Column], Column] = key_of) -> Step:
+    """Adds the comparison key of a column; ``normalizer`` turns a value's column into its key."""
+    return lambda df: df.withColumn(key, normalizer(F.col(column)))
 
 
 def deduplicated(key: str = "_norm_key", order: str = "_ord", source: str | None = None, sources: str = "sources") -> Step:
@@ -69,6 +69,31 @@ def collapse_pairs(pairs: list[tuple[int, int]], rows: dict[int, dict]) -> list[
     return [r for i, r in rows.items() if i not in into]
 
 
+def merged(matcher: Callable[[DataFrame], DataFrame], order: str = "_ord") -> Step:
+    """Rows that a matcher pairs become one. ``matcher``: table -> (keep, drop, ord), pairs of values of the order column in the order in which they
+    count. Pairs only act within a connected component, so each component (rows of one thing) folds by itself, and components in parallel."""
+
+    def step(df: DataFrame) -> DataFrame:
+        df = missing_as_null(df)
+        pairs = checkpoint(matcher(df).select("keep", "drop", "ord").where("keep <> drop"))
+        named = components(pairs.select(F.col("keep").alias("source"), F.col("drop").alias("target"))).toDF(order, "_group")
+        rows = df.join(named, order)
+        links = pairs.join(named.withColumnRenamed(order, "keep"), "keep").select("_group", "keep", "drop", "ord")
+        schema = df.schema
+
+        def fold(r, p):
+            import pandas as pd
+
+            kept = {x[order]: x for x in r.drop(columns="_group").astype(object).where(r.notna(), None).to_dict("records")}
+            out = collapse_pairs(list(p.sort_values("ord")[["keep", "drop"]].itertuples(index=False, name=None)), dict(sorted(kept.items())))
+            return pd.DataFrame(out, columns=schema.names)
+
+        folded = rows.groupBy("_group").cogroup(links.groupBy("_group")).applyInPandas(fold, schema)
+        return df.join(named.select(order), order, "left_anti").select(schema.names).unionByName(folded)
+
+    return step
+
+
 def number(c: Column) -> Column:
     """A text as DOUBLE the way Python reads it: spaces around, ``inf``, ``nan``, underscores between digits; NULL if it is none."""
     t = F.lower(F.trim(c.cast("string")))

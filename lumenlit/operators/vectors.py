@@ -7,6 +7,7 @@ another length, all zero or not finite have no similarity and are left out; ties
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,3 +150,30 @@ def embedding_edges(chunks: DataFrame, asked: DataFrame, limit: int = 10, pool:
     each = nearest.groupBy("source", "target").agg(F.max("score").alias("weight"))
     order = F.row_number().over(W.partitionBy("source").orderBy(F.desc("weight"), "target"))
     return each.withColumn("_p", order).where(F.col("_p") <= limit).select("source", "target", "weight", F.lit("embedding").alias("kind"))
+
+
+def embedded(rows: DataFrame, embedder: Callable[[], Callable[[list[str]], list[list[float]]]], column: str = "text", batch: int = 64) -> DataFrame:
+    """Adds ``vector`` and ``error``. ``embedder`` makes, once per task, a function from texts to vectors, which is called with up to ``batch`` texts; a fault
+    is the error of its batch. NULL and blank texts have no vector and no error."""
+    import pandas as pd
+
+    def run(batches):
+        embed = embedder()
+        for s in batches:
+            vectors, errors = [None] * len(s), [None] * len(s)
+            some = [i for i, t in enumerate(s) if t is not None and t.strip()]
+            for at in range(0, len(some), batch):
+                part = some[at : at + batch]
+                try:
+                    got = embed([s.iloc[i] for i in part])
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} vectors for {len(part)} texts")
+                    for i, v in zip(part, got):
+                        vectors[i] = [float(x) for x in v]
+                except Exception as e:  # noqa: BLE001 - any fault of a batch is its rows' result
+                    for i in part:
+                        errors[i] = f"{type(e).__name__}: {e}"[:4096]
+            yield pd.DataFrame({"vector": vectors, "error": errors})
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return rows.withColumn("_e", F.pandas_udf(run, "vector array<float>, error string")(F.col(column))).select("*", "_e.vector", "_e.error").drop("_e")

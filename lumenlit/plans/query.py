@@ -196,6 +196,15 @@ def parse_ranked(text: str, default_fields: tuple[str, ...] = FIELDS) -> object:
     return tree
 
 
+def parse_semantic(text: str, default_fields: tuple[str, ...] = FIELDS) -> object:
+    """A tree with words to embed; a query of prefixes and negations only has none."""
+    tree = parse(text, default_fields)
+    if not semantic_text(tree):
+        first = next(x for x in _scan(text, FIELDS) if x[0] != "open")
+        raise QueryError("a semantic query needs a whole word that is not negated", first[1], first[2])
+    return tree
+
+
 def semantic_text(node: object) -> str:
     """Positive words, prefixes left out, in order: what is embedded."""
     if isinstance(node, Not):

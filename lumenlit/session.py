@@ -1,4 +1,4 @@
-"""Session helpers: table loading, checkpoint placement, bounded broadcasts."""
+"""Session helpers: table loading, checkpoint placement, counted broadcasts."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from lumenlit.errors import ConfigError
 
-#: A side of a join is broadcast only when its estimated size stays below this many bytes.
-BROADCAST_BYTES = 16 * 1024 * 1024
+#: A side of a join that is meant to be small is broadcast only when it has no more rows than this.
+BROADCAST_ROWS = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +39,9 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan, in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when the estimated size is under ``limit``; otherwise the join shuffles."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+def broadcast_counted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a table of counted, small size; one with more rows is joined as the optimizer sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:

@@ -1,61 +1,18 @@
-"""Listings of papers as a streaming source, response parsers of four catalogues, and table exports and imports.
-
-A listing's reader is any function (offset, page_size) -> list of record dicts; ``ListingSource`` wraps it as a Python data source with
-one page per micro-batch. No network code lives here: a reader that fetches is injected.
-"""
+"""Response parsers of four catalogues, and table exports and imports. ``paging`` turns a catalogue's pages into a stream."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from lumenlit.errors import StoreError
-from lumenlit.functions.text import abstract_from_positions, escape_cell, unescape_cell, without_version
-
-RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("record_id", "title", "abstract", "source_url", "metadata")])
-
-
-class _Pages(SimpleDataSourceStreamReader):
-    def __init__(self, fetch: Callable[[int, int], list[dict]], page_size: int):
-        self.fetch, self.page_size = fetch, page_size
-
-    def initialOffset(self) -> dict:
-        return {"offset": 0}
-
-    def _rows(self, start: int, n: int) -> list[tuple]:
-        return [tuple(r.get(c) for c in RECORD.names) for r in self.fetch(start, n)]
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._rows(start["offset"], self.page_size)
-        return iter(rows), {"offset": start["offset"] + len(rows)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._rows(start["offset"], end["offset"] - start["offset"]))
-
-    def commit(self, end: dict) -> None:
-        pass
-
+from lumenlit.functions.text import abstract_from_positions, escape_cell, trim_references, unescape_cell
+from lumenlit.sources.paging import RECORD
 
-def listing_source(name: str, fetch: Callable[[int, int], list[dict]], page_size: int = 100) -> type[DataSource]:
-    """A data source class to register: ``spark.dataSource.register(...)``, then ``spark.readStream.format(name).load()``."""
-
-    class ListingSource(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> T.StructType:
-            return RECORD
-
-        def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
-            return _Pages(fetch, page_size)
-
-    return ListingSource
 
 
 def openalex_records(pages: DataFrame, column: str = "value") -> DataFrame:
@@ -91,13 +48,17 @@ def _atom(data: bytes) -> list[dict]:
     from lumenlit.sources.parsers import safe_xml
 
     a = "{http://www.w3.org/2005/Atom}"
-    out = []
+    out, seen = [], set()
     for e in safe_xml(data).iter(f"{a}entry"):
         url = (e.findtext(f"{a}id") or "").strip()
         for part in ("/abs/", "/pdf/"):
             url_id = url.split(part, 1)[1] if part in url else None
             if url_id:
                 break
+        base = re.sub(r"v\d+$", "", (url_id or url).removesuffix(".pdf"))
+        if base in seen:
+            continue
+        seen.add(base)
         published = (e.findtext(f"{a}published") or "").strip()
         meta = {
             "categories": [c.get("term") for c in e.iter(f"{a}category")], "authors": [(n.text or "").strip() for n in e.iter(f"{a}name")],
@@ -110,8 +71,7 @@ def _atom(data: bytes) -> list[dict]:
 
 def atom_records(pages: DataFrame, column: str = "value") -> DataFrame:
     """Records of an Atom feed page; of one paper's versions on a page the first stays."""
-    rows = _xml_records(pages, column, _atom)
-    return rows.withColumn("_base", without_version(F.col("record_id"))).dropDuplicates(["_base"]).drop("_base")
+    return _xml_records(pages, column, _atom)
 
 
 def _pubmed(data: bytes) -> list[dict]:
@@ -135,15 +95,31 @@ def pubmed_records(pages: DataFrame, column: str = "value") -> DataFrame:
 
 
 def full_text(latex: Column, pdf: Column, abstract: Column) -> Column:
-    """The best text there is of a record: LaTeX, then PDF, then the abstract; blank ones do not count."""
-    some = lambda c: F.when(F.trim(c) != "", c)
+    """The best text there is of a record, without its references: LaTeX, then PDF, then the abstract; blank ones do not count. A source that failed
+    for now must not look like one without text: ``transient_fault`` keeps such records for a later run."""
+    some = lambda c: F.when(F.trim(c) != "", trim_references(c))
     return F.coalesce(some(latex), some(pdf), abstract)
 
 
+def transient_fault(latex_status: Column, pdf_status: Column) -> Column:
+    """Error of a record whose text may come later: a status (0 for a transport fault) that passes when asked again; NULL when there is none."""
+    again = lambda c: (c == 0) | (c >= 500) | c.isin(408, 429)
+    first = F.when(again(latex_status), latex_status).when(again(pdf_status), pdf_status)
+    return F.when(first.isNotNull(), F.concat(F.lit("the text may come later: status "), first.cast("string")))
+
+
+def sorted_keys(c: Column, kind: str) -> Column:
+    """A map column in the order of its keys; other values as they are (the fields of a struct have an order of their own)."""
+    return F.map_from_entries(F.array_sort(F.map_entries(c))) if kind.startswith("map") else c
+
+
 def write_csv(entities: DataFrame, path: str, columns: list[str]) -> None:
     """record_id, the named columns and ``extra``: the other columns as JSON; cells are escaped against formulas."""
     rest = [c for c in entities.columns if c not in ("record_id", *columns)]
-    cell = lambda c: escape_cell(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    kinds = dict(entities.dtypes)
+    # Nested values as JSON with sorted keys; what has none is its own text.
+    plain = lambda c: F.to_json(sorted_keys(F.col(c), kinds[c])) if kinds[c].startswith(("array", "struct", "map")) else F.col(c).cast("string")
+    cell = lambda c: escape_cell(F.coalesce(plain(c), F.lit("")))
     extra = F.to_json(F.struct(*[F.col(c) for c in sorted(rest)])) if rest else F.lit("")
     entities.select(cell("record_id").alias("record_id"), *[cell(c).alias(c) for c in columns], escape_cell(F.when(extra == "{}", "").otherwise(extra)).alias("extra")).write.csv(path, header=True, quoteAll=False, escape='"')
 
@@ -151,7 +127,7 @@ def write_csv(entities: DataFrame, path: str, columns: list[str]) -> None:
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A table written by ``write_csv``; another header is an error, cells are unescaped."""
     names = ["record_id", *columns, "extra"]
-    found = spark.read.option("header", True).option("escape", '"').csv(path)
+    found = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
     if found.columns != names:
         raise StoreError(f"the header is {found.columns}, not {names}")
     return found.select(*[unescape_cell(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in names])

@@ -1,6 +1,6 @@
 """Listing pages as a streaming source: cursors, result caps, stale cursors, newest-first realignment.
 
-A listing is a function (cursor, page_size) -> ``Page``; one page is one micro-batch. The stream's offset holds the cursor behind the last
+A listing is a function (cursor, page_size) -> ``Page``; a micro-batch is one page, or as many as the source is told. The stream's offset holds the cursor behind the last
 page and what realignment needs, so it survives restarts with the query's checkpoint. No network code lives here: what fetches is injected.
 """
 
@@ -45,6 +45,23 @@ def by_offset(fetch: Callable[[int, int], list[dict]], cap: int | None = None) -
     return page
 
 
+# The greatest number of results of sources that cut a listing short.
+CAPS = {"pubmed": 9_999, "semantic_scholar": 1_000}
+
+
+def by_token(fetch: Callable[[str | None, int], tuple[list[dict], str | None]], most: int = 200) -> Fetch:
+    """A listing by opaque cursors, from a function (cursor, page_size) -> (records, next cursor); pages hold at most ``most`` records. A decimal
+    cursor comes from another kind of listing and is stale here."""
+
+    def page(cursor: str | None, size: int) -> Page:
+        if cursor is not None and cursor.isdigit():
+            raise StaleCursor(f"{cursor} is an offset, not a cursor of this source")
+        rows, following = fetch(cursor, min(size, most))
+        return Page(rows, following)
+
+    return page
+
+
 def realigned(saved: list[str], head_offset: int, ids: list[str], at: int) -> int | None:
     """Where a newest-first backlog lies now. ``saved``: ids at the head of the listing when ``head_offset`` rows of it were settled; ``ids``: those
     listed now from place ``at`` on. None: no saved id is among them, so newer entries fill this page and more."""
@@ -58,8 +75,8 @@ def realigned(saved: list[str], head_offset: int, ids: list[str], at: int) -> in
 class _Reader(SimpleDataSourceStreamReader):
     """Offset: cursor of the next page; ``run``, the run that wrote it; ``done``, whether that run reached the end; ``restarts`` within the run."""
 
-    def __init__(self, fetch: Fetch, page_size: int, run: int, newest_first: bool):
-        self.fetch, self.page_size, self.run, self.newest_first = fetch, page_size, run, newest_first
+    def __init__(self, fetch: Fetch, page_size: int, run: int, newest_first: bool, pages: int):
+        self.fetch, self.page_size, self.run, self.newest_first, self.pages = fetch, page_size, run, newest_first, pages
 
     def initialOffset(self) -> dict:
         return {"cursor": None, "run": self.run, "done": False, "truncated": False, "restarts": 0, "found": False, "head": [], "head_offset": 0, "new_head": []}
@@ -101,7 +118,13 @@ class _Reader(SimpleDataSourceStreamReader):
         return now | {"found": True, "head": new_head, "new_head": [], "head_offset": behind, "cursor": str(behind)}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._next(start)
+        rows, end = [], start
+        for _ in range(self.pages):
+            more, following = self._next(end)
+            rows += more
+            if following == end:
+                break
+            end = following
         return iter([tuple(r.get(c) for c in RECORD.names) for r in rows]), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
@@ -111,9 +134,9 @@ class _Reader(SimpleDataSourceStreamReader):
         pass
 
 
-def paged_source(name: str, fetch: Fetch, page_size: int = 100, run: int = 0, newest_first: bool = False) -> type[DataSource]:
+def paged_source(name: str, fetch: Fetch, page_size: int = 100, run: int = 0, newest_first: bool = False, pages: int = 1) -> type[DataSource]:
     """A data source class to register: ``spark.dataSource.register(...)``, then ``spark.readStream.format(name).load()``. ``run`` numbers the runs
-    over one checkpoint; ``newest_first`` needs a listing by offsets."""
+    over one checkpoint; ``newest_first`` needs a listing by offsets; ``pages`` go into one micro-batch, which settles as one page."""
 
     class PagedSource(DataSource):
         @classmethod
@@ -124,6 +147,6 @@ def paged_source(name: str, fetch: Fetch, page_size: int = 100, run: int = 0, ne
             return RECORD
 
         def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
-            return _Reader(fetch, page_size, run, newest_first)
+            return _Reader(fetch, page_size, run, newest_first, pages)
 
     return PagedSource

@@ -139,7 +139,7 @@ def latex_text(data: bytes) -> str:
 
 
 def jats_article(data: bytes) -> dict:
-    """title, abstract, sections, authors, keywords, journal, published, identifiers, references of a JATS article."""
+    """tables (rows of tab-separated cells), title, abstract, sections, authors, keywords, journal, published, identifiers, references of a JATS article."""
     root = safe_xml(data)
     plain = lambda n: " ".join("".join(n.itertext()).split()) if n is not None else ""
     meta = root.find(".//article-meta")
@@ -158,8 +158,9 @@ def jats_article(data: bytes) -> dict:
 
     body = root.find("body")
     abstract = next((a for a in meta.iter("abstract") if not a.get("abstract-type")), None)
+    tables = ["\n".join("\t".join(plain(c) for c in row if c.tag in ("td", "th")) for row in t.iter("tr")) for t in root.iter("table")]
     return {
-        "title": plain(meta.find(".//article-title")), "abstract": plain(abstract), "sections": sections(body, 1) if body is not None else [],
+        "tables": tables, "title": plain(meta.find(".//article-title")), "abstract": plain(abstract), "sections": sections(body, 1) if body is not None else [],
         "authors": [" ".join(x for x in (plain(c.find(".//given-names")), plain(c.find(".//surname"))) if x) for c in meta.iter("contrib") if c.get("contrib-type", "author") == "author"],
         "keywords": [plain(k) for k in meta.iter("kwd")], "journal": plain(root.find(".//journal-title")), "published": min(dates, default=None),
         "identifiers": ids, "references": [plain(r) for r in root.iter("ref")],
@@ -168,7 +169,7 @@ def jats_article(data: bytes) -> dict:
 
 def jats_text(data: bytes) -> str:
     a = jats_article(data)
-    return "\n\n".join(x for x in (a["title"], a["abstract"], *(t for s in a["sections"] for t in (s["title"], s["text"]))) if x)
+    return "\n\n".join(x for x in (a["title"], a["abstract"], *(t for s in a["sections"] for t in (s["title"], s["text"])), *a["tables"]) if x)
 
 
 def pdf_text(data: bytes) -> str:

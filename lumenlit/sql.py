@@ -246,3 +246,27 @@ _J = "coalesce(to_json({0})::VARCHAR, 'null')"
 SQL["claim_ids"] = f"""WITH {UNIQUE} SELECT claim_id, sha256('[' || concat_ws(',', {", ".join(_J.format(c) for c in ("record_id", "kind", "subject", "predicate", "object", "polarity"))},
 to_json(list_transform(list_sort(map_entries(coalesce(context, MAP {{}}))), lambda e: [e.key, e.value]))::VARCHAR, {_J.format("regexp_replace(quantity.verbatim, '[" + PY_SPACES + "]+', '', 'g')")},
 {_J.format("span_start")}, {_J.format("span_end")}, '""') || ']') AS content_id FROM uc"""
+_WORDS = lambda c: f"array_to_string({WINDOW.replace('body', c)}, ' ')"
+SQL |= {
+    "atom_listing": f"SELECT 'd' || doc_id || 'v2' AS record_id, {_WORDS('title')} AS title FROM documents",
+    "pubmed_listing": f"SELECT doc_id::VARCHAR AS record_id, {_WORDS('title')} AS title, 'ONE: ' || {_WORDS('title')} || chr(10) || 'TWO: ' || {_WORDS('abstract')} AS abstract FROM documents",
+    "scholar_listing": "SELECT 'p' || doc_id AS record_id, title, abstract FROM documents",
+    "openalex_listing": "SELECT 'W' || doc_id AS record_id, title, 'a b a' AS abstract FROM documents",
+    "csv_roundtrip": r"SELECT doc_id::VARCHAR AS record_id, coalesce(regexp_replace(title, '\r', ' ', 'g'), '') AS title, coalesce(source, '') AS source FROM documents",
+    "jsonl_roundtrip": f"WITH {DOCS} SELECT record_id, title, coalesce(lang, '?') AS lang FROM docs",
+    "headers": f"WITH {DOCS} SELECT record_id, title, metadata FROM docs WHERE doc_id % 100 = 0",
+    "full_text": f"""WITH x AS (SELECT doc_id, body, text, abstract FROM documents),
+y AS (SELECT doc_id, abstract, CASE WHEN trim(body) <> '' THEN body WHEN trim(text) <> '' THEN text END AS best FROM x)
+SELECT doc_id, coalesce(CASE WHEN regexp_matches(best, '(?i){HEADS}') THEN regexp_replace(regexp_replace(best, '(?is){HEADS}.*$', ''), '[[:space:]]+$', '') ELSE best END, abstract) AS text FROM y""",
+    "vec_unit": f"""SELECT DISTINCT chunk_id, chunk_index, CASE WHEN len(list_filter(vector, lambda x: x <> 0)) = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM chunks
+WHERE vector IS NOT NULL AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0""",
+}
+SQL["dbscan"] = """WITH RECURSIVE p AS (SELECT c_custkey AS id, c_acctbal::DOUBLE / 100 AS x, c_nationkey::DOUBLE AS y FROM customer),
+n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.y = b.y AND (a.x - b.x) * (a.x - b.x) <= 0.25),
+core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4),
+link AS (SELECT a, b FROM n WHERE a IN (FROM core) AND b IN (FROM core)),
+reach(x, y) AS (SELECT id, id FROM core UNION SELECT reach.x, link.b FROM reach JOIN link ON link.a = reach.y),
+root AS (SELECT x AS id, min(y) AS root FROM reach GROUP BY x),
+num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)),
+edge AS (SELECT n.a AS id, min(root.root) AS root FROM n JOIN root ON root.id = n.b GROUP BY 1)
+SELECT p.id, coalesce(num.cluster, -1)::INT AS cluster FROM p LEFT JOIN root USING (id) LEFT JOIN edge USING (id) LEFT JOIN num ON num.root = coalesce(root.root, edge.root)"""

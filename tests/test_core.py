@@ -186,6 +186,10 @@ def test_tables(spark):
     assert [r.violations[0].message if r.violations else None for r in out] == ["holds mock", "holds strasse test", None, "holds mock", None, "holds mock"]
     shown = tables.laid_out([("v", False)], ["v"], order="_ord")(df)
     assert shown.columns == ["v", "s"] and [r.v for r in shown.collect()] == [7.0, 5.0, 1.0, None, None]
+    near = spark.createDataFrame([(0, 1, 0), (1, 2, 1), (1, 0, 2)], "keep int, drop int, ord int")
+    chain = spark.createDataFrame([(0, None, "a"), (1, None, None), (2, 3, None), (3, 7, "z")], "_ord int, v int, s string")
+    assert sorted(tuple(r) for r in tables.merged(lambda t: near)(chain).collect()) == [(0, 3, "a"), (3, 7, "z")]
+    assert tables.normalized("s", normalizer=F.upper)(chain).first()["_norm_key"] == "A"
     assert tables.collapse_pairs([(0, 1), (1, 2), (1, 0)], {0: {"a": None}, 1: {"a": None}, 2: {"a": 3}}) == [{"a": 3}]
 
 
@@ -204,6 +208,8 @@ def test_graph(spark):
     assert comp == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
     label, done = graph.label_communities([("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("c", "d", 0.1), ("d", "e", 1.0)], list("abcdef"))
     assert done and label["a"] == label["b"] == label["c"] != label["d"] == label["e"] and label["f"] not in (label["a"], label["d"])
+    heavy = graph.label_communities([("a", "b", 0.4), ("b", "a", 0.4), ("a", "c", 0.5), ("a", "z", 9.0), ("a", "a", 9.0)], list("abc"))
+    assert heavy == ({"a": 0, "b": 0, "c": 0}, True) and graph.label_communities([], [], 1) == ({}, True) and graph.reachable([("a", "b"), ("c", "d")], "a") == {"a", "b"}
     nodes, edges = graph.grow(lambda ids: e.where(F.col("source").isin(ids)), "a", depth=2)
     assert nodes == ["a", "b"] and len(edges) == 2
 
@@ -248,6 +254,15 @@ def test_vectors(spark):
     assert {r.record_id: r.fused for r in vectors.minmax(lists).collect()} == {"a": 1.0, "b": 1.0}
     with pytest.raises(FusionError):
         vectors.rrf(lists, k=0)
+    with pytest.raises(Exception, match="finite"):
+        vectors.minmax(lists.withColumn("score", F.lit(float("inf")))).collect()
+
+    def embedder():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts] if "bad" not in texts else 1 / 0
+
+    rows = spark.createDataFrame([("ab",), (None,), (" ",)], "text string")
+    assert [(r.vector, r.error) for r in vectors.embedded(rows, embedder).collect()] == [([2.0, 1.0], None), (None, None), (None, None)]
+    assert vectors.embedded(spark.createDataFrame([("bad",)], "text string"), embedder).first().error.startswith("ZeroDivision")
 
 
 def test_claims(spark):
@@ -300,7 +315,10 @@ def test_parsers(spark):
 def test_sources(spark, tmp_path):
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://x.org/abs/2401.1v2</id><title>A  B</title><summary>s</summary><published>2024-01-01T00:00:00Z</published></entry><entry><id>http://x.org/abs/2401.1v1</id></entry></feed>'
     got = listings.atom_records(spark.createDataFrame([(atom,)], "value string")).collect()
-    assert len(got) == 1 and got[0].record_id.startswith("2401.1v")
+    assert len(got) == 1 and got[0].record_id == "2401.1v2"
+    assert listings.atom_records(spark.createDataFrame([(atom,), (atom,)], "value string")).count() == 2  # duplicates are dropped within a page
+    status = spark.createDataFrame([(200, 200), (503, 200), (404, 0), (404, 404)], "l int, p int")
+    assert [r.x is None for r in status.select(listings.transient_fault(F.col("l"), F.col("p")).alias("x")).collect()] == [True, False, False, True]
     work = '{"results": [{"id": "https://o.org/W1", "display_name": "T", "abstract_inverted_index": {"b": [1], "a": [0]}}]}'
     assert listings.openalex_records(spark.createDataFrame([(work,)], "value string")).first().abstract == "a b"
     s2 = '{"data": [{"paperId": "p", "title": "T", "fieldsOfStudy": ["X"], "s2FieldsOfStudy": [{"category": "Y"}, {"category": "X"}]}]}'

@@ -56,6 +56,9 @@ def test_tree_is_canonical():
     with pytest.raises(QueryError):
         q.parse_ranked("NOT a")
     assert q.semantic_text(q.parse("big -small (title:cat* OR dog)")) == "big dog"
+    with pytest.raises(QueryError):
+        q.parse_semantic("galax* -dwarf")
+    assert q.parse_semantic("galax* dwarf")
     assert [c["negated"] for c in q.describe(q.parse("a -b"))] == [False, True]
 
 
