@@ -14,7 +14,7 @@ from lumenlit.operators import claims as cl
 from lumenlit.operators import extraction, graph, incremental, quantities, search, tables, vectors
 from lumenlit.operators.search import Range, Tag
 from lumenlit.session import checkpoint, load, shared_dir
-from lumenlit.sources import listings, parsers, stores, textindex
+from lumenlit.sources import listings, paging, parsers, stores, textindex
 from lumenlit.sources.files import Files
 from lumenlit.sql import SQL
 from lumenlit.streaming import pipeline as pl
@@ -331,6 +331,102 @@ def _jsonl_roundtrip(s: SparkSession, d: str) -> DataFrame:
     return listings.read_jsonl(s, path).select("record_id", "title", F.col("entities")[0]["lang"].alias("lang"))
 
 
+def _parsed(kind: str, data: Callable[[], Column]) -> Query:
+    return lambda s, d: load(s, d, "documents").select("doc_id", parsers.parsed(F.encode(data(), "UTF-8"), kind).alias("r")).select("doc_id", "r.text", "r.error")
+
+
+def _page_html() -> Column:
+    return F.concat(F.lit("<html><head><style>p {x: y}</style></head><body><p>"), _xml_text("title"), F.lit("</p><script>let a = 1</script><!-- c --><b>end</b></body></html>"))
+
+
+def _page_jats() -> Column:
+    front = F.concat(F.lit("<article><front><article-meta><title-group><article-title>"), _xml_text("title"), F.lit("</article-title></title-group><abstract><p>"), _xml_text("abstract"))
+    return F.concat(front, F.lit("</p></abstract></article-meta></front><body><sec><title>S</title><p>P</p></sec><table><tr><th>a</th><td>b</td></tr></table></body></article>"))
+
+
+def _page_latex() -> Column:
+    return F.concat(F.lit("\\documentclass{a}%x\n"), F.regexp_replace(F.coalesce("title", F.lit("")), r"[%\\]", ""), F.lit(" % gone\nend"))
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    answer = F.concat(F.lit('{"relevant": '), F.element_at(F.array(*map(F.lit, ("true", "false", '"YES"', '" no "', "1", "0", '"maybe"', "null"))), F.pmod("doc_id", F.lit(8)).cast("int") + 1), F.lit("}"))
+    return load(s, d, "documents").select("doc_id", answer.alias("answer")).select("doc_id", pl.verdict("answer").alias("relevant"))
+
+
+def _cascaded(s: SparkSession, d: str) -> DataFrame:
+    by = lambda c: lambda df: df.withColumn("relevance", c)
+    steps = pl.cascade(by(F.length("title") > 40), by(F.when(F.col("lang").isNotNull(), F.col("lang") == "en")))
+    return steps(load(s, d, "documents").select("doc_id", "title", "lang")).select("doc_id", "relevance")
+
+
+def _filtered_graph(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, degree) of the tag graph when only records whose id has an even length stay, and the smallest id as the seed."""
+    edges = checkpoint(graph.choose_edges(_all_edges(s, d)))
+    nodes = checkpoint(graph.degrees(edges))
+    seed = nodes.agg(F.min("record_id")).first()[0]
+    kept = nodes.where(F.length("record_id") % 2 == 0)
+    return graph.filter_graph(nodes, edges, kept, seed or "")[0].select("record_id", F.col("degree").cast("bigint").alias("degree"))
+
+
+def _grown(s: SparkSession, d: str) -> DataFrame:
+    """Nodes of a graph grown one level from the smallest tagged record."""
+    tags = checkpoint(graph.record_tags(_index(s, d), ("journal", "keywords")))
+    seed = tags.agg(F.min("record_id")).first()[0]
+    near = lambda ids: graph.jaccard_edges(tags, s.createDataFrame([(i,) for i in ids], "record_id string"), 10)
+    nodes, _ = graph.grow(near, seed, depth=1, fanout=10) if seed else ([], [])
+    return s.createDataFrame([(n,) for n in nodes], "record_id string")
+
+
+def _metrics(s: SparkSession, d: str) -> DataFrame:
+    p = pl.Pipeline(s, _stages(_lacking()), _folder(s))
+    p.settle(_listing(s, d), 0)
+    return s.createDataFrame([(k, p.metrics.get(k, 0)) for k in ("exported", "irrelevant", "failed", "skipped")], "outcome string, n bigint")
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """A listing of 57 records, cut by its source at 35, read as a stream in pages of ten."""
+    rows = [{"record_id": f"r{i}", "title": "t", "abstract": None, "source_url": None, "metadata": None} for i in range(57)]
+    name, path = f"listing{uuid.uuid4().hex[:8]}", _folder(s)
+    s.dataSource.register(paging.paged_source(name, paging.by_offset(lambda at, n: rows[at : at + n], cap=35), 10))
+    query = s.readStream.format(name).load().writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").start()
+    query.processAllAvailable()
+    query.stop()
+    return s.read.parquet(f"{path}/out").select("record_id", "title")
+
+
+def _feed(s: SparkSession, d: str) -> DataFrame:
+    """(revision, record_id, op) of a claim store: all records, then those with an id of even length again, then those ending in 3 deleted."""
+    claims = cl.unique_claims(load(s, d, "claims")).where("trim(record_id) <> ''").select("record_id", "claim_id", "predicate")
+    store = stores.ClaimStore(s, _folder(s), "record_id string, claim_id string, predicate string")
+    store.replace(claims)
+    store.replace(claims.where(F.length("record_id") % 2 == 0))
+    store.delete(claims.where(F.col("record_id").endswith("3")))
+    return store.feed()
+
+
+def _changed_index(s: SparkSession, d: str) -> DataFrame:
+    """(record_id, length) of an index after every second document's title changed, every third was deleted, and all was folded into one segment."""
+    docs = checkpoint(_docs(s, d).select("doc_id", "record_id", "title", "abstract", "body", "metadata"))
+    index = textindex.TextIndex(s, _folder(s))
+    index.upsert(docs)
+    index.upsert(docs.where("doc_id % 2 = 0").withColumn("title", F.lit("changed title")))
+    index.delete(docs.where("doc_id % 3 = 0"))
+    index.optimize()
+    return index.documents().select("record_id", "length")
+
+
+def _dates(s: SparkSession, d: str) -> DataFrame:
+    at = F.get_json_object("metadata", "$.pub_date")
+    part = lambda n: F.regexp_extract(at, r"^(\d{4})(?:[ -](\w+))?(?:[ -](\d+))?$", n)
+    return load(s, d, "documents").where(at.isNotNull()).select("doc_id", tx.partial_date(part(1), part(2), part(3)).alias("date"))
+
+
+def _composite(s: SparkSession, d: str) -> DataFrame:
+    rules = [tables.range_rule("p_size", 1, 40), tables.range_rule("p_retailprice", 900, 1500), tables.keyword_rule("p_name", ["metallic"])]
+    rows = tables.validated(rules)(load(s, d, "part"))
+    return rows.select("p_partkey", F.array_join(F.transform("violations", lambda v: F.concat(v["field"], F.lit(":"), v["code"])), ",").alias("violations"), "valid")
+
+
 def _sentences(s: SparkSession, d: str) -> DataFrame:
     each = load(s, d, "documents").select("doc_id", "abstract", F.posexplode(tx.sentences(F.col("abstract"))).alias("n", "at"))
     return each.select("doc_id", "n", F.substring("abstract", F.col("at.start") + 1, F.col("at.end") - F.col("at.start")).alias("sentence"))
@@ -440,6 +536,22 @@ def queries() -> dict[str, Query]:
         "headers": lambda s, d: search.headers(_docs(s, d), _docs(s, d).where("doc_id % 100 = 0")),
         "full_text": lambda s, d: load(s, d, "documents").select("doc_id", listings.full_text(F.col("body"), F.col("text"), F.col("abstract")).alias("text")),
         "vec_unit": lambda s, d: load(s, d, "chunks").select("chunk_id", "chunk_index", F.round(F.aggregate(vectors.unit(F.col("vector")), F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm")).where("norm is not null and not isnan(norm)").distinct(),
+        "html_roundtrip": _parsed("html", _page_html),
+        "jats_roundtrip": _parsed("jats", _page_jats),
+        "latex_roundtrip": _parsed("latex", _page_latex),
+        "llm_verdict": _verdicts,
+        "relevance_cascade": _cascaded,
+        "filter_graph": _filtered_graph,
+        "grow_graph": _grown,
+        "run_metrics": _metrics,
+        "listing_stream": _streamed,
+        "claim_store_feed": _feed,
+        "changes_page": lambda s, d: cl.changes_since(cl.changes(load(s, d, "claims")), 3, 50),
+        "index_changes": _changed_index,
+        "partial_dates": _dates,
+        "paper_ids": lambda s, d: load(s, d, "documents").select("doc_id", *[f(F.concat(F.lit("http://x.org/abs/2401."), "doc_id", F.lit("v12.pdf"))).alias(n) for n, f in (("paper_id", tx.paper_id), ("base_id", lambda c: tx.without_version(tx.paper_id(c))))]),
+        "validate_composite": _composite,
+        "rank_exclude": lambda s, d: written_index(s, d).rank("halo OR plasma", 10, exclude=written_index(s, d).rank("halo OR plasma", 1).first()[0]).withColumn("score", F.round("score", 9)),
         "settle_replay": _settle_replay,
         "settle_retry": _settle_retry,
         "settle_limit": _settle_limit,

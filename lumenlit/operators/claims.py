@@ -53,10 +53,10 @@ def changes(claims: DataFrame) -> DataFrame:
 
 
 def changes_since(feed: DataFrame, revision: int, limit: int) -> DataFrame:
-    """The next ``limit`` changes behind a revision, in order."""
+    """The next ``limit`` changes behind a revision, in order; those of one revision by record."""
     if limit < 1:
         raise StoreError("a limit is at least 1")
-    return feed.where(F.col("revision") > revision).orderBy("revision").limit(limit)
+    return feed.where(F.col("revision") > revision).orderBy("revision", "record_id").limit(limit)
 
 
 def head(feed: DataFrame) -> DataFrame:

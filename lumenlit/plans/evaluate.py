@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 
 from lumenlit.functions.text import fold_table
@@ -24,30 +25,29 @@ def near_kept(starts: Sequence[Sequence[int]], lengths: Sequence[int], distance:
     """Start places that count as parts of a NEAR match, per part; all empty when there is none. Places of different fields must lie further
     apart than any distance.
 
-    One place per part stands for the parts; they match when every part begins no later than the last one begins, and ends at most
-    ``distance`` words before it. From a match the part with the nearest next place moves on; a part left too far behind moves up first.
+    One place per part stands for it. Parts match when each begins no later than the last one does, and ends at most ``distance`` words before
+    that. Parts left too far behind are moved up by bisection until nothing moves; from a match the part with the nearest next place moves on.
     """
-    left = [sorted(s, reverse=True) for s in starts]  # the place in use is the last
-    kept: list[list[int]] = [[] for _ in starts]
-    while left and all(left):
-        last, settled = left[0][-1], False
-        while not settled:
-            settled = True
-            for places, length in zip(left, lengths):
-                if last - length - distance <= places[-1] <= last:
-                    continue
-                settled = False
-                while places and places[-1] < last - length - distance:
-                    places.pop()
-                if not places:
-                    return kept if kept and all(kept) else [[] for _ in starts]
-                last = max(last, places[-1])
-        for places, keep in zip(left, kept):
-            if keep[-1:] != places[-1:]:
-                keep.append(places[-1])
-        ahead = [p[-2] if len(p) > 1 else float("inf") for p in left]
-        left[ahead.index(min(ahead))].pop()
-    return kept if kept and all(kept) else [[] for _ in starts]
+    places = [sorted(s) for s in starts]
+    kept: list[list[int]] = [[] for _ in places]
+    if not places or not all(places):
+        return kept
+    at, more = [0] * len(places), True
+    while more:
+        last = max(p[i] for p, i in zip(places, at))
+        moved = [bisect_left(p, last - k - distance, i) for p, i, k in zip(places, at, lengths)]
+        more = all(i < len(p) for p, i in zip(places, moved))
+        if moved != at:
+            at = moved
+            continue
+        for keep, p, i in zip(kept, places, at):
+            if keep[-1:] != [p[i]]:
+                keep.append(p[i])
+        ahead = [p[i + 1] if i + 1 < len(p) else float("inf") for p, i in zip(places, at)]
+        step = ahead.index(min(ahead))
+        at[step] += 1
+        more = at[step] < len(places[step])
+    return kept
 
 
 def leaf_spans(leaf: Leaf, words: dict[str, list[str]]) -> Spans:

@@ -270,3 +270,34 @@ root AS (SELECT x AS id, min(y) AS root FROM reach GROUP BY x),
 num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM root)),
 edge AS (SELECT n.a AS id, min(root.root) AS root FROM n JOIN root ON root.id = n.b GROUP BY 1)
 SELECT p.id, coalesce(num.cluster, -1)::INT AS cluster FROM p LEFT JOIN root USING (id) LEFT JOIN edge USING (id) LEFT JOIN num ON num.root = coalesce(root.root, edge.root)"""
+_PLAIN = lambda c: _WORDS(c)
+_LATEX = r"regexp_replace(coalesce(title, ''), '[%\\]', '', 'g')"
+SQL |= {
+    "html_roundtrip": f"SELECT doc_id, trim({_PLAIN('title')} || ' end') AS text, NULL::VARCHAR AS error FROM documents",
+    "jats_roundtrip": f"SELECT doc_id, concat_ws(chr(10) || chr(10), nullif({_PLAIN('title')}, ''), nullif({_PLAIN('abstract')}, ''), 'S', 'P', 'a' || chr(9) || 'b') AS text, NULL::VARCHAR AS error FROM documents",
+    "latex_roundtrip": f"SELECT doc_id, '\\documentclass{{a}}' || chr(10) || {_LATEX} || ' ' || chr(10) || 'end' AS text, NULL::VARCHAR AS error FROM documents",
+    "llm_verdict": "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false END AS relevant FROM documents",
+    "relevance_cascade": "SELECT doc_id, CASE WHEN title IS NULL THEN NULL WHEN length(title) <= 40 THEN false WHEN lang IS NULL THEN NULL ELSE lang = 'en' END AS relevance FROM documents",
+    "filter_graph": f"""WITH {DOCS}, {GROUPS}, keep AS (SELECT DISTINCT x FROM u WHERE length(x) % 2 = 0 OR x = (SELECT min(x) FROM u))
+SELECT keep.x AS record_id, count(y) AS degree FROM keep LEFT JOIN (SELECT * FROM u WHERE y IN (FROM keep)) e ON e.x = keep.x GROUP BY keep.x""",
+    "grow_graph": f"WITH {DOCS}, {GROUPS}, seed AS (SELECT min(record_id) AS x FROM g) SELECT target AS record_id FROM l WHERE source = (SELECT x FROM seed) UNION SELECT x FROM seed WHERE x IS NOT NULL",
+    "run_metrics": f"""WITH {LISTED}, b AS (SELECT count(*) AS n FROM t WHERE record_id = '')
+SELECT 'exported' AS outcome, count_if(relevant AND NOT lacking)::BIGINT AS n FROM j UNION ALL SELECT 'irrelevant', count_if(NOT relevant)::BIGINT FROM j
+UNION ALL SELECT 'failed', count_if(relevant IS NULL OR relevant AND lacking)::BIGINT FROM j UNION ALL SELECT 'skipped', n::BIGINT FROM b""",
+    "listing_stream": "SELECT 'r' || i AS record_id, 't' AS title FROM generate_series(0, 34) t(i)",
+    "claim_store_feed": f"""WITH {UNIQUE}, r AS (SELECT DISTINCT record_id FROM uc WHERE trim(record_id) <> '')
+SELECT 1::BIGINT AS revision, record_id, 'replace' AS op FROM r UNION ALL SELECT 2, record_id, 'replace' FROM r WHERE length(record_id) % 2 = 0 UNION ALL SELECT 3, record_id, 'delete' FROM r WHERE ends_with(record_id, '3')""",
+    "changes_page": "SELECT DISTINCT revision, record_id, 'replace' AS op FROM claims WHERE revision > 3 ORDER BY revision, record_id NULLS FIRST LIMIT 50",
+    "index_changes": rf"""WITH {DOCS} SELECT record_id, (CASE WHEN doc_id % 2 = 0 THEN 2 ELSE len(t) END + len(a) + len(b))::INT AS length FROM idx
+WHERE doc_id % 3 <> 0 AND trim(record_id) <> '' AND (doc_id % 2 = 0 OR regexp_matches(concat_ws(' ', title, abstract, body), '\S'))""",
+    "partial_dates": r"""WITH m AS (SELECT doc_id, metadata ->> '$.pub_date' AS pub FROM documents WHERE json_valid(metadata) AND (metadata ->> '$.pub_date') IS NOT NULL),
+p AS (SELECT doc_id, regexp_extract(pub, '^(\d{4})(?:[ -](\w+))?(?:[ -](\d+))?$', 1) AS y, lower(regexp_extract(pub, '^(\d{4})(?:[ -](\w+))?(?:[ -](\d+))?$', 2)) AS mo, regexp_extract(pub, '^(\d{4})(?:[ -](\w+))?(?:[ -](\d+))?$', 3) AS d FROM m),
+n AS (SELECT *, CASE WHEN regexp_matches(mo, '^\d{1,2}$') THEN mo::INT WHEN mo <> '' THEN list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], left(mo, 3)) END AS m FROM p)
+SELECT doc_id, CASE WHEN y = '' THEN NULL WHEN m BETWEEN 1 AND 12 AND d <> '' AND try_cast(y || '-' || m || '-' || d AS DATE) IS NOT NULL THEN printf('%s-%02d-%02d', y, m, d::INT)
+WHEN m BETWEEN 1 AND 12 THEN printf('%s-%02d', y, m) ELSE y END AS date FROM n""",
+    "paper_ids": "SELECT doc_id, '2401.' || doc_id || 'v12' AS paper_id, '2401.' || doc_id AS base_id FROM documents",
+    "validate_composite": r"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT p_size BETWEEN 1 AND 40 THEN 'p_size:out-of-range' END, CASE WHEN NOT p_retailprice BETWEEN 900 AND 1500 THEN 'p_retailprice:out-of-range' END,
+CASE WHEN list_contains(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'), 'metallic') THEN 'p_name:forbidden-keyword' END], lambda x: x IS NOT NULL), ',') AS violations,
+p_size BETWEEN 1 AND 40 AND p_retailprice BETWEEN 900 AND 1500 AND NOT list_contains(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'), 'metallic') AS valid FROM part""",
+    "rank_exclude": SQL["bm25_or"].replace("LIMIT 50", "LIMIT 10 OFFSET 1"),
+}

@@ -48,10 +48,14 @@ class State:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+        self._commits: dict[str, dict] = {}
 
     def committed(self) -> dict[str, dict]:
-        """Commit of every page, by key; keys sort in the order of settlement. A run folds older ones into one (``compact``)."""
-        return {k: self.files.read(f"commits/{k}") for k in self.files.names("commits")}
+        """Commit of every page, by key; keys sort in the order of settlement. A commit never changes, so each is read once."""
+        for k in self.files.names("commits"):
+            if k not in self._commits:
+                self._commits[k] = self.files.read(f"commits/{k}")
+        return dict(sorted(self._commits.items()))
 
     def _read(self, what: str, schema: str) -> DataFrame:
         found = [f"{self.path}/{what}/{k}" for k, c in self.committed().items() if what in c["parts"]]
