@@ -7,12 +7,13 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import cache
 from hashlib import sha256
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +80,12 @@ def windows(c: Column, size: int = 350, overlap: int = 50) -> Column:
     return let(split_words(c), cut)
 
 
+def chunked(rows: DataFrame, column: str = "text", chunker: Callable[[Column], Column] = windows) -> DataFrame:
+    """One row per passage of a text: ``chunk_index`` and ``text``; ``chunker`` turns a text column into an array of passages."""
+    keep = [c for c in rows.columns if c not in (column, "chunk_index", "text")]
+    return rows.select(*keep, F.posexplode(chunker(F.col(column))).alias("chunk_index", "text"))
+
+
 def merge_windows(passages: Column, overlap: int = 50) -> Column:
     """Text of windows in order, leaving out the words a window repeats from the one before."""
     parts = F.transform(passages, split_words)

@@ -78,7 +78,8 @@ def merged(matcher: Callable[[DataFrame], DataFrame], order: str = "_ord") -> St
         pairs = checkpoint(matcher(df).select("keep", "drop", "ord").where("keep <> drop"))
         named = components(pairs.select(F.col("keep").alias("source"), F.col("drop").alias("target"))).toDF(order, "_group")
         rows = df.join(named, order)
-        links = pairs.join(named.withColumnRenamed(order, "keep"), "keep").select("_group", "keep", "drop", "ord")
+        again = named.toDF("keep", "_pairs")  # new column ids, as both sides come from the same pairs
+        links = pairs.join(again, "keep").select("_pairs", "keep", "drop", "ord").toDF("_pairs", "keep", "drop", "ord")
         schema = df.schema
 
         def fold(r, p):
@@ -88,7 +89,7 @@ def merged(matcher: Callable[[DataFrame], DataFrame], order: str = "_ord") -> St
             out = collapse_pairs(list(p.sort_values("ord")[["keep", "drop"]].itertuples(index=False, name=None)), dict(sorted(kept.items())))
             return pd.DataFrame(out, columns=schema.names)
 
-        folded = rows.groupBy("_group").cogroup(links.groupBy("_group")).applyInPandas(fold, schema)
+        folded = rows.groupBy("_group").cogroup(links.groupBy("_pairs")).applyInPandas(fold, schema)
         return df.join(named.select(order), order, "left_anti").select(schema.names).unionByName(folded)
 
     return step

@@ -96,10 +96,13 @@ def minmax(lists: DataFrame, weights: dict[str, float] | None = None) -> DataFra
     return scaled.groupBy("record_id").agg(F.sum("s").alias("fused"))
 
 
-def hybrid(lexical: DataFrame, semantic: DataFrame, top: int = 10, method: str = "rrf") -> DataFrame:
-    """(record_id, fused, lexical_rank, semantic_rank): one list from two bounded ones; absent ranks are NULL."""
+def hybrid(lexical: DataFrame, semantic: DataFrame, top: int = 10, method: str | Callable[[DataFrame], DataFrame] = "rrf") -> DataFrame:
+    """(record_id, fused, lexical_rank, semantic_rank): one list from two bounded ones; absent ranks are NULL. ``method``: rrf, minmax, or a function from
+    (list, record_id, rank, score) to (record_id, fused)."""
+    if not callable(method) and method not in ("rrf", "minmax"):
+        raise FusionError("a method is rrf, minmax or a function")
     both = ranked_list(lexical, "lexical").unionByName(ranked_list(semantic, "semantic"))
-    fused = {"rrf": rrf, "minmax": minmax}[method](both)
+    fused = (method if callable(method) else {"rrf": rrf, "minmax": minmax}[method])(both)
     ranks = both.groupBy("record_id").agg(*[F.max(F.when(F.col("list") == x, F.col("rank"))).alias(f"{x}_rank") for x in ("lexical", "semantic")])
     return fused.join(ranks, "record_id").orderBy(F.desc("fused"), "record_id").limit(top)
 

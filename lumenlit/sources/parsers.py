@@ -186,9 +186,9 @@ def pdf_text(data: bytes) -> str:
 PARSERS: dict[str, Callable[[bytes], str]] = {"html": html_text, "docx": docx_text, "latex": latex_text, "jats": jats_text, "pdf": pdf_text}
 
 
-def parsed(data: Column, kind: str) -> Column:
-    """``struct<text, error>`` of a binary column; NULL bytes give NULL text and no error."""
-    parse = PARSERS[kind]
+def parsed(data: Column, kind: str | Callable[[bytes], str]) -> Column:
+    """``struct<text, error>`` of a binary column; NULL bytes give NULL text and no error. ``kind``: a name of ``PARSERS``, or a function from bytes to text."""
+    parse = kind if callable(kind) else PARSERS[kind]
 
     def one(b: bytes | None) -> tuple[str | None, str | None]:
         if b is None:

@@ -12,6 +12,7 @@ a write the last holds; an empty index matches nothing.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -256,11 +257,12 @@ class TextIndex:
         return (rows.limit(cap) if cap else rows).agg(F.count("*").alias("n"))
 
 
-def backfill(index: TextIndex, passages: DataFrame, overlap: int = 50) -> dict[str, int]:
+def backfill(index: TextIndex, passages: DataFrame, overlap: int = 50, build: Callable[[DataFrame, int], DataFrame] | None = None) -> dict[str, int]:
     """Documents rebuilt from stored passages (record_id, chunk_index, text, metadata) for records that are not indexed yet: passages in order
-    without the words they repeat, the title from the metadata. Returns how many were seen, indexed, present and empty."""
+    without the words they repeat, the title from the metadata, or whatever ``build`` makes of passages and overlap. Returns how many were seen,
+    indexed, present and empty."""
     known = index.documents().select("record_id")
-    docs = checkpoint(stored_documents(passages, overlap))
+    docs = checkpoint((build or stored_documents)(passages, overlap))
     new = checkpoint(docs.join(known, "record_id", "left_anti"))
     filled = F.col("body").rlike(r"\S") | F.coalesce("title", F.lit("")).rlike(r"\S")
     seen, fresh, good = docs.count(), new.count(), new.where(filled).count()

@@ -128,17 +128,19 @@ def unsettled(page: DataFrame, state: State, max_attempts: int | None = 3) -> Da
 class Pipeline:
     """Settles pages; ``metrics`` counts outcomes of the run.
 
-    ``stop`` is asked before every page and, when true, ends the run with ``PipelineInterrupted`` behind the page in work.
+    ``stop`` is asked before every page and, when true, ends the run with ``PipelineInterrupted`` behind the page in work. ``on_event`` is told of
+    the run's start, every settled page and the end.
     """
 
     STALLED = 2
 
-    def __init__(self, spark: SparkSession, stages: Stages, path: str, max_attempts: int | None = 3, total_limit: int | None = None, stop: Callable[[], bool] = lambda: False):
+    def __init__(self, spark: SparkSession, stages: Stages, path: str, max_attempts: int | None = 3, total_limit: int | None = None, stop: Callable[[], bool] = lambda: False,
+                 on_event: Callable[[dict], None] = lambda event: None):
         if (max_attempts is not None and max_attempts < 1) or (total_limit is not None and total_limit < 1):
             raise ConfigError("max_attempts and total_limit are at least 1")
         self.spark, self.stages, self.path, self.stop = spark, stages, path.rstrip("/"), stop
         self.state = State(spark, f"{self.path}/state")
-        self.max_attempts, self.limit = max_attempts, total_limit
+        self.max_attempts, self.limit, self.on_event = max_attempts, total_limit, on_event
         self.begin()
 
     def begin(self) -> None:
@@ -155,7 +157,7 @@ class Pipeline:
         """The page of a micro-batch. A batch that an earlier run settled before it could be acknowledged is not settled again."""
         if self.stop():
             raise PipelineInterrupted("stopped before a page", self.metrics.get("exported", 0))
-        if batch in {c.get("batch") for c in self.state.committed().values()}:
+        if batch in {c.get("batch") for c in self.state.committed().values()} or page.isEmpty():
             return
         self.settle_page(page, self.key(batch + 1), batch=batch)
 
@@ -197,6 +199,7 @@ class Pipeline:
         counted = self.held if exported else []
         self.state.commit(key, counted, **facts)
         self.held = [] if exported else self.held
+        self.on_event({"event": "page", "page": key, "skipped": blank, **counts})
         for k, v in (counts | {"skipped": blank, "pages": 1}).items():
             self.metrics[k] = self.metrics.get(k, 0) + v
         if self.left is not None:
@@ -238,6 +241,7 @@ class Pipeline:
                 fault.append(e)
                 raise
 
+        self.on_event({"event": "started", "run": self.run_no})
         self.settle_backlog(schema)
         if self.left is not None and self.left <= 0:
             return self.metrics
@@ -254,6 +258,7 @@ class Pipeline:
             query.stop()
         if self.stalled:  # a stalled page that ends the listing
             raise PipelineAborted("the listing ended on a page without progress", self.metrics.get("exported", 0))
+        self.on_event({"event": "finished", "run": self.run_no, **self.metrics})
         return self.metrics
 
 

@@ -24,6 +24,8 @@ def test_text_functions(spark):
     assert [p.split()[0] for p in parts] == ["0", "7", "14", "21"] and parts[-1].endswith("24")
     assert one(spark, tx.merge_windows(tx.windows(lit(words), 10, 3), 3)) == words
     assert one(spark, tx.windows(lit("  "), 10, 3)) == []
+    cut = tx.chunked(spark.createDataFrame([(1, "a b c"), (2, None)], "id int, text string"), chunker=lambda c: tx.windows(c, 2, 0))
+    assert [tuple(r) for r in cut.collect()] == [(1, 0, "a b"), (1, 1, "c")]
     assert one(spark, tx.trim_references(lit("body\nReferences\n[1]"))) == "body"
     assert one(spark, tx.partial_date(lit("2020"), lit("Feb"), lit("30"))) == "2020-02"
     assert one(spark, tx.abstract_from_positions(F.create_map(lit("b"), F.array(lit(1)), lit("a"), F.array(lit(0), lit(2))))) == "a b a"

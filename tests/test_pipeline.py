@@ -84,8 +84,9 @@ def run(spark, path, fetch, size=2, name="listing", number=0, newest=False, **kw
 
 def test_streamed_run_reads_every_page_once(spark, tmp_path):
     records = [rec(i) for i in range(5)]
-    fetch = by_offset(lambda at, n, records=records: records[at : at + n])
-    p, fault = run(spark, f"{tmp_path}/run", fetch)
+    fetch, events = by_offset(lambda at, n, records=records: records[at : at + n]), []
+    p, fault = run(spark, f"{tmp_path}/run", fetch, on_event=events.append)
+    assert [e["event"] for e in events] == ["started", "page", "page", "page", "finished"] and events[-1]["exported"] == 5
     assert fault is None and exported(p) == [f"r{i}" for i in range(5)] and p.metrics["exported"] == 5
     # Entries appended later are found by the next run, behind the last one.
     more = [*records, rec(5), rec(6)]
