@@ -19,18 +19,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.errors import StoreError
-from lumenlit.functions.text import sanitize, tokens
+from lumenlit.functions.text import let, sanitize, tokens
 from lumenlit.operators import search
 from lumenlit.plans.query import FIELDS, Leaf, View, leaves, matches, matches_nothing, parse, parse_ranked
 from lumenlit.plans.query import Near as NearNode
 from lumenlit.session import checkpoint
 from lumenlit.sources.files import Files
 
-#: Rows of postings a file aims at.
-FILE_ROWS = 4_000_000
+#: Words whose postings a file holds at most, and that make a file of its own worth while.
+FILE_ROWS, SMALL_ROWS = 4_000_000, 100_000
 POSTING = "term string, record_id string, field tinyint, positions array<int>, length int"
 
 
+def words_with_places(tok: Column, field: int) -> Column:
+    """Array of (term, field, positions) of a token array: sorted once by word and place, then cut where the word changes, within the row."""
+
+    def cut(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda j: (j == 0) | (F.get(s, j)["term"] != F.get(s, j - 1)["term"]))
+
+        def group(st: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(st, k + 1), F.size(s))
+            of = lambda a, k: F.transform(F.slice(s, a + 1, end(k) - a), lambda x: x["pos"])
+            return F.transform(st, lambda a, k: F.struct(F.get(s, a)["term"].alias("term"), F.lit(field).cast("tinyint").alias("field"), of(a, k).alias("positions")))
+
+        return let(starts, group)
+
+    return let(F.array_sort(F.transform(tok, lambda w, i: F.struct(w.alias("term"), i.cast("int").alias("pos")))), cut)
+
+
 class PostingView(View):
     """Documents with the positions of the query's words: ``at_<slot>_<field>``, one slot for each distinct word or prefix."""
 
@@ -126,21 +143,19 @@ class TextIndex:
         """Writes documents, tokenized once, and their postings."""
         name = uuid.uuid4().hex
         texts = [sanitize(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in FIELDS]
+        cores = self.spark.sparkContext.defaultParallelism
+        # A small table comes as few splits; tokenizing is worth all cores.
+        docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
         rows = search.with_tags(docs.select("record_id", *texts, "metadata"), tuple(keys))
         toks = rows.withColumns({f"tok_{f}": tokens(F.col(f)) for f in FIELDS})
         toks = checkpoint(toks.withColumns({"length": sum((F.size(f"tok_{f}") for f in FIELDS), F.lit(0)).cast("int"), "segment": F.lit(name)}))
         toks.drop(*[f"tok_{f}" for f in FIELDS]).write.parquet(f"{self.path}/segments/{name}/docs")
 
-        def places(field: int) -> Column:
-            """A field's words with their places: of each word the places in order."""
-            tok = F.col(f"tok_{FIELDS[field]}")
-            return F.transform(tok, lambda w, i: F.struct(w.alias("term"), F.lit(field).cast("tinyint").alias("field"), i.cast("int").alias("pos")))
-
-        each = toks.select("record_id", "length", F.explode(F.concat(*[places(i) for i in range(len(FIELDS))])).alias("p"))
-        grouped = each.groupBy("record_id", "p.term", "p.field").agg(F.sort_array(F.collect_list("p.pos")).alias("positions"), F.max("length").alias("length"))
-        grouped = grouped.select("term", "record_id", "field", "positions", "length")
+        each = F.explode(F.concat(*[words_with_places(F.col(f"tok_{f}"), i) for i, f in enumerate(FIELDS)])).alias("p")
+        grouped = toks.select("record_id", "length", each).select("p.term", "record_id", "p.field", "p.positions", "length")
         total = toks.agg(F.sum("length")).first()[0] or 0
-        parts = max(1, -(-total // FILE_ROWS))
+        # Enough files to keep the cores busy, unless they would be tiny; at most about FILE_ROWS postings each.
+        parts = max(1, -(-total // FILE_ROWS), min(cores, total // SMALL_ROWS))
         grouped.repartitionByRange(parts, "term", "record_id").sortWithinPartitions("term", "record_id").write.option("parquet.block.size", 8 << 20).parquet(f"{self.path}/segments/{name}/postings")
         return name
 
