@@ -518,6 +518,7 @@ def queries() -> dict[str, Query]:
         "claim_changes": lambda s, d: cl.changes(load(s, d, "claims")),
         "change_head": lambda s, d: cl.head(cl.changes(load(s, d, "claims"))),
         "claim_grounding": _grounded,
+        "quotes_exact": lambda s, d: _located(s, d).select("claim_id", F.coalesce(F.col("ratio") == 1.0, F.lit(False)).alias("exact")),
         "claim_rows": lambda s, d: extraction.claim_rows(cl.unique_claims(load(s, d, "claims"))).select("claim_id", "context", "quantity_value", "quantity_unit_text", "has_quantity"),
         "entity_screen": _screened,
         "rejections_open": _rejected,

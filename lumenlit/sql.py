@@ -301,3 +301,5 @@ CASE WHEN list_contains(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'), 'met
 p_size BETWEEN 1 AND 40 AND p_retailprice BETWEEN 900 AND 1500 AND NOT list_contains(regexp_extract_all(lower(p_name), '[a-z]+|[0-9]+'), 'metallic') AS valid FROM part""",
     "rank_exclude": SQL["bm25_or"].replace("LIMIT 50", "LIMIT 10 OFFSET 1"),
 }
+SQL["quotes_exact"] = f"""WITH {UNIQUE}, {DOCS}
+SELECT claim_id, coalesce(quote <> '' AND contains({_WORDS('d.text')}, {_WORDS('uc.quote')}) AND {_WORDS('uc.quote')} <> '', false) AS exact FROM uc JOIN docs d ON d.record_id = uc.record_id"""

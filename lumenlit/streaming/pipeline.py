@@ -153,13 +153,15 @@ class Pipeline:
         """Key of the page of a stream's batch; keys sort by run, then batch."""
         return f"{self.run_no:06d}-{batch:09d}"
 
-    def settle(self, page: DataFrame, batch: int) -> None:
-        """The page of a micro-batch. A batch that an earlier run settled before it could be acknowledged is not settled again."""
+    def settle(self, page: DataFrame, batch: int, stream: str = "") -> None:
+        """The page of a micro-batch. A batch of one ``stream`` that an earlier run settled before it could be acknowledged is not settled again; a
+        stream that starts anew numbers its batches from 0 under another name."""
         if self.stop():
             raise PipelineInterrupted("stopped before a page", self.metrics.get("exported", 0))
-        if batch in {c.get("batch") for c in self.state.committed().values()} or page.isEmpty():
+        name = f"{stream}:{batch}"
+        if name in {c.get("batch") for c in self.state.committed().values()} or page.isEmpty():
             return
-        self.settle_page(page, self.key(batch + 1), batch=batch)
+        self.settle_page(page, self.key(batch + 1), batch=name)
 
     def settle_backlog(self, schema: str) -> None:
         """The records that earlier runs left open, as the first page of this one."""
@@ -231,12 +233,13 @@ class Pipeline:
         self.begin()
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
         fault: list[BaseException] = []
+        log = Files(self.spark, f"{self.path}/stream")
 
         def each(page: DataFrame, batch: int) -> None:
             try:
                 if self.left is not None and self.left <= 0:
                     raise LimitReached
-                self.settle(page, batch)
+                self.settle(page, batch, log.read("metadata")["id"])
             except BaseException as e:
                 fault.append(e)
                 raise
