@@ -41,8 +41,9 @@ SHARD_ROWS, GUEST_ROWS = 16_384, 65_536
 MARGIN, PROBES = 0.25, 8
 #: How often an oversized cell is divided before it is cut at random.
 LEVELS = 4
-#: Out-degree after pruning, relaxation of pruning, beam while building and of a query, nodes a beam expands at once, rows of one batch.
-DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND, BATCH = 24, 1.2, 32, 32, 8, 256
+#: Out-degree after pruning, relaxation of pruning, beam while building and of a query, nodes a beam expands at once, rows of one batch, and how
+#: many of its own batch a new node is offered as neighbours.
+DEGREE, ALPHA, BUILD_BEAM, BEAM, EXPAND, BATCH, MATES = 24, 1.2, 32, 32, 8, 256, 6
 
 
 def usable(chunks: DataFrame) -> DataFrame:
@@ -335,6 +336,11 @@ def build(x: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
         new = order[low : low + min(low, BATCH)]
         pivots = order[: max(8, low // 128)]
         near, _, _ = walk(x[new], x, links, nearest_pivots(x[new], x, pivots), BUILD_BEAM)
+        # The batch is not in the graph yet: its own nearest are proposed beside what the search found.
+        mates = x[new] @ x[new].T
+        np.fill_diagonal(mates, -4)
+        few = min(MATES, len(new) - 1)
+        near = np.concatenate([near, new[np.argpartition(-mates, few - 1, axis=1)[:, :few]]], 1) if few > 0 else near
         links[new, :DEGREE] = prune(new, near, x)
         size[new] = (links[new] >= 0).sum(1)
         # Edges back, grouped by the node they start at.
