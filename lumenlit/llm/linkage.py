@@ -3,14 +3,15 @@
 1. Evidence per document, in the JVM: folded title words, years and parts of a series, author keys (surname and initial, from any of the
    metadata shapes), year, venue, and the set of hashed abstract words.
 2. Candidates share a composite key: an adjacent pair of title words and an author, in neighbouring years (the year may be missing on one
-   side); or the beginning of the abstract and a year, an author, or a pair of title words. A document without authors is looked for by the
-   title words that at most ``BLOCK`` titles hold, and by all words of its title but one. No key is a common word or phrase, so no block grows
-   with a template that many titles follow.
+   side); or the beginning of the abstract and a year, an author, or a pair of title words. A document without authors is looked for by all
+   words of its title but one, and by an exact join of similar titles, whose keys are sets of up to three title words, rarest first: every title
+   that holds three quarters of its words, or begins with three quarters of the shorter one's, is met, however common the words
+   (``similar_titles``). Titles whose numbers differ are other titles.
 3. Ten heuristic functions vote match, no match or abstain on each candidate: title, title words, numbers, authors, first author, year, venue,
    abstract, part of a series, kind of notice.
 4. A generative label model learns each function's accuracy from the votes alone, with correlations as a tree of dependencies per class
-   (Chow-Liu), by EM over the counts of vote patterns. Its posterior is the confidence, and nothing overrules it: that a part of a series or a
-   correction is another paper shows in the accuracy its function gets.
+   (Chow-Liu), by EM over the counts of vote patterns of pairs that both have authors. Its posterior is the confidence, and nothing overrules
+   it: that a part of a series or a correction is another paper shows in the accuracy its function gets.
 
 Defined results: documents with NULL source or without title and abstract match nothing; broken or NULL metadata abstains; several rows
 of one record each match the other sources' rows; an empty table gives no rows.
@@ -25,13 +26,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.functions.text import let
 from lumenlit.session import checkpoint
 
 #: Posterior from which two documents describe one paper.
 CONFIDENT = 0.9
 FUNCTIONS = ("title", "words", "numbers", "authors", "first", "year", "venue", "abstract", "series", "notice")
-#: Titles that hold a word which alone makes a document without authors a candidate.
-BLOCK = 16
+#: Slots of the words' counts, by which the words of a title are ordered; any order finds the same pairs, rarest first with the fewest rows.
+SLOTS = 1 << 16
 #: Keys (of eight bytes) that are broadcast to sift the other side's.
 BROADCAST_KEYS = 1_000_000
 #: What the label model assumes of each function before it sees votes: how often it votes against, abstains, votes for, on pairs that are no match and on
@@ -152,7 +154,78 @@ def _sifted(left: DataFrame, right: DataFrame) -> DataFrame:
     return _meet(left, right.join(wanted, "k", "left_semi"), False)
 
 
-def candidates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _occurrences(tw: Column) -> Column:
+    """Hash of each word and which of its occurrences it is, in order: a title of n words has n different ones."""
+    return F.transform(tw, lambda w, i: F.xxhash64(w, F.size(F.filter(F.slice(tw, F.lit(1), i + 1), lambda v: v == w))))
+
+
+def _differing(p: Column) -> Column:
+    """How many of ``p`` words may differ in similar beginnings of ``p`` words: a quarter, and one of two or three."""
+    return F.when(p < 2, 0).otherwise(F.greatest(F.floor(p / 4).cast("int"), F.lit(1)))
+
+
+def _subsets(o: Column, n: Column, tag: Column) -> Column:
+    """Hashes of all sets of ``n`` (1, 2 or 3) of the values of ``o``, in its order."""
+    after = lambda i: F.slice(o, i + 2, F.size(o))
+    two = F.flatten(F.transform(o, lambda x, i: F.transform(after(i), lambda y: F.xxhash64(tag, x, y))))
+    three = F.flatten(F.transform(o, lambda x, i: F.flatten(F.transform(after(i), lambda y, j: F.transform(after(i + j + 1), lambda z: F.xxhash64(tag, x, y, z))))))
+    return F.when(n == 1, F.transform(o, lambda x: F.xxhash64(tag, x))).when(n == 2, two).otherwise(three)
+
+
+def _beginning_keys(ranked: Column, lengths: Column, tag: str) -> Column:
+    """Keys of the title's first p words, for each p of ``lengths``. Where two rows of p words differ in d, the shared ones are p - d at least, so the first
+    n of them in the common order are among the first d + n of either: a set of n words is a key of both."""
+    n = lambda p: F.when(p < 3, 1).when((p == 3) | p.between(24, 63), 2).when(p > 63, 1).otherwise(3)
+
+    def keys(p: Column) -> Column:
+        first = F.transform(F.filter(ranked, lambda e: e["at"] <= p), lambda e: e["word"])
+        return let(F.slice(first, F.lit(1), _differing(p) + n(p)), lambda o: _subsets(o, n(p), F.xxhash64(F.lit(tag), p)))
+
+    return F.flatten(F.transform(lengths, keys))
+
+
+def _set_keys(ranked: Column) -> Column:
+    """Keys of the title's set of words for sets that share three quarters of their union, whatever the words' order: of m words at most m / 4 are missing."""
+    words = F.transform(F.filter(ranked, lambda e: e["first"]), lambda e: e["word"])
+    n = lambda m: F.when(m < 3, m).when(m < 24, 3).when(m < 64, 2).otherwise(1)
+
+    def keys(o: Column) -> Column:
+        m = F.size(o)
+        of = lambda k: let(F.slice(o, F.lit(1), F.floor(m / 4).cast("int") + k), lambda x: _subsets(x, k, F.xxhash64(F.lit("set"))))
+        own, partner = n(m), n(F.floor(m * 4 / 3).cast("int"))  # the larger set decides; it has a third more at most
+        return F.when(own == partner, of(own)).otherwise(F.concat(of(own), of(partner)))
+
+    return let(words, keys)
+
+
+def similar_titles(docs: DataFrame) -> DataFrame:
+    """(a, b) of all rows of different sources, one of them at least without authors, whose titles are similar: their sets of words share three quarters of the
+    union, or the shorter title and as many words of the longer one's beginning differ in a quarter (one of two or three). Shorter is a title of 15 letters, one that
+    is marked as cut, or one as long as the other. Titles that both have numbers share one; the last word of a cut title is no number."""
+    occurrences = docs.select(F.explode(_occurrences(F.col("tw"))).alias("word"))
+    counts = [0] * SLOTS
+    for slot, n in occurrences.groupBy(F.pmod("word", F.lit(SLOTS)).cast("int").alias("slot")).count().collect():  # SLOTS rows, whatever the data
+        counts[slot] = n
+    weights = docs.sparkSession.createDataFrame([(counts,)], "t array<bigint>").scalar()
+    tw, n = F.col("tw"), F.size("tw")
+    entry = lambda t: lambda x, i: F.struct(F.get(t, F.pmod(x, F.lit(SLOTS)).cast("int")).alias("n"), x.alias("word"), (i + 1).alias("at"), (F.array_position(tw, F.get(tw, i)) == i + 1).alias("first"))
+    counted = docs.where(n > 0).select("id", "source", "authors", "tw", weights.alias("counts"))
+    titled = counted.select("id", "source", "authors", "tw", let(F.col("counts"), lambda t: F.array_sort(F.transform(_occurrences(tw), entry(t)))).alias("ranked"))
+    ranked, whole, upto = F.col("ranked"), F.array(n), lambda last: F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    left = _keyed(titled, F.concat(_beginning_keys(ranked, whole, "of longer"), _beginning_keys(ranked, upto(n - 1), "of shorter"), _set_keys(ranked)), F.size("authors") == 0)
+    right = _keyed(titled, F.concat(_beginning_keys(ranked, upto(n), "of longer"), _beginning_keys(ranked, whole, "of shorter"), _set_keys(ranked)), F.lit(True))
+    numbers = F.filter(F.when(F.col("short"), F.slice("tw", F.lit(1), F.greatest(n - 1, F.lit(0)))).otherwise(tw), lambda w: w.rlike(r"^\p{N}+$"))
+    side = lambda s: docs.select(F.col("id").alias(s), tw.alias("t" + s), _occurrences(tw).alias("o" + s), F.length("title").alias("l" + s), F.col("short").alias("s" + s), numbers.alias("n" + s))
+    j = _sifted(left, right).join(side("a"), "a").join(side("b"), "b")
+    p = F.least(F.size("oa"), F.size("ob"))
+    begin = F.size(F.array_intersect(F.slice("oa", F.lit(1), p), F.slice("ob", F.lit(1), p))) >= p - _differing(p)
+    cut = F.col("sa") | F.col("sb") | (F.least("la", "lb") >= 15) | (F.size("oa") == F.size("ob"))
+    words = 4 * F.size(F.array_intersect("ta", "tb")) >= 3 * F.size(F.array_union("ta", "tb"))
+    numbered = (F.size("na") == 0) | (F.size("nb") == 0) | F.arrays_overlap("na", "nb")
+    return j.where(((begin & cut) | words) & numbered).select("a", "b")
+
+
+def candidates(docs: DataFrame) -> DataFrame:
     """(a, b) with a < b, of different sources, that share a composite key. ``docs``: rows of ``evidence``."""
     years = F.array(F.col("year"), F.col("year") + 1)
     grid = lambda xs, ys: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.xxhash64(x, y))))
@@ -163,23 +236,19 @@ def candidates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for keys, where in ((grid(grid(pairs, F.col("authors")), years), known), (grid(lead, F.concat(years.cast("array<string>"), F.col("authors"))), every)):
         rows = _keyed(docs, keys, where)
         found.append(_meet(rows, rows, True))
-    # A word of the title of which few have it; all words of a title, and all but one that is no number.
+    # All words of a title, and all but one that is no number.
     set_ = F.array_sort(F.array_distinct("tw"))
     letters = F.filter(set_, lambda w: ~w.rlike(r"^\p{N}+$"))
     but_one = F.concat(F.array(F.xxhash64(F.lit("s"), set_)), F.transform(letters, lambda w: F.xxhash64(F.lit("s"), F.array_remove(set_, w))))
-    alone = F.transform(set_, lambda w: F.xxhash64(F.lit("w"), w))
     with_lead = grid(lead, pairs)
-    words = docs.select(F.explode(alone).alias("k"))
-    rare = words.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n").between(2, block)).select("k")
-    bare = lambda keys: _keyed(docs, keys, ~known)
-    left = [_keyed(docs, grid(pairs, F.col("authors")), known & F.col("year").isNull()), bare(F.concat(but_one, with_lead)), bare(alone).join(rare, "k", "left_semi")]
-    right = _keyed(docs, F.concat(grid(pairs, F.col("authors")), but_one, with_lead, alone), every)
-    found.append(_sifted(reduce(DataFrame.unionByName, left), right))
+    left = [_keyed(docs, grid(pairs, F.col("authors")), known & F.col("year").isNull()), _keyed(docs, F.concat(but_one, with_lead), ~known)]
+    right = _keyed(docs, F.concat(grid(pairs, F.col("authors")), but_one, with_lead), every)
+    found += [_sifted(reduce(DataFrame.unionByName, left), right), similar_titles(docs)]
     return reduce(DataFrame.unionAll, found).distinct()
 
 
 def votes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b and one vote (1, 0, -1) for each of ``FUNCTIONS``."""
+    """a, b, one vote (1, 0, -1) for each of ``FUNCTIONS``, and whether both documents have authors."""
     side = lambda s: docs.select(*[F.col(c).alias(c + s if c != "id" else s) for c in ("id", "title", "tw", "short", "part", "notice", "authors", "venue", "year", "aw")])
     j = pairs.join(side("a"), "a").join(side("b"), "b")
     ta, tb = F.col("titlea"), F.col("titleb")
@@ -209,7 +278,7 @@ def votes(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         vote(F.abs(F.col("yeara") - F.col("yearb")) <= 1, F.abs(F.col("yeara") - F.col("yearb")) > 1).alias("year"),
         F.coalesce(vote(F.col("venuea") == F.col("venueb"), F.col("venuea") != F.col("venueb")), F.lit(0)).alias("venue"),
         F.coalesce(vote(contained >= 0.6, contained < 0.4), F.lit(0)).alias("abstract"),
-        marks(F.col("parta"), F.col("partb"), "|").alias("series"), marks(F.col("noticea"), F.col("noticeb"), "").alias("notice"), sim.alias("title_sim"), contained.alias("abstract_sim"),
+        marks(F.col("parta"), F.col("partb"), "|").alias("series"), marks(F.col("noticea"), F.col("noticeb"), "").alias("notice"), (fewest > 0).alias("signed"), sim.alias("title_sim"), contained.alias("abstract_sim"),
     )
 
 
@@ -231,7 +300,7 @@ def _dependencies(counts: np.ndarray, patterns: np.ndarray) -> list[int]:
 
 
 def fit(rows: list[tuple], rounds: int = 100, functions: tuple[str, ...] = FUNCTIONS) -> dict[tuple, float]:
-    """Posterior of every vote pattern. ``rows``: votes and their count. EM, begun from the prior's own opinion of the patterns."""
+    """Posterior of every vote pattern. ``rows``: votes and their count, 0 for patterns that are only judged. EM, begun from the prior's own opinion of the patterns."""
     if not rows:
         return {}
     patterns = np.array([r[:-1] for r in rows], int) + 1
@@ -265,7 +334,10 @@ def link(documents: DataFrame) -> DataFrame:
     """(doc_id_a, doc_id_b, confidence and the votes) of every candidate pair."""
     docs = checkpoint(evidence(documents))
     voted = checkpoint(votes(candidates(docs), docs))
-    counted = [tuple(r) for r in voted.groupBy(*FUNCTIONS).count().collect()]  # at most 3 ** 10 patterns, whatever the data
+    # Pairs with a document without authors are chosen by their titles, so how often titles agree in them tells nothing: the others are learnt from.
+    patterns = voted.groupBy(*FUNCTIONS).agg(F.count_if("signed"), F.count("*")).collect()  # at most 3 ** 10, whatever the data
+    learnt = -2 if any(r[-2] for r in patterns) else -1
+    counted = [(*r[:-2], r[learnt]) for r in patterns]
     table = documents.sparkSession.createDataFrame([(*k, v) for k, v in fit(counted).items()], ", ".join(f"{f} int" for f in FUNCTIONS) + ", p double")
     scored = voted.join(F.broadcast(table), list(FUNCTIONS), "left")
     return scored.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), F.coalesce("p", F.lit(0.0)).alias("confidence"), *FUNCTIONS, "title_sim", "abstract_sim")

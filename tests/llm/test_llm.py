@@ -70,6 +70,50 @@ def test_candidates_of_bare_titles_stay_bounded(spark):
     assert {(i, i + 1) for i in range(0, n, 2)} <= got and len(got) < 12 * n
 
 
+def test_common_title_words_find_twins(spark):
+    """No word of the bare titles is rarer than 40 titles; their twins are cut, or have two of ten words retyped or two more."""
+    base = "a wide deep survey of faint thin films in the southern pilot field".split()
+    rows = [(100 + i, "s1", " ".join(base[i % 13 :] + base[: i % 13]) + f" KSV {i}", None, '{"authors": ["Ed Fox"]}') for i in range(80)]
+    rows += [
+        (1, "s2", "a wide survey of thin films in the southern field", None, None), (2, "s3", "a wide survey of hitn films in teh southern field", None, '{"authors": ["Ann Bee"]}'),
+        (3, "s4", "a wide survey of thin fil…", None, '{"authors": ["Cid Doe"]}'), (4, "s5", "a deep wide survey of the thin films in the southern field", None, None),
+        (5, "s6", "pilot films of the field", None, None),
+    ]
+    got = {tuple(r) for r in linkage.candidates(linkage.evidence(spark.createDataFrame(rows, DOC))).collect()}
+    assert {p for p in got if p[1] < 100} == {(1, 2), (1, 3), (1, 4)}
+
+
+def test_similar_titles_equal_brute_force(spark):
+    rng, vocabulary = np.random.default_rng(5), [*"abcdefgh", "7", "12", *(f"r{i}" for i in range(20))]
+    rows = []
+    for i in range(160):
+        t = list(rows[rng.integers(0, i)][2]) if i and rng.random() < 0.75 else [vocabulary[k] for k in rng.integers(0, 12, rng.choice([1, 2, 3, 4, 8, 10, 22, 24, 62, 66]))]
+        for _ in range(rng.integers(0, 3 + len(t) // 5)):
+            k = rng.integers(0, len(t))
+            t[k : k + rng.integers(0, 2)] = [vocabulary[rng.integers(0, 30)]] * rng.integers(0 if len(t) > 1 else 1, 2)
+        t = t[: rng.integers(1, len(t) + 1)] if rng.random() < 0.3 else t
+        rows.append((i, f"s{i % 3}", t, ["x/y"] if rng.random() < 0.5 else [], bool(rng.random() < 0.15), " ".join(t)))
+
+    def similar(x, y):
+        (s, t), p = (x[2], y[2]), min(len(x[2]), len(y[2]))
+        digits = [{w for w in (r[2][:-1] if r[4] else r[2]) if w.isdigit()} for r in (x, y)]
+        begin = (collections.Counter(s[:p]) & collections.Counter(t[:p])).total() >= p - (max(1, p // 4) if p > 1 else 0)
+        whole = 4 * len(set(s) & set(t)) >= 3 * len(set(s) | set(t))
+        cut = x[4] or y[4] or min(len(x[5]), len(y[5])) >= 15 or len(s) == len(t)
+        return x[1] != y[1] and not (x[3] and y[3]) and (whole or begin and cut) and (not all(digits) or bool(digits[0] & digits[1]))
+
+    want = {(x[0], y[0]) for i, x in enumerate(rows) for y in rows[i + 1 :] if similar(x, y)}
+    df = spark.createDataFrame(rows, "id bigint, source string, tw array<string>, authors array<string>, short boolean, title string")
+    assert len(want) > 100 and {tuple(r) for r in linkage.similar_titles(df).collect()} == want
+
+
+def test_patterns_are_judged_without_being_counted():
+    same, other, judged = (1, 1, 1, 1, 1, 1, 0, 1, 0, 0), (-1, -1, -1, 0, 0, 1, 0, -1, 0, 0), (1, 1, 0, 0, 0, 0, 0, -1, 0, 0)
+    p, q = linkage.fit([(*same, 500), (*other, 3000)]), linkage.fit([(*same, 500), (*other, 3000), (*judged, 0)])
+    assert abs(q[same] - p[same]) < 1e-6 and abs(q[other] - p[other]) < 1e-6 and 0 < q[judged] < 1
+
+
+
 # 4 neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
