@@ -87,15 +87,24 @@ def chunked(rows: DataFrame, column: str = "text", chunker: Callable[[Column], C
 
 
 def merge_windows(passages: Column, overlap: int = 50) -> Column:
-    """Text of windows in order, leaving out the words a window repeats from the one before."""
-    parts = F.transform(passages, split_words)
-    start = F.array().cast("array<string>")
-
-    def add(acc: Column, p: Column) -> Column:
-        repeated = (F.size(acc) >= overlap) & (F.slice(p, 1, overlap) == F.slice(acc, -overlap, overlap)) if overlap else F.lit(False)
-        return F.when((F.size(acc) > 0) & repeated, F.concat(acc, F.slice(p, overlap + 1, F.size(p) + 1))).otherwise(F.concat(acc, p))
-
-    return F.array_join(F.aggregate(parts, start, add), " ")
+    """Text of windows in order, leaving out the words a window repeats from the one before.
+
+    What is left out was there already, so the text so far ends as the windows themselves do: whether a window repeats is read off the few in
+    front of it, and no text is copied for each."""
+    spaced = lambda t: F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), f"[{PY_SPACE}]+", " "))
+    parts = F.filter(F.transform(passages, spaced), lambda t: t != "")
+    if not overlap:
+        return F.array_join(parts, " ")
+    end = lambda ws: F.when(F.size(ws) > overlap, F.slice(ws, -overlap, overlap)).otherwise(ws)
+
+    def rest(ts: Column) -> Column:
+        # Each has a word, so as many as the words asked for suffice.
+        several = lambda k: F.flatten(F.transform(F.slice(ts, F.greatest(k - overlap, F.lit(0)) + 1, F.least(k, F.lit(overlap))), lambda t: let(F.split(t, " "), end)))
+        tail = lambda k: let(F.split(F.get(ts, k - 1), " "), lambda ws: F.when(F.size(ws) >= overlap, end(ws)).otherwise(let(several(k), end)))
+        left = lambda ws, t, k: F.when(F.size(ws) < overlap, t).when(F.slice(ws, 1, overlap) == tail(k), F.array_join(F.slice(ws, overlap + 1, F.size(ws)), " ")).otherwise(t)
+        return F.transform(ts, lambda t, k: let(F.split(t, " "), lambda ws: left(ws, t, k)))
+
+    return F.array_join(F.filter(let(parts, rest), lambda t: t != ""), " ")
 
 
 # What a paper's list of references begins with.

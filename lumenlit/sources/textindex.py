@@ -291,7 +291,8 @@ def stored_documents(passages: DataFrame, overlap: int = 50) -> DataFrame:
     from lumenlit.functions.text import merge_windows
 
     rows = passages.where(F.col("record_id").isNotNull()).groupBy("record_id", "chunk_index").agg(F.min(F.struct("text", "metadata")).alias("p"))
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("p.text", F.lit("")).alias("text"), F.col("p.metadata").alias("metadata"))))
-    each = rows.groupBy("record_id").agg(ordered.alias("c"))
-    metadata = F.get(F.col("c.metadata"), F.lit(0))
-    return each.select("record_id", F.get_json_object(metadata, "$.title").alias("title"), F.lit("").alias("abstract"), merge_windows(F.col("c.text"), overlap).alias("body"), metadata.alias("metadata"))
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", F.coalesce("p.text", F.lit("")).alias("text"))))
+    first = F.min(F.struct("chunk_index", "p.metadata"))
+    each = rows.groupBy("record_id").agg(ordered.alias("c"), first["metadata"].alias("metadata"))
+    title = F.get_json_object("metadata", "$.title").alias("title")
+    return each.select("record_id", title, F.lit("").alias("abstract"), merge_windows(F.col("c.text"), overlap).alias("body"), "metadata")

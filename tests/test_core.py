@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -195,6 +196,19 @@ def test_tables(spark):
     assert tables.collapse_pairs([(0, 1), (1, 2), (1, 0)], {0: {"a": None}, 1: {"a": None}, 2: {"a": 3}}) == [{"a": 3}]
 
 
+def test_merging_many_passages(spark):
+    """A record with tens of thousands of passages takes seconds; what a passage repeats may lie in several short ones in front of it."""
+    pieces = ["a b", None, "c", " ", "a b c d", "d", "b c d e", "c d e"]
+    assert one(spark, tx.merge_windows(F.array(*map(F.lit, pieces)), 3)) == "a b c d d b c d e"
+    n = 60_000
+    began = time.monotonic()
+    for overlap, step in ((0, 4), (2, 2)):
+        at = F.sequence(F.lit(0), F.lit((n - 1) * step), F.lit(step))
+        words = one(spark, tx.merge_windows(F.transform(at, lambda i: F.concat_ws(" ", *[i + j for j in range(4)])), overlap)).split(" ")
+        assert words == [str(i) for i in range((n - 1) * step + 4)]
+    assert time.monotonic() - began < 60
+
+
 def test_dbscan(spark):
     pts = [(1, [0.0, 0.0]), (2, [0.1, 0.0]), (3, [0.2, 0.0]), (4, [5.0, 5.0]), (5, [5.0, 5.0]), (6, [5.1, 5.0]), (7, [9.0, 9.0]), (8, None), (9, [float("nan"), 1.0]), (10, [0.3, 0.0])]
     df = spark.createDataFrame(pts, "id int, features array<double>")
