@@ -20,6 +20,9 @@ from lumenlit.operators.graph import components
 from lumenlit.session import checkpoint
 
 Step = Callable[[DataFrame], DataFrame]
+#: DBSCAN's boxes: the share by which rounding may be off, the boxes from zero up to which it stays below that, pairs of spots that are compared
+#: one by one, and how often larger ones are halved before that.
+SLACK, FAR, FEW, HALVINGS = 1e-6, 100_000_000, 2_000, 12
 
 
 def chain(*steps: Step) -> Step:
@@ -202,32 +205,110 @@ def validated(rules: list[Column]) -> Step:
 def dbscan(points: DataFrame, eps: float, min_samples: int, key: str = "id", features: str = "features") -> DataFrame:
     """(key, cluster): Euclidean DBSCAN; noise and rows without finite features get -1, clusters are numbered by their smallest core key.
 
-    Neighbours come from a grid join over the first two features (cells of width ``eps``), so only adjacent cells meet. Points at one
-    place are one weighted point, so a pile of copies costs one row.
+    Points at one place are one weighted spot. Spots lie in boxes so small that all spots of a box are neighbours. A full box, one of
+    ``min_samples`` points, holds core points only; the few spots of other boxes meet those around them by a grid over the first two features
+    (cells of width ``eps``, whole boxes each). Boxes, not spots, are joined to clusters, so the pairs within a crowd are never listed.
     """
     if eps <= 0 or min_samples < 1:
         raise ConfigError("eps is positive, min_samples at least 1")
     f = F.col(features)
     good = points.where(f.isNotNull() & (F.size(f) > 0) & F.forall(f, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    spots = checkpoint(good.groupBy(f.alias("p")).agg(F.min(key).alias("spot"), F.count("*").alias("n")))
-    cell = lambda i: F.floor(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)) / eps).cast("long")
-    grid = spots.withColumns({"gx": cell(0), "gy": cell(1)})
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    left = grid.select(F.col("spot").alias("a"), F.col("p").alias("pa"), "gx", "gy", around.alias("d")).select("a", "pa", (F.col("gx") + F.col("d.dx")).alias("gx"), (F.col("gy") + F.col("d.dy")).alias("gy"))
-    right = grid.select(F.col("spot").alias("b"), F.col("p").alias("pb"), "n", "gx", "gy")
-    gap = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = checkpoint(left.join(right, ["gx", "gy"]).where(gap <= eps * eps).select("a", "b", "n"))
-    core = near.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("spot"))
-    core = checkpoint(core)
-    c = lambda side: core.select(F.col("spot").alias(side))
-    links = near.join(c("a"), "a", "left_semi").join(c("b"), "b", "left_semi").select(F.col("a").alias("source"), F.col("b").alias("target"))
-    comp = components(links)
-    cores = core.join(comp.withColumnRenamed("record_id", "spot"), "spot", "left").select("spot", F.coalesce("component", "spot").alias("root"))
+    placed = good.groupBy(f.cast("array<double>").alias("p")).agg(F.min(key).alias("spot"), F.count("*").alias("n"))
+    placed = placed.withColumn("d", F.size("p")).withColumn("m", F.floor(F.sqrt("d") * (1 + 2 * SLACK)) + 1).withColumn("at", _boxes(eps, 0))
+    # Far from zero rounding could put strangers into one box; there a spot is a box of its own.
+    far = F.when(F.forall("at", lambda i: i.between(-FAR, FAR)), F.array().cast("array<double>")).otherwise(F.col("p"))
+    cell = lambda i: F.floor(F.coalesce(F.get("at", F.lit(i)), F.lit(0)) / F.col("m"))
+    placed = checkpoint(placed.select("*", F.struct("at", far.alias("far")).alias("box"), cell(0).alias("gx"), cell(1).alias("gy")))
+    full = placed.groupBy("box").agg((F.sum("n") >= min_samples).alias("full"))
+    spots = checkpoint(placed.join(full, "box"))
+    left = _around(spots.where("NOT full").select(F.col("spot").alias("a"), F.col("p").alias("pa"), "d", "gx", "gy"))
+    right = spots.select(F.col("spot").alias("b"), F.col("p").alias("pb"), "n", "d", "gx", "gy")
+    near = checkpoint(left.join(right, ["d", "gx", "gy"]).where(_gap(F.col("pa"), F.col("pb")) <= eps * eps).select("a", "b", "n"))
+    others = near.groupBy(F.col("a").alias("spot")).agg((F.sum("n") >= min_samples).alias("core"))
+    core = checkpoint(spots.join(others, "spot", "left").where("full OR core").drop("n", "full", "core"))
+    held = checkpoint(core.groupBy("box", "at", "d", "m", "gx", "gy").agg(F.min("spot").alias("name"), *_ends()))
+    named = checkpoint(core.join(held.select("box", "name"), "box").select("name", "spot", "p", "m"))
+    roots = _joined_boxes(held, named, eps)
+    cores = checkpoint(named.join(roots, "name").select("spot", "root"))
     edge = near.join(cores.withColumnRenamed("spot", "b"), "b").groupBy(F.col("a").alias("spot")).agg(F.min("root").alias("edge_root"))
-    numbered = ranked_by_range(cores.select("root").distinct(), "root", "cluster")
+    numbered = ranked_by_range(roots.select("root").distinct(), "root", "cluster")
     each = spots.select("spot", "p").join(cores, "spot", "left").join(edge, "spot", "left").select("p", F.coalesce("root", "edge_root").alias("root"))
     labelled = each.join(numbered, "root", "left").select("p", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return points.join(labelled.withColumnRenamed("p", "_p"), F.col(features) == F.col("_p"), "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return points.join(labelled.withColumnRenamed("p", "_p"), f.cast("array<double>") == F.col("_p"), "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _boxes(eps: float, halvings: int) -> Column:
+    """Numbers of the box of ``p`` along each feature: ``m`` boxes, halved so often, are a little more than ``eps`` wide, and a box's diagonal
+    is less than ``eps``."""
+    return F.transform("p", lambda x: F.floor(x / (F.lit(eps * (1 + SLACK) / 2**halvings) / F.col("m"))))
+
+
+def _gap(a: Column, b: Column) -> Column:
+    """Squared distance; NULL for points of different length."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Every row in its own cell and the eight around it."""
+    offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("_o")
+    return rows.select("*", offsets).withColumns({"gx": F.col("gx") + F.col("_o.dx"), "gy": F.col("gy") + F.col("_o.dy")}).drop("_o")
+
+
+def _ends() -> list[Column]:
+    """A box's outermost spots along the first two features."""
+    each = [pick("p", F.get("p", F.lit(i))) for i in (0, 1) for pick in (F.min_by, F.max_by)]
+    return [F.array_compact(F.array(*each)).alias("ends")]
+
+
+def _joined_boxes(held: DataFrame, spots: DataFrame, eps: float) -> DataFrame:
+    """(name, root): the smallest name of the boxes that a box is joined with. Most are joined by their outermost spots; only pairs of boxes
+    that are then still of two clusters are looked at closely."""
+    side = lambda x: held.select(F.col("name").alias(x), F.col("at").alias(f"at_{x}"), F.col("ends").alias(f"ends_{x}"), "d", "m", "gx", "gy")
+    reach = F.forall(F.zip_with("at_a", "at_b", lambda x, y: F.abs(x.cast("double") - y) <= F.col("m") + F.abs(x.cast("double")) * 1e-14), lambda near: near)
+    meet = F.exists("ends_a", lambda x: F.exists("ends_b", lambda y: _gap(x, y) <= eps * eps))
+    pairs = checkpoint(_around(side("a")).join(side("b").drop("m"), ["d", "gx", "gy"]).where((F.col("a") < F.col("b")) & reach).select("a", "b", meet.alias("meet")))
+    comp = components(pairs.where("meet").select(F.col("a").alias("source"), F.col("b").alias("target")))
+    roots = held.select("name").join(comp.withColumnRenamed("record_id", "name"), "name", "left")
+    roots = checkpoint(roots.select("name", F.coalesce("component", "name").alias("root")))
+    of = lambda x: roots.select(F.col("name").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = checkpoint(pairs.where("NOT meet").join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").drop("meet"))
+    if apart.isEmpty():
+        return roots
+    comp = components(_touching(apart, spots, eps).select(F.col("root_a").alias("source"), F.col("root_b").alias("target")))
+    again = roots.join(comp.withColumnRenamed("record_id", "root"), "root", "left")
+    return checkpoint(again.select("name", F.coalesce("component", "root").alias("root")))
+
+
+def _touching(apart: DataFrame, spots: DataFrame, eps: float) -> DataFrame:
+    """(root_a, root_b), distinct, of the pairs of boxes (a, b) that hold spots within ``eps`` of each other. Pairs of many spots are halved along
+    every feature until the places of the parts tell, or few spots are left to compare."""
+    roots = ["root_a", "root_b"]
+    found = apart.select(*roots).limit(0)
+    pairs = None
+    for h in range(HALVINGS + 1):
+        parts = spots.select("name", "p", "m", _boxes(eps, h).alias("part"), _boxes(eps, max(h - 1, 0)).alias("whole"))
+        part = lambda x, *cols: parts.select(F.col("name").alias(x), F.col("part").alias(f"part_{x}"), *cols)  # noqa: E731, B023
+        sizes = checkpoint(parts.groupBy("name", "whole", "part", "m").agg(F.count("*").alias("k")))
+        size = lambda x: sizes.select(F.col("name").alias(x), F.col("whole").alias(f"whole_{x}"), F.col("part").alias(f"part_{x}"), F.col("k").alias(f"k_{x}"), *["m"] * (x == "a"))  # noqa: E731, B023
+        if pairs is None:
+            pairs = apart.join(size("a"), "a").join(size("b"), "b")
+        else:
+            pairs = pairs.join(size("a"), ["a", "whole_a"]).join(size("b"), ["b", "whole_b"])
+        apart_by = lambda more: F.aggregate(F.zip_with("part_a", "part_b", lambda x, y: F.greatest(F.abs(x.cast("double") - y) + more, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x * x)
+        wide = (F.col("m") * 2**h).cast("double")  # eps in sides of a part, nearly
+        pairs = pairs.withColumns({"few": F.col("k_a") * F.col("k_b") <= FEW, "least": apart_by(-1.01), "most": apart_by(1.01)}).where(F.col("least") <= wide * wide)
+        pairs = checkpoint(pairs.withColumn("sure", F.col("most") <= wide * wide * (1 - 4 * SLACK)).drop("whole_a", "whole_b", "k_a", "k_b", "least", "most", "m"))
+        sure = pairs.where("sure").select(*roots)
+        compared = pairs.where("NOT sure AND few" if h < HALVINGS else "NOT sure").join(part("a", F.col("p").alias("pa")), ["a", "part_a"]).join(part("b", F.col("p").alias("pb")), ["b", "part_b"])
+        met = compared.where(_gap(F.col("pa"), F.col("pb")) <= eps * eps).select(*roots)
+        found = checkpoint(found.union(sure).union(met).distinct())
+        if h == HALVINGS:
+            break
+        pairs = pairs.where("NOT sure AND NOT few").join(found, roots, "left_anti")
+        pairs = checkpoint(pairs.select("a", "b", *roots, F.col("part_a").alias("whole_a"), F.col("part_b").alias("whole_b")))
+        if pairs.isEmpty():
+            break
+    return found
 
 
 def ranked_by_range(rows: DataFrame, column: str, name: str) -> DataFrame:

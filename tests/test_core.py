@@ -1,3 +1,4 @@
+import random
 import time
 from datetime import datetime
 
@@ -216,6 +217,40 @@ def test_dbscan(spark):
     assert got == {1: 0, 2: 0, 3: 0, 10: 0, 4: 1, 5: 1, 6: 1, 7: -1, 8: -1, 9: -1}
 
 
+def test_dbscan_of_crowds(spark):
+    """Crowds whose pairs are too many to list: the second lies just beyond ``eps`` of the first, the third within it of the second."""
+    crowd = lambda at, dx, dy: spark.range(at, at + 12_000).select("id", F.array((F.col("id") - at) % 120 / 120 + dx, F.floor((F.col("id") - at) / 120) / 100 + dy).alias("features"))
+    lone = spark.createDataFrame([(90_000, [-0.99, 0.0]), (90_001, [50.0, 50.0])], "id bigint, features array<double>")
+    points = crowd(0, 0.0, 0.0).union(crowd(20_000, 2.0, 0.0)).union(crowd(40_000, 2.0, 1.9)).union(lone)
+    began = time.monotonic()
+    rows = tables.dbscan(points, 1.0, 200).groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
+    assert {tuple(r) for r in rows} == {(0, 12_001, 0), (1, 24_000, 20_000), (-1, 1, 90_001)}
+    assert time.monotonic() - began < 120
+
+
+def test_dbscan_against_brute_force(spark, monkeypatch):
+    """Points of several lengths, far ones too; boxes are halved down to a few spots."""
+    monkeypatch.setattr(tables, "FEW", 6)
+    r = random.Random(5)
+    for d, least in ((1, 6), (2, 3), (3, 2)):
+        points = [(i, [r.choice([0.0, 1.51, 3.0]) + r.uniform(0, 1), *(r.uniform(0, 1 + d) for _ in range(d - 1))]) for i in range(150)]
+        points += [(150, [1e300, 0.0]), (151, [1e300, 0.1]), (152, [1e300, 0.2]), (153, [-1e300, 0.0]), (154, [])]
+        close = lambda p, q: len(p) == len(q) > 0 and sum((x - y) * (x - y) for x, y in zip(p, q)) <= 0.25
+        near = {i: [j for j, q in points if close(p, q)] for i, p in points}
+        core, root = {i for i in near if len(near[i]) >= least}, {}
+        for i in sorted(core):
+            open_ = [i]
+            while open_:
+                j = open_.pop()
+                if j in core and j not in root:
+                    root[j] = i
+                    open_ += near[j]
+        place = {x: n for n, x in enumerate(sorted(set(root.values())))}
+        want = {i: place.get(root.get(i, min((root[j] for j in near[i] if j in core), default=None)), -1) for i in near}
+        df = spark.createDataFrame(r.sample(points, len(points)), "id int, features array<double>")
+        assert {x.id: x.cluster for x in tables.dbscan(df, 0.5, least).collect()} == want
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", 0.5, "k"), ("b", "a", 0.7, "k"), ("a", "a", 1.0, "k"), ("c", "b", 0.1, "k"), ("x", "y", float("nan"), "k"), ("d", "e", 0.4, "j")], "source string, target string, weight double, kind string")
     assert [tuple(r) for r in graph.choose_edges(e, mutual=True).collect()] == [("a", "b", 0.7, "k")]
